@@ -94,7 +94,7 @@ FROM (SELECT *, CASE WHEN op = 'create' AND username = '' THEN student_name ELSE
     "student_claim": """
 SELECT e.*, s.student_uid IS NOT NULL AS known,
        s.student_uid IS NOT NULL AND coalesce(
-         (e.ts, e.event_id) <= (s.applied_ts, s.applied_id), false) AS late,
+         (e.ts < s.applied_ts OR e.ts = s.applied_ts AND e.event_id <= s.applied_id), false) AS late,
        o.student_uid AS owner
 FROM student_event e LEFT JOIN student_state s ON e.uid = s.student_uid
 LEFT JOIN student_state o ON e.name = o.username""",
@@ -162,7 +162,7 @@ SELECT t.*, s.course_uid IS NOT NULL AS known,
 FROM course_target t LEFT JOIN course_state s
   ON t.course_uid = s.course_uid AND t.teacher_uid = s.teacher_uid
 WHERE (s.course_uid IS NOT NULL OR op = 'create')
-  AND NOT coalesce((t.ts, t.event_id) <= (s.applied_ts, s.applied_id), false)""",
+  AND NOT coalesce((t.ts < s.applied_ts OR t.ts = s.applied_ts AND t.event_id <= s.applied_id), false)""",
     "class_state": """
 SELECT CAST(class_uid AS VARCHAR) AS class_uid, class_name, status,
        CAST(created AS TIMESTAMP) AS created,
@@ -184,7 +184,7 @@ SELECT f.event_id, f.ts, f.op, nullif(f.class_name, '') AS name,
        CASE WHEN op = 'create' THEN md5(concat_ws(':', CAST(event_id AS VARCHAR), f.class_name))
             ELSE f.class_uid END AS uid,
        s.class_uid IS NOT NULL AS known, o.class_uid AS owner,
-       coalesce((f.ts, f.event_id) <= (s.applied_ts, s.applied_id), false) AS late
+       coalesce((f.ts < s.applied_ts OR f.ts = s.applied_ts AND f.event_id <= s.applied_id), false) AS late
 FROM class_feed f LEFT JOIN class_state s ON f.op <> 'create' AND f.class_uid = s.class_uid
 LEFT JOIN class_state o ON f.class_name = o.class_name""",
     "class_verdict": """
@@ -206,7 +206,7 @@ SELECT *, max(CASE WHEN op = 'rename' AND owner IS NULL THEN 1 ELSE 0 END) OVER
 FROM (SELECT v.*, CASE WHEN op = 'create' THEN holder ELSE uid END AS target
       FROM class_verdict v WHERE verdict IN ('ok', 'born')) a
 WHERE NOT EXISTS (SELECT 1 FROM class_state s WHERE s.class_uid = a.target
-                  AND (a.ts, a.event_id) <= (s.applied_ts, s.applied_id))""",
+                  AND (a.ts < s.applied_ts OR a.ts = s.applied_ts AND a.event_id <= s.applied_id))""",
 }
 
 # Which views each view reads, in the order they must be defined.
@@ -264,7 +264,7 @@ SELECT * FROM student WHERE class_uid = 3 OR age > 20 AND (student_name LIKE '%1
     "filter_kwargs": sql("student", """
 SELECT * FROM student WHERE class_uid IN (1, 2, 3) AND status = 1"""),
     "keyword_search": sql("course", """
-SELECT * FROM course WHERE status = 1 AND course_name LIKE '%dw_d%'"""),
+SELECT * FROM course WHERE status = 1 AND course_name LIKE '%w_d%'"""),
     "keyword_multi": sql("student", """
 SELECT * FROM student
 WHERE (student_name LIKE '%r#0%1%' OR username LIKE '%r#0%1%') AND status = 1"""),
@@ -408,8 +408,9 @@ SELECT event_id, ts, op, 'no_match' AS reason FROM score_run WHERE NOT known AND
 final AS (SELECT uid, min(ts) FILTER (verdict = 'born') AS born,
     arg_max(student_name, seq) FILTER (student_name IS NOT NULL) AS student_name,
     arg_max(name, seq) FILTER (name IS NOT NULL) AS name,
-    arg_max_null(age, seq) FILTER (verdict = 'born' OR age IS NOT NULL) AS age,
-    arg_max_null(class_uid, seq) FILTER (verdict = 'born' OR class_uid IS NOT NULL) AS class_uid,
+    arg_max_null(age, seq) FILTER (verdict = 'born' OR op = 'patch' AND age IS NOT NULL) AS age,
+    arg_max_null(class_uid, seq)
+      FILTER (verdict = 'born' OR op = 'patch' AND class_uid IS NOT NULL) AS class_uid,
     bool_or(op = 'delete') AS gone, max(seq) AS last_seq,
     max(ts) FILTER (verdict <> 'born') AS stamp, arg_max(ts, seq) AS applied_ts,
     arg_max(event_id, seq) AS applied_id FROM run GROUP BY uid)
@@ -441,7 +442,7 @@ FROM course_state s FULL JOIN final f USING (course_uid, teacher_uid)"""),
 SELECT event_id, ts, op, reason FROM (
   SELECT e.event_id, e.ts, e.op, CASE WHEN no_name THEN 'no_name' WHEN e.op = 'create' THEN NULL
       WHEN s.course_uid IS NULL THEN 'no_match'
-      WHEN (e.ts, e.event_id) <= (s.applied_ts, s.applied_id) THEN 'late' END AS reason
+      WHEN (e.ts < s.applied_ts OR e.ts = s.applied_ts AND e.event_id <= s.applied_id) THEN 'late' END AS reason
   FROM course_event e LEFT JOIN course_state s
     ON e.course_uid = s.course_uid AND e.teacher_uid = s.teacher_uid) t WHERE reason IS NOT NULL"""),
     "upsert_classes": sql("class_run", """

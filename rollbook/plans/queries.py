@@ -92,7 +92,7 @@ def filter_kwargs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = F.col("status") == 1
-    return records.courses(spark, sf_dir).where(live & keyword_filter("d w _d", ["course_name"]))
+    return records.courses(spark, sf_dir).where(live & keyword_filter("w _ d", ["course_name"]))
 
 
 @query
