@@ -20,7 +20,7 @@ from rollbook.session import shared_folder
 from rollbook.sources.request_log import log_line, parse_log
 from rollbook.sources.requests import Param, validate_requests as validate
 from rollbook.sources.sinks import BUCKET_FORMATS, append_rows as append, bucket
-from rollbook.streaming.changes import apply_stream, by_keys, read_table, start_table
+from rollbook.streaming.changes import apply_stream, read_table, start_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -571,24 +571,15 @@ DELIVERIES = ["1999-03-01", "2000-01-01", "9999-01-01"]
 def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score feed delivered in three parts to a running table; the table after the last one."""
     folder = f"{shared_folder(spark)}/rollbook-stream-{uuid.uuid4().hex}"
-    keys = ["course_uid", "student_uid"]
-    state = feeds.score_state(spark, sf_dir)
     feed = feeds.score_feed(spark, sf_dir)
-    start_table(state, f"{folder}/score")
+    start_table(feeds.score_state(spark, sf_dir), f"{folder}/score", feed)
     since = feeds.SCORE_CUT
     for until in DELIVERIES:
-        part = feed.where((F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
-                          & (F.col("ts") < F.lit(until).cast("timestamp_ntz")))
-        part.write.mode("append").parquet(f"{folder}/feed")
+        delivery = feed.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
+        delivery = delivery.where(F.col("ts") < F.lit(until).cast("timestamp_ntz"))
+        delivery.write.mode("append").parquet(f"{folder}/feed")
         changes = spark.readStream.schema(feed.schema).parquet(f"{folder}/feed")
-        apply_stream(
-            changes,
-            f"{folder}/score",
-            f"{folder}/checkpoint",
-            folds.upsert_scores,
-            keys,
-            by_keys(keys),
-            delay=None,
-        ).awaitTermination()
+        stream = apply_stream(changes, f"{folder}/score", f"{folder}/checkpoint", "score")
+        stream.awaitTermination()
         since = until
-    return read_table(spark, f"{folder}/score", keys)
+    return read_table(spark, f"{folder}/score", "score")

@@ -34,46 +34,44 @@ class Param:
     allowed: Sequence[object] | None = None
 
 
-def _checks(body: Column, param: Param) -> tuple[Column, list[Column]]:
-    """The value as text (bigint for ``int``) and the complaints about it, NULL where there is none."""
-    path = f"$.{param.name}"
-    value = F.try_variant_get(body, path, "variant")
-    shape = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
-    text = F.try_variant_get(body, path, "string")
-    null = F.coalesce(shape == "VOID", F.lit(True))
-    absent = value.isNull()
+def _number(text: Column, shape: Column) -> Column:
+    """What reads as a whole number: fractions of numbers are cut off, texts must be whole."""
+    digits = F.trim(text)
+    return (
+        F.when(shape.isin("DECIMAL", "DOUBLE", "FLOAT"), text.try_cast("double").try_cast("bigint"))
+        .when(shape == "BOOLEAN", text.try_cast("boolean").cast("bigint"))
+        .when(digits.rlike(r"^[+-]?[0-9]+$"), digits.try_cast("bigint"))
+    )
+
+
+def _checks(param: Param, text: Column, shape: Column) -> tuple[Column, list[Column]]:
+    """The value, as text or bigint, and the complaints about it, NULL where there is none.
+
+    ``shape`` is the JSON type of the value: NULL where it is absent, ``VOID`` where it is null.
+    """
+    absent, optional = shape.isNull(), not param.required or param.default is not None
+    if param.default is not None:
+        text = F.when(absent, F.lit(str(param.default))).otherwise(text)
     problems = []
+    value = text
     if param.kind == "int":
-        if param.default is not None:
-            text = F.when(absent, F.lit(str(param.default))).otherwise(text)
-        number = (
-            F.when(shape.isin("DECIMAL", "DOUBLE", "FLOAT"), text.try_cast("double").try_cast("bigint"))
-            .when(shape == "BOOLEAN", text.try_cast("boolean").cast("bigint"))
-            .when(F.trim(text).rlike(r"^[+-]?[0-9]+$"), F.trim(text).try_cast("bigint"))
-        )
-        result = number
+        value = _number(text, F.coalesce(shape, F.lit("STRING")))
         if param.required or param.default is not None:
-            empty = text.isNull()
-            problems.append(F.when(empty, f"{param.name}: required"))
-            problems.append(F.when(~empty & number.isNull(), f"{param.name}: not an integer"))
-        else:
-            problems.append(F.when(text.isNotNull() & number.isNull(), f"{param.name}: not an integer"))
+            problems.append(F.when(text.isNull(), f"{param.name}: required"))
+        problems.append(F.when(text.isNotNull() & value.isNull(), f"{param.name}: not an integer"))
     else:
-        result = text
-        if param.required and param.default is None:
+        if not optional:
             problems.append(F.when(absent, f"{param.name}: required"))
-        elif param.default is not None:
-            result = F.when(absent, F.lit(str(param.default))).otherwise(text)
         if param.kind is not None:
-            wrong = ~null & ~shape.isin(*KINDS[param.kind])
+            wrong = ~shape.isin("VOID", *KINDS[param.kind])
             problems.append(F.when(wrong, f"{param.name}: wrong type"))
     if param.allowed is not None:
         choices = [str(a) for a in param.allowed if a is not None]
-        fits = result.cast("string").isin(*choices)
-        missing = absent & F.lit(param.required)
-        ok = F.coalesce(fits, F.lit(None in param.allowed)) | missing
-        problems.append(F.when(~ok, f"{param.name}: value not allowed"))
-    return result, problems
+        fits = F.coalesce(value.cast("string").isin(*choices), F.lit(None in param.allowed))
+        # a missing required parameter is reported once
+        asked = F.lit(optional) | ~absent
+        problems.append(F.when(asked & ~fits, f"{param.name}: value not allowed"))
+    return value, problems
 
 
 def validate_requests(
@@ -84,9 +82,20 @@ def validate_requests(
     ``strict`` also refuses parameters that were not declared. A body that is no JSON object is
     ``malformed`` and gets no further complaint.
     """
+    columns = df.columns
     json = F.try_parse_json(F.col(body))
     df = df.withColumn("_json", json).withColumn("_keys", F.json_object_keys(F.col(body)))
-    parsed = {p.name: _checks(F.col("_json"), p) for p in params}
+    # in steps, so that every value is read from the body once
+    values = {f"_value_{p.name}": F.try_variant_get("_json", f"$.{p.name}", "variant") for p in params}
+    df = df.withColumns(values)
+    parts = {}
+    for p in params:
+        value = F.col(f"_value_{p.name}")
+        shape = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+        parts[f"_text_{p.name}"] = F.try_variant_get(value, "$", "string")
+        parts[f"_shape_{p.name}"] = F.when(value.isNotNull(), shape)
+    df = df.withColumns(parts)
+    parsed = {p.name: _checks(p, F.col(f"_text_{p.name}"), F.col(f"_shape_{p.name}")) for p in params}
     problems = [problem for _, found in parsed.values() for problem in found]
     if strict:
         declared = F.array(*[F.lit(p.name) for p in params])
@@ -98,9 +107,8 @@ def validate_requests(
     reasons = F.when(malformed, F.array(F.lit("malformed"))).otherwise(
         F.concat(F.array_compact(F.array(*problems)), unknown)
     )
-    return df.withColumns({**{n: v for n, (v, _) in parsed.items()}, "reasons": reasons}).drop(
-        "_json", "_keys"
-    )
+    kept = [F.col(c) for c in columns if c not in parsed]
+    return df.select(*kept, *[v.alias(n) for n, (v, _) in parsed.items()], reasons.alias("reasons"))
 
 
 def split_requests(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,28 +9,62 @@ batches and overwrites its own folder. ``rejected/batch=<n>`` holds the refused
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rollbook.operators.folds import Fold
-from rollbook.operators.lookup import semi_keys
+from rollbook.operators import folds
 
 FIRST_BATCH = -1  # the table as it was before the stream
+# Keys of a micro-batch up to this count are broadcast to the scan of the table.
+BROADCAST_KEYS = 1_000_000
 
 
-def start_table(rows: DataFrame, folder: str) -> None:
-    """Write the rows a stream starts from."""
+class Record(NamedTuple):
+    """How a record type takes a stream of changes."""
+
+    keys: Sequence[str]
+    fold: Callable[[DataFrame, DataFrame], folds.Fold]
+    # columns that must stay unique, and the form in which the feed asks for them
+    names: Sequence[str] = ()
+    asked: Callable[[DataFrame], DataFrame] = lambda feed: feed
+    # column the uid of a created row is made from
+    named_by: str = ""
+
+
+def _student_names(feed: DataFrame) -> DataFrame:
+    blank = F.coalesce(F.col("username"), F.lit("")) == ""
+    return feed.withColumn("username", F.when(blank, F.col("student_name")).otherwise(F.col("username")))
+
+
+RECORDS = {
+    "score": Record(["course_uid", "student_uid"], folds.upsert_scores),
+    "student": Record(["student_uid"], folds.upsert_students, ["username"], _student_names, "username"),
+    "course": Record(
+        ["course_uid"],
+        folds.upsert_courses,
+        ["teacher_uid", "class_uid", "course_name"],
+        named_by="course_name",
+    ),
+    "class": Record(["class_uid"], folds.upsert_classes, ["class_name"], named_by="class_name"),
+}
+
+
+def start_table(rows: DataFrame, folder: str, feed: DataFrame) -> None:
+    """Write the rows a stream starts from, ready to take changes shaped like ``feed``."""
+    rows = folds.with_position(rows, feed)
     rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={FIRST_BATCH}")
 
 
-def read_table(
-    spark: SparkSession, folder: str, keys: Sequence[str], before: int | None = None
-) -> DataFrame:
-    """The current rows, or those before a batch: the newest version of every key."""
-    versions = spark.read.parquet(f"{folder}/rows")
-    return _newest(versions if before is None else versions.where(F.col("batch") < before), keys)
+def read_table(spark: SparkSession, folder: str, record: str) -> DataFrame:
+    """The current rows: the newest version of every key."""
+    return _newest(spark.read.parquet(f"{folder}/rows"), RECORDS[record].keys)
+
+
+def read_rejected(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/rejected").drop("batch")
 
 
 def _newest(versions: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -39,58 +73,67 @@ def _newest(versions: DataFrame, keys: Sequence[str]) -> DataFrame:
     return versions.groupBy(*keys).agg(newest).select(*keys, "_row.*")
 
 
-def compact(spark: SparkSession, folder: str, keys: Sequence[str], target: str) -> None:
+def compact(spark: SparkSession, folder: str, record: str, target: str) -> None:
     """Write the current rows as the start of a new folder, to be used from then on."""
-    start_table(read_table(spark, folder, keys), target)
+    rows = read_table(spark, folder, record)
+    rows.write.mode("overwrite").parquet(f"{target}/rows/batch={FIRST_BATCH}")
 
 
-def apply_batch(
-    batch: DataFrame,
-    batch_id: int,
-    folder: str,
-    fold: Callable[[DataFrame, DataFrame], Fold],
-    keys: Sequence[str],
-    touches: Callable[[DataFrame, DataFrame], DataFrame],
-) -> None:
-    """Fold one micro-batch. ``touches(rows, feed)`` picks the versions the feed may concern."""
-    spark = batch.sparkSession
-    versions = spark.read.parquet(f"{folder}/rows").where(F.col("batch") < batch_id)
-    state = _newest(touches(versions, batch), keys)
-    result = fold(state, batch)
-    result.changed.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
-    result.rejected.write.mode("overwrite").parquet(f"{folder}/rejected/batch={batch_id}")
-
+def _small(keys: DataFrame) -> DataFrame:
+    """The distinct keys, to be broadcast where their count allows it."""
+    keys = keys.distinct()
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
-def by_keys(keys: Sequence[str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """For feeds that carry the full key, as scores do: only rows of those keys matter."""
-    return lambda versions, feed: semi_keys(versions, feed, list(keys))
 
+def _touched(versions: DataFrame, feed: DataFrame, record: Record) -> DataFrame:
+    """All versions of the rows the feed may concern: its keys, and whoever holds a name it asks for.
 
-def whole_table(versions: DataFrame, feed: DataFrame) -> DataFrame:
-    """For feeds with names that must be unique: any row may own a name."""
-    return versions
+    The keys of a micro-batch are few, so the table is scanned but not shuffled.
+    """
+    keys = feed.select(*record.keys)
+    if record.names:
+        asked = record.asked(feed)
+        created = asked.select(folds.new_uid(record.named_by).alias(record.keys[0]))
+        names = _small(asked.select(*record.names))
+        holders = versions.join(names, list(record.names), "left_semi").select(*record.keys)
+        keys = keys.union(created).union(holders)
+    return versions.join(_small(keys), list(record.keys), "left_semi")
+
+
+def apply_batch(batch: DataFrame, batch_id: int, folder: str, record: str) -> None:
+    """Fold one micro-batch into the table."""
+    how = RECORDS[record]
+    versions = batch.sparkSession.read.parquet(f"{folder}/rows").where(F.col("batch") < batch_id)
+    batch.persist()
+    try:
+        state = _newest(_touched(versions, batch, how), how.keys)
+        result = how.fold(state, batch)
+        result.changed.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+        result.rejected.write.mode("overwrite").parquet(f"{folder}/rejected/batch={batch_id}")
+    finally:
+        batch.unpersist()
 
 
 def apply_stream(
     changes: DataFrame,
     folder: str,
     checkpoint: str,
-    fold: Callable[[DataFrame, DataFrame], Fold],
-    keys: Sequence[str],
-    touches: Callable[[DataFrame, DataFrame], DataFrame] = whole_table,
-    delay: str | None = "1 hour",
+    record: str,
+    delay: str | None = None,
     **trigger: object,
 ) -> StreamingQuery:
-    """Start folding a stream of changes. Repeated ``event_id`` within ``delay`` are dropped.
+    """Start folding a stream of changes.
 
-    With ``delay=None`` the feed is taken as free of repeats; a replayed event is then late to its row
-    and changes nothing either.
+    With a ``delay``, an ``event_id`` seen again within it is dropped, as are events later than it.
+    Without, a repeated event reaches the fold, where it is late to its row and changes nothing; that
+    is all score feeds need. Feeds whose names move between rows should set a delay, since a repeated
+    create could otherwise claim a name its row gave up.
     """
     if delay:
         changes = changes.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
     return (
         changes.writeStream.foreachBatch(
-            lambda batch, batch_id: apply_batch(batch, batch_id, folder, fold, keys, touches)
+            lambda batch, batch_id: apply_batch(batch, batch_id, folder, record)
         )
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
