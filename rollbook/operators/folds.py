@@ -157,15 +157,25 @@ def _resolve_names(
 ) -> DataFrame:
     """Add ``_owner`` (state row of that name) and ``_holder`` (that row, else the first claimant).
 
-    Both sides shrink to one row per name before they meet.
+    ``_off`` and ``_owner_at`` are the owner's deleted flag and position. Both sides shrink to one row
+    per name before they meet.
     """
     names = list(names)
     complete = reduce(operator.and_, [F.col(n).isNotNull() for n in names])
     owners = (
         state.where(complete)
         .groupBy(*names)
-        .agg(F.min(F.struct((F.col("status") != 1).alias("off"), F.col(key).alias("uid"))).alias("_o"))
-        .select(*names, F.col("_o.uid").alias("_owner"))
+        .agg(
+            F.min(
+                F.struct((F.col("status") != 1).alias("off"), F.col(key).alias("uid"), _here().alias("at"))
+            ).alias("_o")
+        )
+        .select(
+            *names,
+            F.col("_o.uid").alias("_owner"),
+            F.col("_o.off").alias("_off"),
+            F.col("_o.at").alias("_owner_at"),
+        )
     )
     first = (
         events.where(complete & claims)
@@ -174,7 +184,7 @@ def _resolve_names(
         .select(*names, F.col("_f._uid").alias("_first"))
     )
     holders = first.join(owners, names, "full_outer").select(
-        *names, "_owner", F.coalesce("_owner", "_first").alias("_holder")
+        *names, "_owner", "_off", "_owner_at", F.coalesce("_owner", "_first").alias("_holder")
     )
     return events.join(holders, names, "left")
 
@@ -377,31 +387,18 @@ def upsert_courses(state: DataFrame, feed: DataFrame) -> Fold:
             "course_uid": F.when(create, F.col("_holder")).otherwise(F.col("course_uid")),
         }
     )
-    applied = events.where(~F.col("_late") & ((create & complete) | patch | delete))
-    sets = {
-        c: F.col("_birth") | (patch & _given(c)) for c in ["course_name", "class_uid"]
-    }
-    joined = _join_state(
-        state, applied, keys, sets, {"_deleted": F.max(F.when(delete, _at()))}
-    )
     # The create that brings a course back is the first one after its last delete; only it stamps.
-    off = F.when(
-        _true(F.col("_deleted") > F.col("_base")), F.col("_deleted")
-    ).when(F.col("_known") & (F.col("status") != 1), F.col("_base"))
-    marks = joined.where(F.col("_last").isNotNull()).select(*keys, off.alias("_off"))
-    back = (
-        applied.where(create)
-        .join(marks.where(F.col("_off").isNotNull()), keys)
-        .where(_at() > F.col("_off"))
-        .groupBy(*keys)
-        .agg(F.min(_at()).alias("_back"))
-    )
-    rows = _next_state(
-        joined.join(back, keys, "left"),
-        state.columns,
-        list(sets),
-        F.greatest("_stamped", "_back"),
+    deletes = feed.where(delete).groupBy(*keys).agg(F.max(_at()).alias("_gone"))
+    gone = F.col("_gone")
+    deleted = F.when(gone.isNull(), F.col("_off")).otherwise(
+        (_at() > gone) & (F.col("_owner").isNull() | F.col("_off") | (gone > F.col("_owner_at")))
     )
+    fresh = F.col("_owner").isNull() | (_at() > F.col("_owner_at"))
+    events = events.join(deletes, keys, "left").withColumn("_back", _true(create & deleted & fresh))
+    applied = events.where(~F.col("_late") & ((create & complete) | patch | delete))
+    sets = {c: F.col("_birth") | (patch & _given(c)) for c in ["course_name", "class_uid"]}
+    joined = _join_state(state, applied, keys, sets, {"_returned": F.min(F.when(F.col("_back"), _at()))})
+    rows = _next_state(joined, state.columns, list(sets), F.greatest("_stamped", "_returned"))
 
     judged = _missing(events, keys)
     rejected = judged.withColumn(

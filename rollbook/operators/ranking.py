@@ -48,11 +48,11 @@ def _digits(df: DataFrame, name: str) -> list[Column]:
 
 
 def _tie_digits(df: DataFrame, name: str) -> list[Column]:
-    """Coarse digit of the tie-break: 65,536 neighbouring numbers, or three leading characters."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.IntegralType):
+    """Coarse digits of the tie-break: 65,536 neighbouring numbers, or leading characters of a uid."""
+    if isinstance(df.schema[name].dataType, T.IntegralType):
         return [F.shiftright(F.col(name).cast("bigint"), 16)]
-    return [F.substring(F.col(name).cast("string"), 1, 3)]
+    text = F.col(name).cast("string")
+    return [F.substring(text, 1, 3), F.substring(text, 4, 3)]
 
 
 def _prefix(depth: int) -> Column:
