@@ -96,11 +96,14 @@ def key_rank(
     name: str = "pos",
     hot_rows: int = HOT_ROWS,
     first: int | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Number the rows of every key from 1, by one sort column and a tie-break unique within the key.
 
     Rows without a key are left out: no listing asks for them. No keys at all means one numbering of
     the whole table. ``first`` keeps only the first rows of every key, without numbering the rest.
+    ``at_most`` is an upper bound of the rows where the caller has one, as Parquet knows the count of a
+    stored table without reading it; a table no larger than ``hot_rows`` has no hot key to look for.
     """
     keys = list(keys)
     column, way = order[0], direction(order[1])
@@ -108,7 +111,8 @@ def key_rank(
     if keys:
         df = df.where(reduce(operator.and_, [F.col(k).isNotNull() for k in keys]))
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    hot_count = hot.count()
+    small = at_most is not None and at_most <= hot_rows
+    hot_count = 0 if small else hot.count()
     if hot_count == 0:
         ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*sort)))
         return ranked if first is None else ranked.where(F.col(name) <= first)
