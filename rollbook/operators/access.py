@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions.predicates import is_live
+from rollbook.operators.joins import left_join
 
 # The role each resource is open to.
 RESOURCE_ROLES = {
@@ -53,11 +54,10 @@ def scoped_read(requests: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
         asked = asked.join(F.broadcast(totals), "resource", "left")
         visible = F.coalesce("all_rows", visible)
     if owned is not None:
-        # requests that own nothing are spread out instead of meeting under one empty key
-        spread = F.concat(F.lit(" "), F.pmod(F.xxhash64(*requests.columns), F.lit(10_000)).cast("string"))
+        # other requests have no owner and need no partner
         mine = F.col("resource").isin(*OWNED_RESOURCES) & F.col("allowed")
-        owner = F.when(mine, F.col("user_uid").cast("string")).otherwise(spread)
-        asked = asked.withColumn("owner", owner).join(owned, ["resource", "owner"], "left")
+        asked = asked.withColumn("owner", F.when(mine, F.col("user_uid").cast("string")))
+        asked = left_join(asked, owned, ["resource", "owner"])
         visible = F.coalesce("own_rows", visible)
     visible = F.when(F.col("allowed"), visible).otherwise(0).cast("bigint")
     return asked.select(*requests.columns, "allowed", visible.alias("visible"))

@@ -22,6 +22,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollbook.operators.joins import left_join
+
 APPLIED = ["applied_ts", "applied_id"]
 
 
@@ -145,7 +147,7 @@ def _result(rows: DataFrame, rejected: DataFrame) -> Fold:
 def _known_targets(events: DataFrame, state: DataFrame, key: str) -> DataFrame:
     """Events with ``_known`` (``_uid`` is in the state) and ``_late`` against that row's position."""
     targets = state.select(F.col(key).alias("_uid"), F.lit(True).alias("_known"), _here().alias("_here"))
-    found = events.join(targets, "_uid", "left")
+    found = left_join(events, targets, ["_uid"])
     known = F.coalesce("_known", F.lit(False))
     # a create whose own uid is in the state has been applied before
     late = known & ((F.col("op") == "create") | (_at() <= F.col("_here")))
@@ -186,13 +188,13 @@ def _resolve_names(
     holders = first.join(owners, names, "full_outer").select(
         *names, "_owner", "_off", "_owner_at", F.coalesce("_owner", "_first").alias("_holder")
     )
-    return events.join(holders, names, "left")
+    return left_join(events, holders, names)
 
 
 def _missing(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add ``_absent``: the target row is neither in the state nor born earlier in the batch."""
     births = events.where("_birth").select(*keys, _at().alias("_birth_at"))
-    found = events.join(births, list(keys), "left")
+    found = left_join(events, births, keys)
     unborn = _true(F.col("_birth_at").isNull() | (_at() < F.col("_birth_at")))
     return found.withColumn("_absent", ~F.col("_known") & ~F.col("_birth") & unborn)
 
@@ -217,7 +219,7 @@ def upsert_scores(state: DataFrame, feed: DataFrame) -> Fold:
 
     targets = joined.select(*keys, "_known", "_base")
     before = F.when(F.col("_known"), _at() <= F.col("_base"))
-    rejected = feed.join(targets, keys, "left").withColumn(
+    rejected = left_join(feed, targets, keys).withColumn(
         "reason",
         F.when(~_true(F.col("op").isin("create", "patch")), "unknown_op")
         .when(before, "late")
@@ -372,7 +374,7 @@ def upsert_courses(state: DataFrame, feed: DataFrame) -> Fold:
     targets = owned.select(
         F.col("course_uid").alias("_uid"), "_teacher", _here().alias("_here")
     )
-    events = events.join(targets, "_uid", "left")
+    events = left_join(events, targets, ["_uid"])
     known = F.col("_teacher").isNotNull()
     late = known & (create | ((F.col("_teacher") == F.col("teacher_uid")) & (_at() <= F.col("_here"))))
     events = events.withColumn("_late", _true(late)).withColumn(
@@ -394,7 +396,7 @@ def upsert_courses(state: DataFrame, feed: DataFrame) -> Fold:
         (_at() > gone) & (F.col("_owner").isNull() | F.col("_off") | (gone > F.col("_owner_at")))
     )
     fresh = F.col("_owner").isNull() | (_at() > F.col("_owner_at"))
-    events = events.join(deletes, keys, "left").withColumn("_back", _true(create & deleted & fresh))
+    events = left_join(events, deletes, keys).withColumn("_back", _true(create & deleted & fresh))
     applied = events.where(~F.col("_late") & ((create & complete) | patch | delete))
     sets = {c: F.col("_birth") | (patch & _given(c)) for c in ["course_name", "class_uid"]}
     joined = _join_state(state, applied, keys, sets, {"_returned": F.min(F.when(F.col("_back"), _at()))})

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollbook.operators.joins import left_join
+
 
 def lookup(
     df: DataFrame, dimension: DataFrame, key: str, name: str, dimension_key: str | None = None
@@ -14,16 +16,11 @@ def lookup(
     """Add ``name`` from the dimension row with the same key; ``""`` where there is none.
 
     Deleted dimension rows still give their name. The row count never changes: the dimension is
-    reduced to one name per key first, which also leaves it partitioned by the join key. Whether to
-    broadcast it is left to Spark, which knows its size; a hot key on the row side is split by the
-    runtime skew join.
+    reduced to one name per key first. Whether to broadcast it is left to Spark, which knows its size.
     """
-    names = (
-        dimension.where(F.col(dimension_key or key).isNotNull())
-        .groupBy(F.col(dimension_key or key).alias(key))
-        .agg(F.max(name).alias(name))
-    )
-    return df.join(names, key, "left").withColumn(name, F.coalesce(name, F.lit("")))
+    keyed = dimension.select(F.col(dimension_key or key).alias(key), name).where(F.col(key).isNotNull())
+    names = keyed.groupBy(key).agg(F.max(name).alias(name))
+    return left_join(df, names, [key]).withColumn(name, F.coalesce(name, F.lit("")))
 
 
 def profiles(students: DataFrame, teachers: DataFrame, classes: DataFrame) -> DataFrame:
@@ -51,7 +48,7 @@ def semi_keys(
 ) -> DataFrame:
     """Rows whose key is in the key frame; an empty frame gives no rows."""
     on = [on] if isinstance(on, str) else list(on)
-    rows = df.join(_key_set(keys, on), on, "left_semi")
+    rows = left_join(df, _key_set(keys, on), on, "left_semi")
     return rows.select(*columns) if columns else rows
 
 
@@ -60,11 +57,11 @@ def not_in_keys(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 
     NULLs in the key frame are ignored: they stand for no key rather than for an unknown one.
     """
-    return df.where(F.col(on).isNotNull()).join(_key_set(keys, [on]), on, "left_anti")
+    return left_join(df.where(F.col(on).isNotNull()), _key_set(keys, [on]), [on], "left_anti")
 
 
 def exists_check(requests: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
     """The requests with an ``exists`` flag: whether the table has a row of that key, live or not."""
     found = _key_set(table, on).withColumn("exists", F.lit(True))
-    flagged = requests.join(found, list(on), "left")
+    flagged = left_join(requests, found, on)
     return flagged.withColumn("exists", F.coalesce("exists", F.lit(False)))

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollbook.operators.joins import left_join
+
 
 def upsert_explicit(
     table: DataFrame,
@@ -64,7 +66,7 @@ def affected_counts(updates: DataFrame, table: DataFrame, on: Sequence[str]) ->
     """Per update, how many rows its key values match; an update that matches none has failed."""
     sizes = table.groupBy(*on).agg(F.count(F.lit(1)).alias("affected"))
     return (
-        updates.join(sizes, list(on), "left")
+        left_join(updates, sizes, on)
         .withColumn("affected", F.coalesce("affected", F.lit(0)))
         .withColumn("accepted", F.col("affected") > 0)
     )
