@@ -480,6 +480,16 @@ SELECT event_id,
     CASE WHEN c = 7 OR c < 5 AND NOT fits THEN 'kind: value not allowed' END,
     CASE WHEN c = 4 THEN 'zz: unknown' END) AS reasons
 FROM request"""),
+    "change_requests": sql("student_feed", """
+SELECT event_id, ts, op, student_uid, student_name, username, age, class_uid FROM student_feed
+WHERE op IN ('create', 'patch', 'delete') AND event_id % 17 > 0 AND event_id % 13 > 0
+  AND event_id % 10 > 0"""),
+    "rejected_requests": sql("student_feed", """
+SELECT event_id, ts, CASE WHEN op <> 'view' THEN op END AS op, concat_ws('; ',
+    CASE WHEN event_id % 13 = 0 THEN 'malformed' END, CASE WHEN event_id % 10 = 0 THEN 'forbidden' END,
+    CASE WHEN op = 'view' THEN 'unknown method' END,
+    CASE WHEN event_id % 17 = 0 AND event_id % 13 > 0 THEN 'age: not a number' END) AS reasons
+FROM student_feed WHERE op = 'view' OR event_id % 17 = 0 OR event_id % 13 = 0 OR event_id % 10 = 0"""),
     "render_rows": sql("student", """
 SELECT student_uid, coalesce(CAST(age AS VARCHAR), '') AS age, strftime(created, '%Y-%m-%d') AS created,
   CASE WHEN status = 1 THEN username ELSE '' END AS username,

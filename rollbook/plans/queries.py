@@ -17,6 +17,7 @@ from rollbook.operators.access import scoped_read
 from rollbook.operators.aggregation import group_agg as grouped
 from rollbook.plans import feeds, records
 from rollbook.session import shared_folder
+from rollbook.sources.change_requests import change_requests as to_feed
 from rollbook.sources.request_log import log_line, parse_log
 from rollbook.sources.requests import Param, validate_requests as validate
 from rollbook.sources.sinks import BUCKET_FORMATS, append_rows as append, bucket
@@ -474,6 +475,42 @@ def validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _student_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = feeds.student_feed(spark, sf_dir)
+    method = (
+        F.when(F.col("op") == "create", "POST")
+        .when(F.col("op") == "patch", "PUT")
+        .when(F.col("op") == "delete", "DELETE")
+        .otherwise("HEAD")
+    )
+    number = F.when(F.col("event_id") % 17 == 0, "many").otherwise(F.col("age").cast("string"))
+    body = F.to_json(
+        F.struct("student_uid", "student_name", "username", number.alias("age"), "class_uid")
+    )
+    body = F.when(F.col("event_id") % 13 == 0, F.substring(body, 1, 15)).otherwise(body)
+    identity = F.when(F.col("event_id") % 10 == 0, "student").otherwise("teacher")
+    return feed.select(
+        "event_id",
+        "ts",
+        method.alias("method"),
+        identity.alias("identity"),
+        F.lit("t").alias("user_uid"),
+        body.alias("body"),
+    )
+
+
+@query
+def change_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed, _ = to_feed(_student_requests(spark, sf_dir), "student")
+    return feed
+
+
+@query
+def rejected_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, rejected = to_feed(_student_requests(spark, sf_dir), "student")
+    return rejected.withColumn("reasons", F.array_join("reasons", "; "))
+
+
 @query
 def render_rows_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     students = records.students(spark, sf_dir)

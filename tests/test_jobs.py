@@ -186,3 +186,41 @@ def test_shared_folder(spark):
     assert shared_folder(Session("hdfs://shared/place/", "yarn")) == "hdfs://shared/place"
     with pytest.raises(ValueError):
         shared_folder(Session(None, "yarn"))
+
+
+def test_requests_become_a_feed_and_fold(spark):
+    from rollbook.operators.folds import upsert_courses
+    from rollbook.sources.change_requests import change_requests
+
+    rows = [
+        (1, "POST", "teacher", "t1", '{"course_name": "Art", "class_uid": "c", "more": 1}'),
+        (2, "POST", "student", "s1", '{"course_name": "Art", "class_uid": "c"}'),
+        (3, "PUT", "teacher", "t2", '{"course_uid": "x", "class_uid": "c"}'),
+        (4, "DELETE", "teacher", "t2", '{"course_uid": "x"}'),
+        (5, "PATCH", "teacher", "t2", "{}"),
+        (6, "POST", None, "t2", "[]"),
+    ]
+    requests = spark.createDataFrame(
+        [(r[0], dt.datetime(2024, 1, 1), *r[1:]) for r in rows],
+        "event_id bigint, ts timestamp, method string, identity string, user_uid string, body string",
+    )
+    feed, rejected = change_requests(requests, "course")
+    assert tuples(feed, "event_id", "op", "course_name", "teacher_uid") == [
+        (1, "create", "Art", "t1"), (4, "delete", None, "t2")
+    ]
+    assert [r for _, r in tuples(rejected, "event_id", "reasons")] == [
+        ["forbidden"], ["course_name: required"], ["unknown method"], ["malformed", "forbidden"],
+    ]
+    state = spark.createDataFrame([], RECORD_SCHEMAS["course"])
+    fold = upsert_courses(state, feed)
+    assert tuples(fold.table, "course_name", "teacher_uid", "status") == [("Art", "t1", 1)]
+    assert tuples(fold.rejected, "event_id", "reason") == [(4, "no_match")]
+
+    score = spark.createDataFrame(
+        [(1, dt.datetime(2024, 1, 1), "POST", "teacher", "t", '{"course_uid": "c", "student_uid": 5, "score": "89.5"}'),
+         (2, dt.datetime(2024, 1, 1), "PUT", "teacher", "t", '{"course_uid": "c", "student_uid": 5, "score": "x"}')],
+        requests.schema,
+    )
+    feed, rejected = change_requests(score, "score")
+    assert tuples(feed, "student_uid", "score") == [("5", Decimal("89.50"))]
+    assert tuples(rejected, "reasons") == [(["score: not a number"],)]
