@@ -94,7 +94,12 @@ def validate_requests(
         shape = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
         parts[f"_text_{p.name}"] = F.try_variant_get(value, "$", "string")
         parts[f"_shape_{p.name}"] = F.when(value.isNotNull(), shape)
-    df = df.withColumns(parts)
+    # A filter on the reasons must not carry the parsing down with it and repeat it per condition; it
+    # stays above a generated row.
+    extracted = [e.alias(name) for name, e in parts.items()]
+    malformed = (F.col("_json").isNull() | F.col("_keys").isNull()).alias("_malformed")
+    row = F.struct("_keys", malformed, *extracted)
+    df = df.select(*columns, F.inline(F.array(row)))
     parsed = {p.name: _checks(p, F.col(f"_text_{p.name}"), F.col(f"_shape_{p.name}")) for p in params}
     problems = [problem for _, found in parsed.values() for problem in found]
     if strict:
@@ -103,8 +108,7 @@ def validate_requests(
         unknown = F.transform(unknown, lambda k: F.concat(k, F.lit(": unknown")))
     else:
         unknown = F.array().cast("array<string>")
-    malformed = F.col("_json").isNull() | F.col("_keys").isNull()
-    reasons = F.when(malformed, F.array(F.lit("malformed"))).otherwise(
+    reasons = F.when(F.col("_malformed"), F.array(F.lit("malformed"))).otherwise(
         F.concat(F.array_compact(F.array(*problems)), unknown)
     )
     kept = [F.col(c) for c in columns if c not in parsed]
