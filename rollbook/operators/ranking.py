@@ -32,25 +32,38 @@ BROADCAST_KEYS = 500_000
 
 
 def _digits(df: DataFrame, name: str) -> list[Column]:
-    """Coarse-to-fine spelling of a sort column; sorting by the digits sorts by the column."""
+    """Coarse-to-fine spelling of a sort column; sorting by the digits sorts by the column.
+
+    Few digits share a parent: 86,400 seconds a day, a million moments a second, 65,536 neighbouring
+    numbers, the hundredths of a score.
+    """
     kind = df.schema[name].dataType
     column = F.col(name)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         second = F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
         return [F.to_date(column), second, column]
-    if isinstance(kind, (T.DecimalType, T.FractionalType)):
-        return [F.floor(column), column]
+    if isinstance(kind, T.DecimalType):
+        if kind.precision - kind.scale > 18:
+            return [F.floor(column), column]
+        return [*_number_digits(F.floor(column)), F.floor(column), column]
+    if isinstance(kind, T.FractionalType):
+        return [F.isnan(column), *_number_digits(F.floor(column)), F.floor(column), column]
     if isinstance(kind, T.IntegralType):
-        return [F.shiftright(column.cast("bigint"), 16), column]
+        return [*_number_digits(column), column]
     if isinstance(kind, T.StringType):
         return [F.substring(column, 1, 2), F.substring(column, 3, 2), column]
     return [column]
 
 
+def _number_digits(column: Column) -> list[Column]:
+    whole = column.cast("bigint")
+    return [F.shiftright(whole, 32), F.shiftright(whole, 16)]
+
+
 def _tie_digits(df: DataFrame, name: str) -> list[Column]:
     """Coarse digits of the tie-break: 65,536 neighbouring numbers, or leading characters of a uid."""
     if isinstance(df.schema[name].dataType, T.IntegralType):
-        return [F.shiftright(F.col(name).cast("bigint"), 16)]
+        return _number_digits(F.col(name))
     text = F.col(name).cast("string")
     return [F.substring(text, 1, 3), F.substring(text, 4, 3)]
 

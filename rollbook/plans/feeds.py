@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.plans.records import classes, courses, given, score_changes, students
+from rollbook.plans.records import classes, courses, given_table, score_changes, students
 
 # Changes before this moment make the score state, later ones the feed.
 SCORE_CUT = "1998-06-01"
@@ -72,7 +72,7 @@ def score_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    return given(spark, sf_dir).table("events").withColumn("k", k)
+    return given_table(spark, sf_dir, "events").withColumn("k", k)
 
 
 def _text(column: Column) -> Column:
@@ -127,7 +127,7 @@ def course_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, k, target = F.col("event_type"), F.col("k"), F.col("target")
     create, patch = kind.isin("signup", "error"), kind.isin("click", "view")
     events = _numbered_events(spark, sf_dir).withColumn("target", F.col("user_id") * 10 + k)
-    part = given(spark, sf_dir).table("part").select("p_partkey", "p_name", "p_size")
+    part = given_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     rows = events.join(part, F.col("target") == F.col("p_partkey"), "left")
     other = (kind == "signup") & (k % 2 == 0)
     wrong = ~create & (k % 4 == 0)

@@ -111,7 +111,7 @@ def scoped_read_job(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "error", "class")
         .otherwise("grades")
     )
-    requests = records.given(spark, sf_dir).table("events").select(
+    requests = records.given_table(spark, sf_dir, "events").select(
         F.col("event_id").alias("request_id"),
         F.when(F.col("event_id") % 2 == 0, "student").otherwise("teacher").alias("identity"),
         F.col("user_id").alias("user_uid"),
@@ -133,7 +133,7 @@ def scoped_read_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rows(spark: SparkSession, sf_dir: str, table: str) -> int:
     """Rows of a stored table, which Parquet knows without reading it: no listing of it has more."""
-    return records.given(spark, sf_dir).table(table).count()
+    return records.given_table(spark, sf_dir, table).count()
 
 
 @query
@@ -299,7 +299,7 @@ def semi_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def exists_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = records.given(spark, sf_dir).table("events").select(
+    requests = records.given_table(spark, sf_dir, "events").select(
         "event_id",
         (F.col("event_id") % 2500).alias("course_uid"),
         F.col("user_id").alias("student_uid"),
@@ -330,7 +330,7 @@ def upsert_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
         "student_uid", "student_name", "age", "status",
         F.col("created").cast("timestamp_ntz").alias("updated"),
     )
-    rows = records.given(spark, sf_dir).table("events").select(
+    rows = records.given_table(spark, sf_dir, "events").select(
         (F.col("user_id") * 11).alias("student_uid"),
         F.concat(F.lit("New "), F.col("event_type")).alias("student_name"),
         (F.col("event_id") % 30).cast("int").alias("age"),
@@ -351,7 +351,7 @@ def patch_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def affected_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    updates = records.given(spark, sf_dir).table("events").select(
+    updates = records.given_table(spark, sf_dir, "events").select(
         "event_id",
         (F.col("user_id") % 30).alias("class_uid"),
         (F.col("event_id") % 2).cast("int").alias("status"),
@@ -372,7 +372,7 @@ def soft_delete_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _soft_delete(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    deletes = records.given(spark, sf_dir).table("events").where(F.col("event_type") == "error")
+    deletes = records.given_table(spark, sf_dir, "events").where(F.col("event_type") == "error")
     deletes = deletes.select(
         (F.col("user_id") * 17).alias("course_uid"), (F.col("user_id") % 10).alias("teacher_uid"), "ts"
     )
@@ -468,7 +468,7 @@ def validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         Param("k", "int"),
         Param("kind", "string", allowed=["signup", "purchase", "click"]),
     ]
-    requests = records.given(spark, sf_dir).table("events").select("event_id", body.alias("body"))
+    requests = records.given_table(spark, sf_dir, "events").select("event_id", body.alias("body"))
     checked = validate(requests, "body", params)
     return checked.select(
         "event_id", "k", "kind", F.array_join("reasons", "; ").alias("reasons")
@@ -536,7 +536,7 @@ def render_rows_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def token_audit_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = records.given(spark, sf_dir).table("events")
+    events = records.given_table(spark, sf_dir, "events")
     identity = F.when(F.col("event_id") % 2 == 0, "student").otherwise("teacher")
     made = make_token(
         identity, F.col("user_id"), F.lit(1704067200) + F.col("event_id") * 100, 0, AUDIT_SALT
@@ -562,7 +562,7 @@ def sign_params_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     stime = F.concat(F.lit("1704067200"), F.lpad((F.col("event_id") % 10000).cast("string"), 4, "0"))
     signature = sign_params(params, F.lit("internal"), stime)
-    return records.given(spark, sf_dir).table("events").select(
+    return records.given_table(spark, sf_dir, "events").select(
         "event_id", signature.alias("signature")
     )
 
@@ -571,7 +571,7 @@ def sign_params_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def expiry_strings_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     now, later = expiry_strings(F.col("ts"), F.col("event_id") % 5000 * 60)
-    return records.given(spark, sf_dir).table("events").select(
+    return records.given_table(spark, sf_dir, "events").select(
         "event_id", now.alias("now_str"), later.alias("expire_str")
     )
 
@@ -592,7 +592,7 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("uid="), F.col("user_id").cast("string")),
     )
     line = F.when(F.col("event_id") % 11 == 0, F.substring(line, 1, 20)).otherwise(line)
-    events = records.given(spark, sf_dir).table("events")
+    events = records.given_table(spark, sf_dir, "events")
     parsed = parse_log(events.select("event_id", line.alias("line")))
     return parsed.withColumn("ms", F.col("ms").cast("double"))
 
@@ -604,7 +604,7 @@ def time_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
             *[F.struct(F.lit(w).alias("way"), bucket("ts", w).alias("bucket")) for w in BUCKET_FORMATS]
         )
     )
-    marked = records.given(spark, sf_dir).table("events").select(ways.alias("b"), "value")
+    marked = records.given_table(spark, sf_dir, "events").select(ways.alias("b"), "value")
     return marked.groupBy("b.way", "b.bucket").agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +12,17 @@ from rollbook.sources.catalog import Catalog
 GIVEN = ("nation", "supplier", "customer", "part", "orders", "lineitem", "events")
 
 
+@lru_cache(maxsize=8)
 def given(spark: SparkSession, sf_dir: str) -> Catalog:
     return Catalog(spark, {"given": {name: f"{sf_dir}/{name}.parquet" for name in GIVEN}})
 
 
+@lru_cache(maxsize=64)
+def given_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A provided table; its schema is read from the files once per session."""
+    return given(spark, sf_dir).table(name)
+
+
 def _day(number: Column) -> Column:
     return F.date_add(F.lit("2020-01-01").cast("date"), number.cast("int"))
 
@@ -24,7 +33,7 @@ def _status(deleted: Column) -> Column:
 
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("n_nationkey")
-    return given(spark, sf_dir).table("nation").select(
+    return given_table(spark, sf_dir, "nation").select(
         key.cast("bigint").alias("class_uid"),
         F.col("n_name").alias("class_name"),
         _status(key % 12 == 11).alias("status"),
@@ -33,7 +42,7 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def teachers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return given(spark, sf_dir).table("supplier").select(
+    return given_table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("teacher_uid"),
         F.col("s_name").alias("teacher_name"),
         F.lower("s_name").alias("username"),
@@ -42,7 +51,7 @@ def teachers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def students(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
-    return given(spark, sf_dir).table("customer").select(
+    return given_table(spark, sf_dir, "customer").select(
         key.alias("student_uid"),
         F.col("c_name").alias("student_name"),
         F.lower("c_name").alias("username"),
@@ -55,7 +64,7 @@ def students(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def courses(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
-    return given(spark, sf_dir).table("part").select(
+    return given_table(spark, sf_dir, "part").select(
         key.alias("course_uid"),
         F.col("p_name").alias("course_name"),
         (key % 10).alias("teacher_uid"),
@@ -66,8 +75,9 @@ def courses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalog = given(spark, sf_dir)
-    return score_changes_of(catalog.table("lineitem"), catalog.table("orders"))
+    return score_changes_of(
+        given_table(spark, sf_dir, "lineitem"), given_table(spark, sf_dir, "orders")
+    )
 
 
 def score_changes_of(lineitem: DataFrame, orders: DataFrame) -> DataFrame:

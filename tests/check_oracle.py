@@ -44,7 +44,7 @@ def rows(table, columns: list[str]) -> list[tuple]:
 def compare(spark, con, name: str, sf_dir: str) -> str:
     """Empty when the query and its SQL agree, else what differs."""
     got = queries()[name](spark, sf_dir).toArrow()
-    want = con.execute(oracle_sql()[name]).to_arrow_table()
+    want = con.sql(oracle_sql()[name]).to_arrow_table()
     columns = sorted(got.column_names)
     if columns != sorted(want.column_names):
         return f"columns {columns} != {sorted(want.column_names)}"

@@ -25,9 +25,9 @@ SCHEMAS = {
         "timestamp",
         lambda r: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=r.randrange(4), microseconds=r.randrange(3)),
     ),
-    "double": ("double", lambda r: r.choice([-1.5, -0.5, 0.25, 7.0, 7.5])),
+    "double": ("double", lambda r: r.choice([-1.5, -0.5, 0.25, 7.0, 7.5, float("nan"), 1e300, -1e300])),
     "decimal": ("decimal(10,2)", lambda r: __import__("decimal").Decimal(r.randrange(-300, 300)) / 100),
-    "int": ("int", lambda r: r.choice([-70000, 0, 5, 70000, 140000])),
+    "bigint": ("bigint", lambda r: r.choice([-(2**60), -70000, 0, 5, 70000, 2**40, 2**62])),
     "string": ("string", lambda r: r.choice(["", "a", "ab", "abcd", "abce", "b"])),
 }
 
