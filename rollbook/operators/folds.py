@@ -193,7 +193,7 @@ def _resolve_names(
 
 def _missing(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add ``_absent``: the target row is neither in the state nor born earlier in the batch."""
-    births = events.where("_birth").select(*keys, _at().alias("_birth_at"))
+    births = events.where("_birth").groupBy(*keys).agg(F.min(_at()).alias("_birth_at"))
     found = left_join(events, births, keys)
     unborn = _true(F.col("_birth_at").isNull() | (_at() < F.col("_birth_at")))
     return found.withColumn("_absent", ~F.col("_known") & ~F.col("_birth") & unborn)

@@ -105,12 +105,14 @@ def apply_batch(batch: DataFrame, batch_id: int, folder: str, record: str) -> No
     how = RECORDS[record]
     versions = batch.sparkSession.read.parquet(f"{folder}/rows").where(F.col("batch") < batch_id)
     batch.persist()
+    # as many rows as the micro-batch has keys; kept, so that the table is scanned once
+    state = _newest(_touched(versions, batch, how), how.keys).persist()
     try:
-        state = _newest(_touched(versions, batch, how), how.keys)
         result = how.fold(state, batch)
         result.changed.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
         result.rejected.write.mode("overwrite").parquet(f"{folder}/rejected/batch={batch_id}")
     finally:
+        state.unpersist()
         batch.unpersist()
 
 

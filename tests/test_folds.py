@@ -307,6 +307,17 @@ def test_order_of_rows_does_not_matter(spark, record):
     assert tuples(a.rejected) == tuples(b.rejected)
 
 
+@pytest.mark.parametrize("record", FOLDS)
+def test_repeated_events_in_one_batch(spark, record):
+    fold = FOLDS[record]
+    rows, events = random_case(record, seed=9)
+    start, changes = state(spark, record, *rows), feed(spark, record, *events)
+    once, twice = fold(start, changes), fold(start, changes.union(changes))
+    assert tuples(twice.table) == tuples(once.table)
+    assert tuples(twice.rejected.distinct()) == tuples(once.rejected)
+    assert twice.rejected.count() == 2 * once.rejected.count()
+
+
 # --- writes without rules of their own ------------------------------------------------------------
 
 
