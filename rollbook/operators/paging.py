@@ -28,8 +28,8 @@ def paginate(page: int, size: int = 20) -> tuple[int, int]:
 def pages(
     df: DataFrame,
     keys: Sequence[str],
-    order: tuple[str, str],
-    tie: str,
+    order: tuple[str, str] | Sequence[tuple[str, str]],
+    tie: str | None,
     size: int = 20,
     page: int | None = None,
     hot_rows: int = HOT_ROWS,
@@ -78,24 +78,27 @@ def query(
 ) -> DataFrame:
     """Filter, sort and page by keyword arguments. Without a page, all rows."""
     rows = table.where(where_kwargs(**(filters or {})))
-    rows = ordered(rows, order) if order else rows
     if page:
-        rows = order_page(rows, "", page, per_page)
+        rows = order_page(rows, order, page, per_page)
+    elif order:
+        rows = ordered(rows, order)
     return rows.selectExpr(*columns) if columns else rows
 
 
 def order_page(
     df: DataFrame, order: str | Sequence[tuple[str, str]], page: int, size: int
 ) -> DataFrame:
-    """One page of a whole frame, meant for the first pages.
+    """One page of a whole frame.
 
-    Spark runs it as a top-k that gathers ``page * size`` rows on the driver; deeper pages go through
-    ``pages(df, [], ..)``, which numbers rows in a distributed way.
+    Spark runs the first pages as a top-k that gathers ``page * size`` rows in one place. Deeper pages
+    number the rows in a distributed way instead, which an order given as text does not allow.
     """
     check_page(page, size)
     offset, count = paginate(page, size)
     if offset + count > TOP_ROWS:
-        raise ValueError("a page this deep needs pages(df, [], order, tie), which stays distributed")
+        if not order or isinstance(order, str):
+            raise ValueError("a page this deep needs its order as (column, way) pairs")
+        return pages(df, [], order, None, size, page).select(*df.columns)
     return (ordered(df, order) if order else df).offset(offset).limit(count)
 
 

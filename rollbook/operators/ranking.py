@@ -29,6 +29,8 @@ from rollbook.functions.ordering import direction, sort_column
 HOT_ROWS = 4_000_000
 # Hot keys up to this count are broadcast to the rows; beyond it Spark joins them as it sees fit.
 BROADCAST_KEYS = 500_000
+# When only so many first rows of a key are wanted, Spark drops the others before the shuffle.
+FIRST_ROWS = 100
 
 
 def _digits(df: DataFrame, name: str) -> list[Column]:
@@ -47,7 +49,9 @@ def _digits(df: DataFrame, name: str) -> list[Column]:
             return [F.floor(column), column]
         return [*_number_digits(F.floor(column)), F.floor(column), column]
     if isinstance(kind, T.FractionalType):
-        return [F.isnan(column), *_number_digits(F.floor(column)), F.floor(column), column]
+        # NaN sorts above every number, next to those too large for a whole number
+        whole = F.when(F.isnan(column), F.lit(2**63 - 1)).otherwise(F.floor(column))
+        return [*_number_digits(whole), whole, column]
     if isinstance(kind, T.IntegralType):
         return [*_number_digits(column), column]
     if isinstance(kind, T.StringType):
@@ -104,27 +108,30 @@ def _rows_before(chunks: DataFrame, keys: list[str], ways: list[str]) -> DataFra
 def key_rank(
     df: DataFrame,
     keys: Sequence[str],
-    order: tuple[str, str],
-    tie: str,
+    order: tuple[str, str] | Sequence[tuple[str, str]],
+    tie: str | None,
     name: str = "pos",
     hot_rows: int = HOT_ROWS,
     first: int | None = None,
     at_most: int | None = None,
 ) -> DataFrame:
-    """Number the rows of every key from 1, by one sort column and a tie-break unique within the key.
+    """Number the rows of every key from 1, by ``(column, way)`` or several of them, then by ``tie``.
 
+    The tie-break should be unique within the key; without one, equal rows come in any order.
     Rows without a key are left out: no listing asks for them. No keys at all means one numbering of
     the whole table. ``first`` keeps only the first rows of every key, without numbering the rest.
     ``at_most`` is an upper bound of the rows where the caller has one, as Parquet knows the count of a
     stored table without reading it; a table no larger than ``hot_rows`` has no hot key to look for.
     """
     keys = list(keys)
-    column, way = order[0], direction(order[1])
-    sort = [sort_column(column, way), F.col(tie).asc()]
+    sorts = [order] if isinstance(order[0], str) else list(order)
+    sort = [sort_column(column, way) for column, way in sorts]
+    sort += [F.col(tie).asc()] if tie else []
     if keys:
         df = df.where(reduce(operator.and_, [F.col(k).isNotNull() for k in keys]))
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     small = at_most is not None and at_most <= hot_rows
+    small = small or (first is not None and first <= FIRST_ROWS)
     hot_count = 0 if small else hot.count()
     if hot_count == 0:
         ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*sort)))
@@ -136,11 +143,10 @@ def key_rank(
         rows = df.join(marks, keys, "left")
     else:
         rows = df.withColumn("_hot", F.lit(True))
-    spelled, ties = _digits(df, column), _tie_digits(df, tie)
-    ways = [way] * len(spelled) + ["asc"] * len(ties)
-    digits = [
-        F.when(F.col("_hot"), digit).alias(f"d{i}") for i, digit in enumerate([*spelled, *ties])
-    ]
+    spelled = [(digit, direction(way)) for column, way in sorts for digit in _digits(df, column)]
+    spelled += [(digit, "asc") for digit in _tie_digits(df, tie)] if tie else []
+    ways = [way for _, way in spelled]
+    digits = [F.when(F.col("_hot"), digit).alias(f"d{i}") for i, (digit, _) in enumerate(spelled)]
     rows = rows.withColumn("_chunk", F.struct(*digits))
     chunks = rows.where("_hot").groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*sort)

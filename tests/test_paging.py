@@ -32,9 +32,19 @@ SCHEMAS = {
 }
 
 
-@pytest.mark.parametrize("kind", SCHEMAS)
-@pytest.mark.parametrize("way", ["asc", "desc"])
-def test_chunked_rank_equals_row_number(spark, kind, way):
+CASES = [
+    ("date", "desc", "uid"),
+    ("timestamp", "asc", "num"),
+    ("timestamp", "desc", "uid"),
+    ("double", "asc", "uid"),
+    ("decimal", "desc", "num"),
+    ("bigint", "asc", "num"),
+    ("string", "desc", "uid"),
+]
+
+
+@pytest.mark.parametrize(("kind", "way", "tie"), CASES)
+def test_chunked_rank_equals_row_number(spark, kind, way, tie):
     """Hot keys are numbered in chunks; the numbers are those of one window, NULLs included."""
     sql_type, make = SCHEMAS[kind]
     r = random.Random(7)
@@ -43,11 +53,10 @@ def test_chunked_rank_equals_row_number(spark, kind, way):
         for i in range(400)
     ]
     df = spark.createDataFrame(rows, f"k string, v {sql_type}, uid string, num bigint")
-    for tie in ("uid", "num"):
-        order = F.col("v").desc() if way == "desc" else F.col("v").asc()
-        want = df.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy(order, tie)))
-        got = key_rank(df, ["k"], ("v", way), tie, hot_rows=20)
-        assert tuples(got, "uid", "pos") == tuples(want, "uid", "pos")
+    order = F.col("v").desc() if way == "desc" else F.col("v").asc()
+    want = df.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy(order, tie)))
+    got = key_rank(df, ["k"], ("v", way), tie, hot_rows=20)
+    assert tuples(got, "uid", "pos") == tuples(want, "uid", "pos")
 
 
 def test_whole_table_rank_and_missing_keys(spark):
@@ -90,9 +99,37 @@ def test_page_limits(spark):
         order_page(df, "id", 0, 20)
     with pytest.raises(ValueError):
         order_page(df, "id", 10_000_000, 20)
+    assert order_page(df, [("id", "asc")], 10_000_000, 20).count() == 0
     assert paginate(0) == (0, 20) and paginate(1, 5) == (0, 5) and paginate(3, 5) == (10, 5)
 
 
+def test_deep_page_equals_sorted_page(spark, monkeypatch):
+    import rollbook.operators.paging as paging
+
+    df = spark.range(200).select((F.col("id") % 7).alias("a"), (F.col("id") % 11).alias("b"), "id")
+    order = [("a", "desc"), ("b", "asc"), ("id", "desc")]
+    want = order_page(df, order, 6, 13).collect()
+    monkeypatch.setattr(paging, "TOP_ROWS", 10)
+    got = order_page(df, order, 6, 13).collect()
+    assert len(got) == 13 and set(got) == set(want)
+
+
+@pytest.mark.parametrize("hot_rows", [9, 10_000])
+def test_rank_by_several_columns(spark, hot_rows):
+    df = spark.range(300).select(
+        (F.col("id") % 2).alias("k"), (F.col("id") % 5).alias("a"), (F.col("id") % 3 / 2).alias("b"), "id"
+    )
+    got = key_rank(df, ["k"], [("a", "desc"), ("b", "asc")], "id", hot_rows=hot_rows)
+    w = Window.partitionBy("k").orderBy(F.desc("a"), "b", "id")
+    assert tuples(got) == tuples(df.withColumn("pos", F.row_number().over(w)))
+
+
+def test_first_page_is_cut_before_the_shuffle(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
+    plan = pages(df, ["k"], ("id", "desc"), "id", 20, page=1)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
 def test_listing_hides_deleted_rows(spark):
     df = spark.createDataFrame(
         [("a", "u1", "Ann", 1, 1), ("a", "u2", "Bob", 0, 2), ("a", "u3", "Anna", 1, 3)],
