@@ -73,7 +73,7 @@ def _tie_digits(df: DataFrame, name: str) -> list[Column]:
 
 
 def _prefix(depth: int) -> Column:
-    return F.struct(*[F.col(f"_chunk.d{i}") for i in range(depth)])
+    return F.struct(*[F.col(f"_chunk.d{i}") for i in range(depth)]) if depth else F.struct(F.lit(0))
 
 
 def _rows_before(chunks: DataFrame, keys: list[str], ways: list[str]) -> DataFrame:
@@ -82,22 +82,21 @@ def _rows_before(chunks: DataFrame, keys: list[str], ways: list[str]) -> DataFra
     ``chunks`` has the keys, ``_chunk`` (a struct of digits) and ``_n``. Structs compare NULL digits as
     equal, which plain join keys would not.
     """
-    depth = len(ways)
-    parent = [*keys, "_parent"]
-    level = chunks.withColumn("_parent", _prefix(depth - 1) if depth > 1 else F.struct(F.lit(0)))
-    last = f"_chunk.d{depth - 1}"
+    depth, parent = len(ways), [*keys, "_parent"]
     siblings = (
         Window.partitionBy(*parent)
-        .orderBy(sort_column(last, ways[-1]))
+        .orderBy(sort_column(f"_chunk.d{depth - 1}", ways[-1]))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    level = level.withColumn("_before", F.coalesce(F.sum("_n").over(siblings), F.lit(0)))
+    level = (
+        chunks.groupBy(*keys, _prefix(depth).alias("_chunk"))
+        .agg(F.sum("_n").alias("_n"))
+        .withColumn("_parent", _prefix(depth - 1))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(siblings), F.lit(0)))
+    )
     if depth == 1:
         return level.select(*keys, "_chunk", "_before")
-    above = (
-        level.groupBy(*parent).agg(F.sum("_n").alias("_n")).withColumnRenamed("_parent", "_chunk")
-    )
-    above = _rows_before(above, keys, ways[:-1]).select(
+    above = _rows_before(chunks, keys, ways[:-1]).select(
         *keys, F.col("_chunk").alias("_parent"), F.col("_before").alias("_above")
     )
     return level.join(above, parent).select(
