@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rollbook.llm import chat, urls
 from rollbook.llm.decontamination import op5_decontamination
+from rollbook.llm.licenses import op4_licenses
 from rollbook.llm.pii import op1_pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op4_licenses": op4_licenses,
     "op5_decontamination": op5_decontamination,
+    "op6_chat": chat.op6_chat,
+    "op8_url_filter": urls.op8_url_filter,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_chat": chat.ORACLE, "op8_url_filter": urls.ORACLE}
