@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -79,11 +80,19 @@ def text_map(
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``SLICE_CHARS`` of text each, so that very long texts don't pile up."""
-    texts, start, size = batch.column(column), 0, 0
+    start = size = 0
+    sizes = batch_sizes(batch.column(column))
     for i in range(batch.num_rows):
-        size += texts[i].as_buffer().size if texts[i].is_valid else 0
+        size += sizes[i]
         if size >= SLICE_CHARS:
             yield batch.slice(start, i + 1 - start)
             start, size = i + 1, 0
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def batch_sizes(column: pa.Array) -> list[int]:
+    """Bytes of each text, or numbers of each list."""
+    if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        return pc.fill_null(pc.list_value_length(column), 0).to_pylist()
+    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
