@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollbook.llm import pieces, quality, simhash
 from rollbook.llm.common import keep, read
 from rollbook.llm.decontamination import decontaminate
 from rollbook.llm.pii import detect
+from rollbook.operators.joins import left_join
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling leaves out go."""
+    return quality.resample(docs, read(spark, sf_dir, "labels"), carry=COLUMNS).filter("kept").select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the smallest id."""
+    marked = docs.withColumn("_text", F.xxhash64("text"))
+    found = simhash.near_duplicates(marked, carry=("doc_id", "_text"))
+    gone = found.filter("not kept").select("doc_id", "_text").distinct()
+    return left_join(marked, gone, ["doc_id", "_text"], "left_anti").select(*COLUMNS)
+
+
 def clean_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; from the others, the few spans of test items are cut out."""
     judged = decontaminate(docs, read(spark, sf_dir, "benchmark"), carry=COLUMNS)
@@ -24,13 +39,24 @@ def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return with_text(detect(docs, carry=COLUMNS), F.col("masked"))
 
 
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text."""
+    return pieces.encode(docs, pieces.load(), carry=("doc_id", "lang", "source"), check=False).drop("round_trip")
+
+
 def with_text(docs: DataFrame, text) -> DataFrame:
     """The columns of documents, with another text and its length."""
     docs = docs.withColumn("text", text)
     return docs.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
-STAGES = [("decontamination", clean_tests), ("pii", mask_personal)]
+STAGES = [
+    ("quality", good_text),
+    ("simhash", near_copies),
+    ("decontamination", clean_tests),
+    ("pii", mask_personal),
+    ("sentencepiece", encoded),
+]
 
 #: SQL has no way to fit the models, nor to match by automata and random fields.
 ORACLE_SQL = None
