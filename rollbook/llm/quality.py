@@ -92,13 +92,17 @@ def labelled_sample(labels: DataFrame, doc_id: str, rows: int) -> DataFrame:
 
 
 def log_ratios(counts: DataFrame) -> np.ndarray:
-    """Log ratio of target and raw probability of each bucket; 0 throughout without a target."""
+    """Log ratio of target and raw probability of each bucket; 0 throughout without a target.
+
+    Raw counts are scaled to the size of the target sample before both are smoothed, so that a bucket too rare
+    to be expected in the sample says nothing.
+    """
     raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for bucket, n, m in counts.collect():  # one row per bucket at most
         raw[bucket], good[bucket] = n, m
     if not good.sum():
         return np.zeros(BUCKETS)
-    return np.log((good + SMOOTH) / (good.sum() + SMOOTH * BUCKETS)) - np.log((raw + SMOOTH) / (raw.sum() + SMOOTH * BUCKETS))
+    return np.log((good + SMOOTH) / (raw * (good.sum() / raw.sum()) + SMOOTH))
 
 
 def score(docs: DataFrame, ratios: np.ndarray, text: str, carry: tuple[str, ...]) -> DataFrame:
