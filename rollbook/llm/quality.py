@@ -117,14 +117,15 @@ def score(docs: DataFrame, ratios: np.ndarray, text: str, carry: tuple[str, ...]
 
 
 def boundary(scores: list[tuple[float, bool]]) -> float:
-    """The importance that best parts good from bad, in the middle of the gap; below all if one of them is missing."""
+    """The importance that best parts good from bad, in the middle of the gap, but 0 at most: what leans to neither
+    side is no junk. Below all if good or bad ones are missing."""
     good, bad = (np.sort([s for s, g in scores if g is side]) for side in (True, False))
     if not len(good) or not len(bad):
         return -np.inf
     cuts = np.unique(np.concatenate([good, bad]))
     lost = np.searchsorted(good, cuts, "left") / len(good) + 1 - np.searchsorted(bad, cuts, "left") / len(bad)
     best = int(np.flatnonzero(lost == lost.min())[-1])
-    return float((cuts[best] + cuts[best - 1]) / 2) if best else -np.inf
+    return min(0.0, float((cuts[best] + cuts[best - 1]) / 2)) if best else -np.inf
 
 
 def kth_largest(keys: DataFrame, key: str, k: int) -> int | None:

@@ -72,7 +72,8 @@ def near_links(fingerprints: DataFrame, max_bits: int = MAX_BITS, rounds: int =
     """Links ``a``, ``b`` that connect distinct fingerprints (``fp``) just as all pairs within ``max_bits`` would.
 
     ``max_bits`` must be even: then all fingerprints that share a word are within it of each other, and links to the smallest
-    of them stand for all pairs. Each link is verified all the same.
+    of them stand for all pairs. Each is verified all the same; then those of a cell are thinned to trees, whose links need
+    not be near themselves.
     """
     if max_bits % 2:
         raise ValueError("max_bits must be even")
