@@ -20,8 +20,26 @@ def sort_column(name: str, way: str = "asc") -> Column:
     return F.col(name).desc() if direction(way) == "desc" else F.col(name).asc()
 
 
+def order_pairs(order: str | Sequence[tuple[str, str]]) -> list[tuple[str, str]]:
+    """``(expression, way)`` pairs of an order, given as such or as the text of an ORDER BY clause."""
+    if not isinstance(order, str):
+        return [order] if order and isinstance(order[0], str) else list(order)
+    parts, depth, start = [], 0, 0
+    for at, sign in enumerate(order + ","):
+        depth += (sign == "(") - (sign == ")")
+        if sign == "," and depth == 0:
+            parts.append(order[start:at].split())
+            start = at + 1
+    pairs = []
+    for words in filter(None, parts):
+        way = words.pop().lower() if words[-1].lower() in ("asc", "desc") else "asc"
+        if not words:
+            raise ValueError(f"no column to sort by in {order!r}")
+        pairs.append((" ".join(words), way))
+    return pairs
+
+
 def ordered(df: DataFrame, order: str | Sequence[tuple[str, str]]) -> DataFrame:
     """Sorted by ``[(column, way), ..]`` or by the text of an ORDER BY clause."""
-    if isinstance(order, str):
-        return df.sparkSession.sql("SELECT * FROM {rows} ORDER BY " + order, rows=df)
-    return df.orderBy(*[sort_column(name, way) for name, way in order])
+    columns = [(F.expr(name) if isinstance(order, str) else F.col(name), direction(way)) for name, way in order_pairs(order)]
+    return df.orderBy(*[c.desc() if way == "desc" else c.asc() for c, way in columns])

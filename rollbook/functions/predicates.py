@@ -2,6 +2,7 @@
 
 A filter is a list of ``(column, value, way, mode)``: ``way`` is the comparison, ``mode`` (``and`` /
 ``or``) ties the item to the next one. ``and`` binds tighter than ``or``; ``sub`` nests a list.
+Membership takes a list of values, or the text of a SQL list such as ``('a', 'b')``.
 """
 
 from __future__ import annotations
@@ -23,7 +24,13 @@ COMPARE = {
     "<=": operator.le,
     ">": operator.gt,
     ">=": operator.ge,
+    "<=>": Column.eqNullSafe,
+    "regexp": Column.rlike,
+    "rlike": Column.rlike,
+    "not regexp": lambda column, pattern: ~column.rlike(pattern),
+    "not rlike": lambda column, pattern: ~column.rlike(pattern),
 }
+PATTERNS = ("regexp", "rlike", "not regexp", "not rlike")
 
 
 def contains(column: Column | str, keyword: str, ci: bool = False) -> Column:
@@ -52,19 +59,22 @@ def keyword_filter(
 
 def predicate(item: Item, ci: bool = False) -> Column:
     key, value, way, _ = item
-    way = way.lower()
+    way = " ".join(way.lower().split())
     if way == "sub":
         return where(value, ci)
     column = F.col(key)
-    if way == "like":
-        return contains(column, value, ci)
+    if way in ("like", "not like"):
+        found = contains(column, value, ci)
+        return found if way == "like" else ~found
+    if way in PATTERNS:
+        return COMPARE[way](column, f"(?i){value}" if ci else value)
     if ci and isinstance(value, str):
         column = F.collate(column, "UTF8_LCASE")
     if way in COMPARE:
         return COMPARE[way](column, F.lit(value))
     if way in ("in", "not in"):
         # SQL membership: a NULL column matches neither form.
-        member = column.isin(list(value))
+        member = _member(column, key, value)
         return member if way == "in" else ~member
     if way == "between":
         low, high = value
@@ -72,6 +82,15 @@ def predicate(item: Item, ci: bool = False) -> Column:
     raise ValueError(f"unknown comparison {way!r}")
 
 
+def _member(column: Column, key: str, value: object) -> Column:
+    if not isinstance(value, str):
+        return column.isin(list(value))
+    text = value.strip()
+    if not (text.startswith("(") and text.endswith(")")):
+        raise ValueError(f"membership in {value!r}: a list of values or its SQL text in brackets is needed")
+    return F.expr(f"`{key}` IN {text}")
+
+
 def where(items: Sequence[Item] | None, ci: bool = False) -> Column:
     """The whole list as one Column; the mode of the last item is ignored."""
     if not items:

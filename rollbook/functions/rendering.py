@@ -21,9 +21,9 @@ def _render(column: Column, kind: T.DataType, nullable: bool) -> Column:
         items = F.transform(column, lambda x: _render(x, kind.elementType, kind.containsNull))
         return F.coalesce(items, F.array().cast(_rendered_type(kind)))
     if isinstance(kind, T.MapType):
-        return F.transform_values(
-            column, lambda _, v: _render(v, kind.valueType, kind.valueContainsNull)
-        )
+        values = F.transform_values(column, lambda _, v: _render(v, kind.valueType, kind.valueContainsNull))
+        none = F.create_map().cast(T.MapType(kind.keyType, _type(kind.valueType, kind.valueContainsNull)))
+        return F.coalesce(values, none)
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         text = F.date_format(column, DATE_FORMAT)
     elif isinstance(kind, T.DecimalType):
@@ -51,6 +51,8 @@ def _type(kind: T.DataType, nullable: bool) -> T.DataType:
         return T.StructType([T.StructField(f.name, _type(f.dataType, True)) for f in kind.fields])
     if isinstance(kind, T.ArrayType):
         return _rendered_type(kind)
+    if isinstance(kind, T.MapType):
+        return T.MapType(kind.keyType, _type(kind.valueType, kind.valueContainsNull))
     if isinstance(kind, (T.NumericType, T.BooleanType)) and not nullable:
         if not isinstance(kind, T.DecimalType):
             return kind

@@ -30,7 +30,7 @@ def token_audit(df: DataFrame, now: int, salt: str, token: str = "token") -> Dat
     filled = F.lit(True)
     for name in ("identity", "user_uid", "_expiry", "_digest"):
         filled = filled & (F.col(name) != "")
-    expiry = F.col("_expiry").try_cast("bigint")
+    expiry = F.col("_expiry").try_cast("decimal(38,0)")
     verdict = (
         F.when(~F.coalesce(filled, F.lit(False)) | expiry.isNull(), "malformed")
         .when(expiry > now, "ok")
@@ -38,7 +38,7 @@ def token_audit(df: DataFrame, now: int, salt: str, token: str = "token") -> Dat
     )
     digest = F.md5(F.concat_ws(":", "identity", "user_uid", "_expiry", F.lit(salt)))
     return (
-        df.withColumn("expiry", expiry)
+        df.withColumn("expiry", expiry.try_cast("bigint"))
         .withColumn("verdict", verdict)
         .withColumn("digest_ok", F.coalesce(F.col("_digest") == digest, F.lit(False)))
         .drop("_expiry", "_digest")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.functions.ordering import ordered
+from rollbook.functions.ordering import direction, order_pairs, ordered
 from rollbook.functions.predicates import is_live, keyword_filter, where_kwargs
 from rollbook.operators.ranking import HOT_ROWS, key_rank
 
@@ -33,16 +33,14 @@ def pages(
     size: int = 20,
     page: int | None = None,
     hot_rows: int = HOT_ROWS,
-    at_most: int | None = None,
 ) -> DataFrame:
     """All pages of all keys: the rows with ``page`` and ``pos`` (both from 1).
 
     With ``page`` only that page of every key; the rows behind it are dropped while ranking.
-    ``at_most`` is an upper bound of the rows, where one is known (see ``key_rank``).
     """
     check_page(1 if page is None else page, size)
     first = None if page is None else page * size
-    ranked = key_rank(df, keys, order, tie, "pos", hot_rows, first, at_most)
+    ranked = key_rank(df, keys, order, tie, "pos", hot_rows, first)
     number = F.floor((F.col("pos") - 1) / size).cast("bigint") + 1
     ranked = ranked.withColumn("pos", F.col("pos").cast("bigint")).withColumn("page", number)
     return ranked if page is None else ranked.where(F.col("page") == page)
@@ -59,12 +57,11 @@ def listing(
     keyword_columns: Sequence[str] = (),
     page: int | None = None,
     hot_rows: int = HOT_ROWS,
-    at_most: int | None = None,
 ) -> DataFrame:
     """Live rows, with the keyword in one of its columns, paged per key."""
     rows = table.where(is_live() & keyword_filter(keyword, keyword_columns))
     needed = list(dict.fromkeys([*keys, *columns, order[0], tie]))
-    paged = pages(rows.select(*needed), keys, order, tie, size, page, hot_rows, at_most)
+    paged = pages(rows.select(*needed), keys, order, tie, size, page, hot_rows)
     return paged.select(*dict.fromkeys([*keys, *columns]), "page", "pos")
 
 
@@ -75,40 +72,64 @@ def query(
     order: str | Sequence[tuple[str, str]] = "",
     page: int = 0,
     per_page: int = 1,
+    key: str | Sequence[str] | None = None,
+    top_rows: int = TOP_ROWS,
 ) -> DataFrame:
-    """Filter, sort and page by keyword arguments. Without a page, all rows."""
+    """Filter, sort and page by keyword arguments. Without a page, all rows.
+
+    ``key`` names the columns that tell rows apart, by default the first column. Rows are sorted by ``order`` and
+    then by the key, so pages never overlap; without an order, by the key alone.
+    """
     rows = table.where(where_kwargs(**(filters or {})))
-    if page:
-        rows = order_page(rows, order, page, per_page)
-    elif order:
-        rows = ordered(rows, order)
+    rows = order_page(rows, order, page, per_page, key, top_rows) if page else ordered(rows, _whole_order(rows, order, key))
     return rows.selectExpr(*columns) if columns else rows
 
 
+def _whole_order(df: DataFrame, order: str | Sequence[tuple[str, str]], key: str | Sequence[str] | None) -> str | list[tuple[str, str]]:
+    """The order with the key behind it, in the form it was given."""
+    keys = [df.columns[0]] if key is None else [key] if isinstance(key, str) else list(key)
+    pairs = order_pairs(order)
+    pairs += [(k, "asc") for k in keys if k not in [name for name, _ in pairs]]
+    return ", ".join(f"{name} {way}" for name, way in pairs) if isinstance(order, str) else pairs
+
+
 def order_page(
-    df: DataFrame, order: str | Sequence[tuple[str, str]], page: int, size: int
+    df: DataFrame,
+    order: str | Sequence[tuple[str, str]],
+    page: int,
+    size: int,
+    key: str | Sequence[str] | None = None,
+    top_rows: int = TOP_ROWS,
 ) -> DataFrame:
-    """One page of a whole frame.
+    """One page of a whole frame, sorted by ``order`` and then the key (see ``query``), at any depth.
 
-    Spark runs the first pages as a top-k that gathers ``page * size`` rows in one place. Deeper pages
-    number the rows in a distributed way instead, which an order given as text does not allow.
+    Spark runs the first pages as a top-k that gathers ``page * size`` rows in one place; pages that end beyond
+    ``top_rows`` number the rows in a distributed way. Both give the same rows in the same order.
     """
     check_page(page, size)
     offset, count = paginate(page, size)
-    if offset + count > TOP_ROWS:
-        if not order or isinstance(order, str):
-            raise ValueError("a page this deep needs its order as (column, way) pairs")
-        return pages(df, [], order, None, size, page).select(*df.columns)
-    return (ordered(df, order) if order else df).offset(offset).limit(count)
+    whole = _whole_order(df, order, key)
+    if offset + count <= top_rows:
+        return ordered(df, whole).offset(offset).limit(count)
+    pairs = order_pairs(whole)
+    named = df.withColumns({f"_by{i}": F.expr(name) if isinstance(whole, str) else F.col(name) for i, (name, _) in enumerate(pairs)})
+    deep = pages(named, [], [(f"_by{i}", way) for i, (_, way) in enumerate(pairs)], None, size, page)
+    return deep.orderBy("pos").select(*df.columns)
 
 
 def first_row(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | tuple[str, str]], columns: Sequence[str]
 ) -> DataFrame:
-    """The lowest row of every key by ``order``; an aggregate, so it combines before the shuffle."""
-    row = F.struct(*[F.col(c) for c in columns])
-    lowest = F.min_by(row, F.struct(*[F.col(c) for c in order])).alias("_row")
-    return df.groupBy(*keys).agg(lowest).select(*keys, "_row.*")
+    """The first row of every key by ``order``, columns or ``(column, way)`` pairs.
+
+    Ascending orders are an aggregate, which combines before the shuffle; so does the first place of a ranking.
+    """
+    pairs = [(o, "asc") if isinstance(o, str) else o for o in order]
+    if all(direction(way) == "asc" for _, way in pairs):
+        row = F.struct(*[F.col(c) for c in columns])
+        lowest = F.min_by(row, F.struct(*[F.col(c) for c, _ in pairs])).alias("_row")
+        return df.groupBy(*keys).agg(lowest).select(*keys, "_row.*")
+    return key_rank(df, keys, pairs, None, "_first", first=1).select(*keys, *[c for c in columns if c not in keys])
 
 
 def first_match(
@@ -116,9 +137,10 @@ def first_match(
     filters: Mapping[str, object],
     order: str | Sequence[tuple[str, str]],
     columns: Sequence[str] | None = None,
+    key: str | Sequence[str] | None = None,
 ) -> DataFrame:
     """The first row of one filtered, sorted query: at most one row."""
-    return query(df, filters, columns, order, page=1, per_page=1)
+    return query(df, filters, columns, order, page=1, per_page=1, key=key)
 
 
 def count_active(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,108 +2,38 @@
 
 ``row_number() over (partition by key order by ..)`` sends all rows of a key to one task. That is the
 best plan while keys are small, but a key here can hold a third of a table. So the rows per key are
-counted first (a count combines on the map side and reads only the key), and if some key has more than
-``hot_rows`` rows, those hot keys are cut into chunks that follow the sort order:
+counted first (a count combines on the map side and reads only the key). Keys of more than ``hot_rows``
+rows are cut where the data says, whatever the type or look of the sort values:
 
-1. the sort value is spelled as a few coarse-to-fine digits, e.g. day, second, moment;
-2. rows are numbered inside their chunk (key + digits), which is the only shuffle of whole rows;
-3. the rows of all earlier chunks are added. They come from counts per chunk, summed level by level,
-   so a window only ever spans the digits below one parent (days of a key, seconds of a day, ..).
+1. their rows are dealt by ranges of (key, order, tie) into pieces of about half of ``hot_rows``, and written
+   as a table, so that every later step sees the same pieces;
+2. rows are numbered inside their piece;
+3. the rows of earlier pieces of the key are added, from one count per piece.
 
-Other keys stay in one chunk each. Nothing is sampled and the result does not depend on partitioning.
+Other keys stay in one window each. Spark samples to place the cuts, but no number depends on where they are.
 """
 
 from __future__ import annotations
 
+import math
 import operator
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from rollbook.functions.ordering import direction, sort_column
+from rollbook.functions.ordering import sort_column
+from rollbook.operators.tables import kept
 
 # Rows of one key that a single task sorts without strain.
 HOT_ROWS = 4_000_000
-# Hot keys up to this count are broadcast to the rows; beyond it Spark joins them as it sees fit.
-BROADCAST_KEYS = 500_000
+# Hot keys, or pieces of them, up to this count are broadcast; beyond it Spark joins them as it sees fit.
+BROADCAST_KEYS = 100_000
 # When only so many first rows of a key are wanted, Spark drops the others before the shuffle.
 FIRST_ROWS = 100
 
 
-def _digits(df: DataFrame, name: str) -> list[Column]:
-    """Coarse-to-fine spelling of a sort column; sorting by the digits sorts by the column.
-
-    Few digits share a parent: 86,400 seconds a day, a million moments a second, 65,536 neighbouring
-    numbers, the hundredths of a score.
-    """
-    kind = df.schema[name].dataType
-    column = F.col(name)
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        second = F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
-        return [F.to_date(column), second, column]
-    if isinstance(kind, T.DecimalType):
-        if kind.precision - kind.scale > 18:
-            return [F.floor(column), column]
-        return [*_number_digits(F.floor(column)), F.floor(column), column]
-    if isinstance(kind, T.FractionalType):
-        # NaN sorts above every number, next to those too large for a whole number
-        whole = F.when(F.isnan(column), F.lit(2**63 - 1)).otherwise(F.floor(column))
-        return [*_number_digits(whole), whole, column]
-    if isinstance(kind, T.IntegralType):
-        return [*_number_digits(column), column]
-    if isinstance(kind, T.StringType):
-        return [F.substring(column, 1, 2), F.substring(column, 3, 2), column]
-    return [column]
-
-
-def _number_digits(column: Column) -> list[Column]:
-    whole = column.cast("bigint")
-    return [F.shiftright(whole, 32), F.shiftright(whole, 16)]
-
-
-def _tie_digits(df: DataFrame, name: str) -> list[Column]:
-    """Coarse digits of the tie-break: 65,536 neighbouring numbers, or leading characters of a uid."""
-    if isinstance(df.schema[name].dataType, T.IntegralType):
-        return _number_digits(F.col(name))
-    text = F.col(name).cast("string")
-    return [F.substring(text, 1, 3), F.substring(text, 4, 3)]
-
-
-def _prefix(depth: int) -> Column:
-    return F.struct(*[F.col(f"_chunk.d{i}") for i in range(depth)]) if depth else F.struct(F.lit(0))
-
-
-def _rows_before(chunks: DataFrame, keys: list[str], ways: list[str]) -> DataFrame:
-    """Per chunk, the rows of all chunks of the same key that sort before it.
-
-    ``chunks`` has the keys, ``_chunk`` (a struct of digits) and ``_n``. Structs compare NULL digits as
-    equal, which plain join keys would not.
-    """
-    depth, parent = len(ways), [*keys, "_parent"]
-    siblings = (
-        Window.partitionBy(*parent)
-        .orderBy(sort_column(f"_chunk.d{depth - 1}", ways[-1]))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    level = (
-        chunks.groupBy(*keys, _prefix(depth).alias("_chunk"))
-        .agg(F.sum("_n").alias("_n"))
-        .withColumn("_parent", _prefix(depth - 1))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(siblings), F.lit(0)))
-    )
-    if depth == 1:
-        return level.select(*keys, "_chunk", "_before")
-    above = _rows_before(chunks, keys, ways[:-1]).select(
-        *keys, F.col("_chunk").alias("_parent"), F.col("_before").alias("_above")
-    )
-    return level.join(above, parent).select(
-        *keys, "_chunk", (F.col("_before") + F.col("_above")).alias("_before")
-    )
-
-
 def key_rank(
     df: DataFrame,
     keys: Sequence[str],
@@ -112,15 +42,13 @@ def key_rank(
     name: str = "pos",
     hot_rows: int = HOT_ROWS,
     first: int | None = None,
-    at_most: int | None = None,
 ) -> DataFrame:
     """Number the rows of every key from 1, by ``(column, way)`` or several of them, then by ``tie``.
 
-    The tie-break should be unique within the key; without one, equal rows come in any order.
-    Rows without a key are left out: no listing asks for them. No keys at all means one numbering of
-    the whole table. ``first`` keeps only the first rows of every key, without numbering the rest.
-    ``at_most`` is an upper bound of the rows where the caller has one, as Parquet knows the count of a
-    stored table without reading it; a table no larger than ``hot_rows`` has no hot key to look for.
+    The tie-break should be unique within the key; without one, equal rows come in any order, and rows
+    with equal sort values can't be parted. Rows without a key are left out: no listing asks for them. No keys at
+    all means one numbering of the whole table. ``first`` keeps only the first rows of every key, without numbering
+    the rest.
     """
     keys = list(keys)
     sorts = [order] if isinstance(order[0], str) else list(order)
@@ -128,33 +56,40 @@ def key_rank(
     sort += [F.col(tie).asc()] if tie else []
     if keys:
         df = df.where(reduce(operator.and_, [F.col(k).isNotNull() for k in keys]))
+    if first is not None and first <= FIRST_ROWS:
+        return _plain(df, keys, sort, name).where(F.col(name) <= first)
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    small = at_most is not None and at_most <= hot_rows
-    small = small or (first is not None and first <= FIRST_ROWS)
-    hot_count = 0 if small else hot.count()
-    if hot_count == 0:
-        ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*sort)))
-        return ranked if first is None else ranked.where(F.col(name) <= first)
-
-    if keys:
-        marks = hot.select(*keys, F.lit(True).alias("_hot"))
-        marks = F.broadcast(marks) if hot_count <= BROADCAST_KEYS else marks
-        rows = df.join(marks, keys, "left")
+    n_hot, total = hot.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    if not n_hot:
+        ranked = _plain(df, keys, sort, name)
+    elif not keys:
+        ranked = _in_pieces(df, keys, sort, name, total, hot_rows)
     else:
-        rows = df.withColumn("_hot", F.lit(True))
-    spelled = [(digit, direction(way)) for column, way in sorts for digit in _digits(df, column)]
-    spelled += [(digit, "asc") for digit in _tie_digits(df, tie)] if tie else []
-    ways = [way for _, way in spelled]
-    digits = [F.when(F.col("_hot"), digit).alias(f"d{i}") for i, (digit, _) in enumerate(spelled)]
-    rows = rows.withColumn("_chunk", F.struct(*digits))
-    chunks = rows.where("_hot").groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*sort)
-    numbered = rows.withColumn("_pos", F.row_number().over(inside))
-    if first is not None:
-        numbered = numbered.where(F.col("_pos") <= first)
-    ranked = (
-        numbered.join(_rows_before(chunks, keys, ways), [*keys, "_chunk"], "left")
-        .withColumn(name, F.col("_pos") + F.coalesce("_before", F.lit(0)))
-        .drop("_hot", "_chunk", "_pos", "_before")
-    )
+        marks = hot.select(*keys, F.lit(True).alias("_hot"))
+        rows = df.join(F.broadcast(marks) if n_hot <= BROADCAST_KEYS else marks, keys, "left")
+        large = _in_pieces(rows.where("_hot").drop("_hot"), keys, sort, name, total, hot_rows)
+        ranked = _plain(rows.where("_hot is null").drop("_hot"), keys, sort, name).unionByName(large)
     return ranked if first is None else ranked.where(F.col(name) <= first)
+
+
+def _plain(df: DataFrame, keys: list[str], sort: list, name: str) -> DataFrame:
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*sort)).cast("bigint"))
+
+
+def pieces_of(df: DataFrame, keys: list[str], sort: list, total: int, hot_rows: int) -> DataFrame:
+    """The rows with the number of their piece; pieces of a key follow its order."""
+    n = max(1, math.ceil(2 * total / hot_rows))
+    dealt = df.repartitionByRange(n, *[F.col(k) for k in keys], *sort)
+    return kept(dealt.withColumn("_piece", F.spark_partition_id()), "pieces")
+
+
+def _in_pieces(df: DataFrame, keys: list[str], sort: list, name: str, total: int, hot_rows: int) -> DataFrame:
+    rows = pieces_of(df, keys, sort, total, hot_rows)
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(*keys, "_piece", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    # as many rows as pieces, and one more for each key whose border lies inside a piece
+    few = 2 * math.ceil(2 * total / hot_rows) <= BROADCAST_KEYS
+    inside = F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy(*sort))
+    numbered = rows.withColumn("_pos", inside).join(F.broadcast(before) if few else before, [*keys, "_piece"])
+    return numbered.withColumn(name, F.col("_pos") + F.col("_before")).drop("_piece", "_pos", "_before")

@@ -253,8 +253,9 @@ ORACLE: dict[str, str] = {
     "scan_student": sql("", """
 SELECT c_custkey AS student_uid, c_name AS student_name, lower(c_name) AS username FROM customer"""),
     "filter_compare": sql("student", """
-SELECT * FROM student WHERE age >= 18 AND age < 24 AND class_uid <> 7 AND status = 1"""),
-    "filter_in": sql("course", "SELECT * FROM course WHERE class_uid IN (1, 3, 26)"),
+SELECT * FROM student WHERE age >= 18 AND age < 24 AND class_uid <> 7 AND status = 1
+  AND student_name NOT LIKE '%9%' AND regexp_matches(username, '[0-7]$')"""),
+    "filter_in": sql("course", "SELECT * FROM course WHERE class_uid IN (1, 3, 26) AND course_uid NOT IN (class_uid, 5)"),
     "filter_not_in": sql("student class", """
 SELECT * FROM student WHERE age NOT IN (17, 19)
   AND class_uid NOT IN (SELECT class_uid FROM class WHERE status = 0)"""),
@@ -291,6 +292,10 @@ SELECT t.course_uid, t.student_uid, t.score, (pos - 1) // 20 + 1 AS page, pos,
        coalesce(student_name, '') AS student_name
 FROM (SELECT *, row_number() OVER (PARTITION BY course_uid ORDER BY score DESC, student_uid) AS pos
       FROM score WHERE status = 1) t LEFT JOIN student USING (student_uid)"""),
+    "pages_hot_scores": sql("score", """
+SELECT course_uid, student_uid, score, (pos - 1) // 20 + 1 AS page, pos
+FROM (SELECT *, row_number() OVER (PARTITION BY course_uid ORDER BY score DESC, student_uid) AS pos
+      FROM score WHERE status = 1) t"""),
     "pages_students": sql("student", """
 SELECT class_uid, student_uid, student_name, age, username, (pos - 1) // 20 + 1 AS page, pos
 FROM (SELECT *, row_number() OVER (PARTITION BY class_uid ORDER BY created DESC, student_uid) AS pos
@@ -313,6 +318,11 @@ FROM (SELECT *, row_number() OVER (ORDER BY created DESC, class_uid) AS pos
 SELECT student_uid, student_name, age FROM student
 WHERE class_uid IN (1, 2, 3, 4) AND status = 1
 ORDER BY age ASC NULLS FIRST, created DESC NULLS LAST, student_uid LIMIT 20 OFFSET 20"""),
+    "key_page": sql("student", """
+SELECT student_uid, username FROM student WHERE status = 1 ORDER BY student_uid LIMIT 25 OFFSET 50"""),
+    "deep_page": sql("score_change", """
+SELECT course_uid, student_uid, score, seq1, seq2 FROM score_change
+ORDER BY ts DESC, abs(score - 25), seq1, seq2 LIMIT 500 OFFSET 3000"""),
     "first_row": sql("student", """
 SELECT class_uid, student_uid, student_name, created
 FROM (SELECT *, row_number() OVER (PARTITION BY class_uid ORDER BY created, student_uid) AS rn
@@ -357,6 +367,9 @@ FROM events"""),
     # --- writes ---
     "append_rows": sql("student teacher", """
 SELECT student_uid, student_name, username, age, class_uid, status, created FROM student
+UNION ALL SELECT teacher_uid + 1000000000, teacher_name, username, NULL, NULL, 1, NULL FROM teacher"""),
+    "append_written": sql("student teacher", """
+SELECT student_uid, student_name, username, age, class_uid, status, created FROM student
 UNION ALL SELECT teacher_uid + 1000000000, teacher_name, username, NULL, NULL, 1, NULL FROM teacher"""),
     "upsert_explicit": sql("student", """
 , incoming AS (SELECT user_id * 11 AS student_uid, 'New ' || event_type AS student_name,
@@ -481,7 +494,8 @@ SELECT event_id,
     CASE WHEN c = 4 THEN 'zz: unknown' END) AS reasons
 FROM request"""),
     "change_requests": sql("student_feed", """
-SELECT event_id, ts, op, student_uid, student_name, username, age, class_uid FROM student_feed
+SELECT event_id, ts, op, student_uid, student_name, username, age,
+       CASE WHEN event_id % 19 > 0 THEN class_uid END AS class_uid FROM student_feed
 WHERE op IN ('create', 'patch', 'delete') AND event_id % 17 > 0 AND event_id % 13 > 0
   AND event_id % 10 > 0"""),
     "rejected_requests": sql("student_feed", """

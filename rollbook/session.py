@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import logging
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -26,11 +29,20 @@ def local_session(cores: str = "8", app: str = "rollbook") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting falls back to a fresh temporary folder.
+    A local session without that setting gets a folder of its own, which is told in the log and removed
+    when the program ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="rollbook-")
+    if not LOCAL:
+        LOCAL.append(tempfile.mkdtemp(prefix="rollbook-"))
+        atexit.register(shutil.rmtree, LOCAL[0], ignore_errors=True)
+        logging.getLogger(__name__).warning("spark.checkpoint.dir is not set; this local session keeps its tables in %s", LOCAL[0])
+    return LOCAL[0]
+
+
+#: The folder of a local session, once it is made.
+LOCAL: list[str] = []

@@ -46,7 +46,9 @@ def change_requests(requests: DataFrame, record: str) -> tuple[DataFrame, DataFr
     """Requests of one record type as (change feed, rejected requests with their reasons).
 
     ``requests`` has ``event_id``, ``ts``, ``method``, ``identity``, ``user_uid`` and the JSON ``body``.
-    Courses belong to the user who writes them. One pass over the requests.
+    Courses belong to the user who writes them. A field that is null was sent: it satisfies the operation that
+    demands it. A number that its column can't hold exactly is refused. Each frame parses every body once; keep
+    the requests' frame first if both are used.
     """
     fields = FIELDS[record]
     op = F.coalesce(
@@ -54,7 +56,7 @@ def change_requests(requests: DataFrame, record: str) -> tuple[DataFrame, DataFr
     )
     params = [Param(name, required=False) for name in fields]
     kept = requests.select("event_id", "ts", "identity", "user_uid", op.alias("op"), "body")
-    checked = validate_requests(kept, "body", params, strict=False)
+    checked = validate_requests(kept, "body", params, strict=False, presence=True)
 
     problems = [
         F.when(~F.coalesce(F.col("identity") == WRITER, F.lit(False)), "forbidden"),
@@ -64,10 +66,12 @@ def change_requests(requests: DataFrame, record: str) -> tuple[DataFrame, DataFr
     sane = F.size("reasons") == 0
     for name, (kind, demanded) in fields.items():
         if demanded:
-            absent = F.col("op").isin(*demanded) & F.col(name).isNull()
+            absent = F.col("op").isin(*demanded) & ~F.col(f"_has_{name}")
             problems.append(F.when(sane & absent, f"{name}: required"))
         value = F.col(name).try_cast(kind)
         problems.append(F.when(F.col(name).isNotNull() & value.isNull(), f"{name}: not a number"))
+        if kind.startswith("decimal"):
+            problems.append(F.when(F.col(name).try_cast("decimal(38,18)") != value, f"{name}: too many digits"))
         values.append(value.alias(name))
     reasons = F.concat("reasons", F.array_compact(F.array(*problems)))
     judged = checked.select(

@@ -75,30 +75,36 @@ def _checks(param: Param, text: Column, shape: Column) -> tuple[Column, list[Col
 
 
 def validate_requests(
-    df: DataFrame, body: str, params: Sequence[Param], strict: bool = True
+    df: DataFrame, body: str, params: Sequence[Param], strict: bool = True, presence: bool = False
 ) -> DataFrame:
     """Add one column per declared parameter and ``reasons``, the list of everything wrong.
 
     ``strict`` also refuses parameters that were not declared. A body that is no JSON object is
-    ``malformed`` and gets no further complaint.
+    ``malformed`` and gets no further complaint. ``presence`` adds ``_has_<name>``: whether the body names the
+    parameter, be it as null.
     """
     columns = df.columns
     json = F.try_parse_json(F.col(body))
-    df = df.withColumn("_json", json).withColumn("_keys", F.json_object_keys(F.col(body)))
+    # what parses and opens with a bracket is an object; its names come from the parsed body
+    opens = F.ltrim(F.col(body), F.lit(" \t\r\n")).startswith("{")
+    df = df.withColumn("_json", json).withColumn("_object", F.col("_json").isNotNull() & opens)
+    if strict:
+        df = df.withColumn("_keys", F.map_keys(F.try_variant_get("_json", "$", "map<string,variant>")))
     # in steps, so that every value is read from the body once
     values = {f"_value_{p.name}": F.try_variant_get("_json", f"$.{p.name}", "variant") for p in params}
     df = df.withColumns(values)
     parts = {}
     for p in params:
         value = F.col(f"_value_{p.name}")
-        shape = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+        # the type is looked at only where one is declared
+        shape = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0) if p.kind else F.lit("VOID")
         parts[f"_text_{p.name}"] = F.try_variant_get(value, "$", "string")
         parts[f"_shape_{p.name}"] = F.when(value.isNotNull(), shape)
     # A filter on the reasons must not carry the parsing down with it and repeat it per condition; it
     # stays above a generated row.
     extracted = [e.alias(name) for name, e in parts.items()]
-    malformed = (F.col("_json").isNull() | F.col("_keys").isNull()).alias("_malformed")
-    row = F.struct("_keys", malformed, *extracted)
+    malformed = (~F.coalesce("_object", F.lit(False))).alias("_malformed")
+    row = F.struct(*(["_keys"] if strict else []), malformed, *extracted)
     df = df.select(*columns, F.inline(F.array(row)))
     parsed = {p.name: _checks(p, F.col(f"_text_{p.name}"), F.col(f"_shape_{p.name}")) for p in params}
     problems = [problem for _, found in parsed.values() for problem in found]
@@ -112,7 +118,8 @@ def validate_requests(
         F.concat(F.array_compact(F.array(*problems)), unknown)
     )
     kept = [F.col(c) for c in columns if c not in parsed]
-    return df.select(*kept, *[v.alias(n) for n, (v, _) in parsed.items()], reasons.alias("reasons"))
+    named = [F.col(f"_shape_{p.name}").isNotNull().alias(f"_has_{p.name}") for p in params if presence]
+    return df.select(*kept, *[v.alias(n) for n, (v, _) in parsed.items()], *named, reasons.alias("reasons"))
 
 
 def split_requests(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -30,7 +30,7 @@ def test_render(spark):
         "n": {"v": "-89", "l": ["2024-05-06", ""]}, "m": {"a": ""},
     }
     assert got[1].asDict(True) == {
-        "id": 2, "d": "", "t": "", "s": "x", "n": {"v": "", "l": []}, "m": None
+        "id": 2, "d": "", "t": "", "s": "x", "n": {"v": "", "l": []}, "m": {}
     }
     kept = render_rows(rows.where("id = 1"), required=["id", "d"])
     assert kept.first().d == 89
@@ -143,9 +143,13 @@ def test_request_log_round_trip(spark, tmp_path):
 def test_catalog_and_sinks(spark, tmp_path):
     path = str(tmp_path / "student")
     first = spark.createDataFrame([("s1", "Ann")], "student_uid string, student_name string")
-    write_append(first, path)
-    write_append(spark.createDataFrame([("Bob", "s2")], "student_name string, student_uid string"), path,
-                 ["student_uid", "student_name"])
+    write_append(first, path, first.schema)
+    write_append(spark.createDataFrame([("Bob", "s2")], "student_name string, student_uid string"), path)
+    for wrong in ("student_uid int, student_name string", "student_uid string, nickname string"):
+        with pytest.raises(ValueError):
+            write_append(spark.createDataFrame([], wrong), path)
+    write_append(spark.createDataFrame([("s0",)], "student_uid string"), path)
+    assert tuples(spark.read.parquet(path)) == [("s0", None), ("s1", "Ann"), ("s2", "Bob")]
     first.write.json(str(tmp_path / "json"))
     catalog = Catalog(
         spark,

@@ -17,7 +17,7 @@ from rollbook.operators.paging import (
     query,
     query_counts,
 )
-from rollbook.operators.ranking import key_rank
+from rollbook.operators.ranking import key_rank, pieces_of
 
 SCHEMAS = {
     "date": ("date", lambda r: dt.date(2024, 1, 1) + dt.timedelta(days=r.randrange(3))),
@@ -98,20 +98,40 @@ def test_page_limits(spark):
     with pytest.raises(ValueError):
         order_page(df, "id", 0, 20)
     with pytest.raises(ValueError):
-        order_page(df, "id", 10_000_000, 20)
+        order_page(df, "id desc, asc", 1, 20)
     assert order_page(df, [("id", "asc")], 10_000_000, 20).count() == 0
+    assert order_page(df, "id", 10_000_000, 20).count() == 0
     assert paginate(0) == (0, 20) and paginate(1, 5) == (0, 5) and paginate(3, 5) == (10, 5)
 
 
-def test_deep_page_equals_sorted_page(spark, monkeypatch):
-    import rollbook.operators.paging as paging
+@pytest.mark.parametrize("order", [[("a", "desc"), ("b", "asc")], "a desc, abs(b - 5)", "", []])
+def test_deep_page_equals_sorted_page(spark, order):
+    df = spark.range(200).select("id", (F.col("id") % 7).alias("a"), (F.col("id") % 11).alias("b"))
+    top = [order_page(df, order, p, 13).collect() for p in (1, 6, 16)]
+    deep = [order_page(df, order, p, 13, top_rows=1).collect() for p in (1, 6, 16)]
+    assert top == deep and [len(p) for p in top] == [13, 13, 5]
+    if not order:
+        assert [r.id for r in top[1]] == list(range(65, 78))
 
-    df = spark.range(200).select((F.col("id") % 7).alias("a"), (F.col("id") % 11).alias("b"), "id")
-    order = [("a", "desc"), ("b", "asc"), ("id", "desc")]
-    want = order_page(df, order, 6, 13).collect()
-    monkeypatch.setattr(paging, "TOP_ROWS", 10)
-    got = order_page(df, order, 6, 13).collect()
-    assert len(got) == 13 and set(got) == set(want)
+
+@pytest.mark.parametrize("uid", ["concat('student-', lpad(id, 9, '0'))", "md5(cast(id as string))"])
+def test_pieces_of_a_hot_key(spark, uid):
+    """Pieces have about half the size asked for, whatever the uids look like."""
+    df = spark.range(20_000).selectExpr("1 as k", "id % 51 as score", f"{uid} as uid")
+    sort = [F.col("score").desc(), F.col("uid")]
+    sizes = [r[1] for r in pieces_of(df, ["k"], sort, 20_000, 2_000).groupBy("_piece").count().collect()]
+    assert 15 <= len(sizes) <= 20 and max(sizes) <= 2_500
+    got = key_rank(df, ["k"], ("score", "desc"), "uid", hot_rows=2_000)
+    want = df.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy(*sort)))
+    assert got.select("uid", "pos").exceptAll(want.selectExpr("uid", "cast(pos as bigint) pos")).count() == 0 and got.count() == 20_000
+
+
+def test_rank_without_a_tie(spark):
+    df = spark.range(500).selectExpr("id % 2 as k", "id % 3 as v", "id")
+    got = key_rank(df, ["k"], ("v", "asc"), None, hot_rows=50).collect()
+    for k in (0, 1):
+        own = sorted((r.pos, r.v) for r in got if r.k == k)
+        assert [p for p, _ in own] == list(range(1, 251)) and [v for _, v in own] == sorted(v for _, v in own)
 
 
 @pytest.mark.parametrize("hot_rows", [9, 10_000])
@@ -153,4 +173,6 @@ def test_first_row_combines_before_the_shuffle(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, "z")], "k string, o int, v string")
     got = first_row(df, ["k"], ["o"], ["o", "v"])
     assert tuples(got) == [("a", 1, "y"), ("b", 5, "z")]
+    mixed = first_row(df, ["k"], [("o", "desc"), ("v", "asc")], ["o", "v"])
+    assert tuples(mixed) == [("a", 2, "x"), ("b", 5, "z")]
     assert "partial_min_by" in got._jdf.queryExecution().toString()

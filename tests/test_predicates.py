@@ -93,3 +93,17 @@ def test_one_element_list_is_an_equality(spark):
     plan = part.where(where_kwargs(p_size_list=[5]))._jdf.queryExecution().toString()
     assert "EqualTo(p_size,5)" in plan
     assert part.where(F.lit(True)).count() == part.count()
+
+
+def test_membership_in_text_and_other_comparisons(spark):
+    df = spark.createDataFrame([("a",), ("(",), ("b",), (None,)], "k string")
+    found = lambda *item: tuples(df.where(where([(*item, "and")])))
+    assert found("k", "('a','b')", "in") == [("a",), ("b",)]
+    assert found("k", "('a','b')", "not in") == [("(",)]
+    for text in ("ab", "'a','b'"):
+        with pytest.raises(ValueError):
+            where([("k", text, "in", "and")])
+    assert found("k", "a", "not  LIKE") == [("(",), ("b",)]
+    assert found("k", None, "<=>") == [(None,)]
+    assert found("k", "^[ab]$", "regexp") == [("a",), ("b",)]
+    assert found("k", "^[ab]$", "not regexp") == [("(",)]
