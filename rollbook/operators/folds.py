@@ -7,9 +7,9 @@ in ``applied_ts`` and ``applied_id``; events at or before it are late and change
 Every fold is one aggregate per key (latest value per column, first create, latest stamp, ..) joined
 once with the state, so a key with very many events shrinks to one row before the shuffle.
 
-Names that must be unique resolve against the state at batch start: an existing owner wins, else the
-first claimant of the batch. A name freed by the batch can be claimed in the next one, and a row born
-in the batch can be renamed in the next one.
+Names that must be unique are settled event by event (see ``names``), so a feed gives the same rows
+however it is cut into batches: a name that a row gave up can be taken at once, and a row can be renamed as soon as
+it is born.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.operators.joins import left_join
+from rollbook.operators.names import settle
+from rollbook.operators.tables import kept
 
 APPLIED = ["applied_ts", "applied_id"]
 
@@ -154,43 +156,6 @@ def _known_targets(events: DataFrame, state: DataFrame, key: str) -> DataFrame:
     return found.withColumn("_late", _true(late)).withColumn("_known", known).drop("_here")
 
 
-def _resolve_names(
-    events: DataFrame, state: DataFrame, key: str, names: Sequence[str], claims: Column
-) -> DataFrame:
-    """Add ``_owner`` (state row of that name) and ``_holder`` (that row, else the first claimant).
-
-    ``_off`` and ``_owner_at`` are the owner's deleted flag and position. Both sides shrink to one row
-    per name before they meet.
-    """
-    names = list(names)
-    complete = reduce(operator.and_, [F.col(n).isNotNull() for n in names])
-    owners = (
-        state.where(complete)
-        .groupBy(*names)
-        .agg(
-            F.min(
-                F.struct((F.col("status") != 1).alias("off"), F.col(key).alias("uid"), _here().alias("at"))
-            ).alias("_o")
-        )
-        .select(
-            *names,
-            F.col("_o.uid").alias("_owner"),
-            F.col("_o.off").alias("_off"),
-            F.col("_o.at").alias("_owner_at"),
-        )
-    )
-    first = (
-        events.where(complete & claims)
-        .groupBy(*names)
-        .agg(F.min(F.struct("ts", "event_id", "_uid")).alias("_f"))
-        .select(*names, F.col("_f._uid").alias("_first"))
-    )
-    holders = first.join(owners, names, "full_outer").select(
-        *names, "_owner", "_off", "_owner_at", F.coalesce("_owner", "_first").alias("_holder")
-    )
-    return left_join(events, holders, names)
-
-
 def _missing(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add ``_absent``: the target row is neither in the state nor born earlier in the batch."""
     births = events.where("_birth").groupBy(*keys).agg(F.min(_at()).alias("_birth_at"))
@@ -240,41 +205,34 @@ def upsert_classes(state: DataFrame, feed: DataFrame) -> Fold:
         "_uid", F.when(op == "create", new_uid("class_name")).otherwise(F.col("class_uid"))
     )
     events = _known_targets(events, state, "class_uid")
-    wanted = named & ~F.col("_late") & ((op == "create") | ((op == "rename") & F.col("_known")))
-    events = _resolve_names(events, state, "class_uid", ["class_name"], wanted)
-    own = F.col("_holder") == F.col("_uid")
+    fresh = named & ~F.col("_late")
+    events = settle(events, state, "class_uid", ["class_name"], fresh & (op == "create"), fresh & (op == "rename"))
+    outcome = F.col("_outcome")
     events = events.withColumns(
         {
-            "_birth": _true((op == "create") & named & ~F.col("_known") & own),
-            "_renamed": _true((op == "rename") & named & F.col("_known") & own),
-            "_back": _true((op == "rename") & (F.col("_owner") == F.col("_uid"))),
+            "_birth": _true((op == "create") & (outcome == "born")) & ~F.col("_known"),
+            "_renamed": _true((op == "rename") & outcome.isin("moved", "same")),
             "_status": F.when((op == "create") & named, 1).when(op == "delete", 0),
             "class_uid": F.when(op == "create", F.col("_holder")).otherwise(F.col("class_uid")),
         }
-    ).withColumn("_stamp", (op == "delete") | (F.col("_renamed") & ~F.col("_back")))
+    ).withColumn("_stamp", (op == "delete") | _true(outcome == "moved"))
+    events = kept(_missing(events, ["class_uid"]), "judged")
     applied = events.where(
         ~F.col("_late") & ((op == "delete") | F.col("_renamed") | ((op == "create") & named))
     )
-    # A rename to the name the class already has is no change, unless the batch renamed it before.
     sets = {"class_name": F.col("_birth") | F.col("_renamed")}
-    extra = {
-        "_away": F.min(F.when(F.col("_renamed") & ~F.col("_back"), _at())),
-        "_return": F.max(F.when(F.col("_renamed") & F.col("_back"), _at())),
-    }
-    joined = _join_state(state, applied, ["class_uid"], sets, extra)
-    returned = F.when(F.col("_return") > F.col("_away"), F.col("_return"))
-    rows = _next_state(joined, state.columns, list(sets), F.greatest("_stamped", returned))
+    joined = _join_state(state, applied, ["class_uid"], sets)
+    rows = _next_state(joined, state.columns, list(sets))
 
-    judged = _missing(events, ["class_uid"])
-    rejected = judged.withColumn(
+    rejected = events.withColumn(
         "reason",
         F.when(~_true(op.isin("create", "rename", "delete")), "unknown_op")
         .when((op == "create") & ~named, "no_name")
         .when(F.col("_late"), "late")
         .when((op == "rename") & ~named, None)
-        .when((op != "create") & F.col("_absent"), "no_match")
-        .when((op == "rename") & ~F.col("_known"), "born_in_batch")
-        .when((op == "rename") & ~F.col("_renamed"), "name_taken"),
+        .when((op == "delete") & F.col("_absent"), "no_match")
+        .when((op == "rename") & (outcome == "absent"), "no_match")
+        .when((op == "rename") & (outcome == "taken"), "name_taken"),
     )
     return _result(rows, rejected)
 
@@ -288,14 +246,13 @@ def rename_verdicts(classes: DataFrame, renames: DataFrame) -> DataFrame:
     events = renames.withColumn("op", F.lit("rename")).withColumn("_uid", F.col("class_uid"))
     events = _known_targets(events, state, "class_uid")
     named = _given("class_name")
-    events = _resolve_names(events, state, "class_uid", ["class_name"], named & F.col("_known"))
+    events = settle(events, state, "class_uid", ["class_name"], F.lit(False), named, refuses_first=True)
+    outcome = F.col("_outcome")
     verdict = (
-        F.when(~named, "noop")
-        .when(F.col("_owner") == F.col("_uid"), "noop")
-        .when(F.col("_owner").isNotNull(), "taken")
-        .when(~F.col("_known"), "no_match")
-        .when(F.col("_holder") == F.col("_uid"), "ok")
-        .otherwise("taken")
+        F.when(~named | (outcome == "same"), "noop")
+        .when(outcome == "taken", "taken")
+        .when(outcome == "absent", "no_match")
+        .otherwise("ok")
     )
     return events.select(*renames.columns, verdict.alias("verdict"))
 
@@ -320,18 +277,19 @@ def upsert_students(state: DataFrame, feed: DataFrame) -> Fold:
     )
     events = _known_targets(events, state, "student_uid")
     named = _given("username") & (~create | _given("student_name"))
-    wanted = named & ~F.col("_late") & (create | (patch & F.col("_known")))
-    events = _resolve_names(events, state, "student_uid", ["username"], wanted)
-    own = _true(F.col("_holder") == F.col("_uid"))
+    fresh = named & ~F.col("_late")
+    events = settle(events, state, "student_uid", ["username"], fresh & create, fresh & patch, refuses_first=True)
+    outcome = F.col("_outcome")
     any_field = reduce(operator.or_, [F.col(c).isNotNull() for c in fields])
     events = events.withColumns(
         {
-            "_birth": create & named & ~F.col("_known") & own,
-            "_patch": patch & any_field & (F.col("username").isNull() | (F.col("_known") & own)),
+            "_birth": _true(create & (outcome == "born")) & ~F.col("_known"),
+            "_patch": patch & any_field & (F.col("username").isNull() | _true(outcome.isin("moved", "same"))),
             "_status": F.when(op == "delete", 0),
             "student_uid": F.col("_uid"),
         }
     ).withColumn("_stamp", F.col("_patch") | (op == "delete"))
+    events = kept(_missing(events, ["student_uid"]).withColumn("_any", any_field), "judged")
     applied = events.where(
         ~F.col("_late") & (F.col("_birth") | F.col("_patch") | (op == "delete"))
     )
@@ -341,18 +299,15 @@ def upsert_students(state: DataFrame, feed: DataFrame) -> Fold:
     joined = _join_state(state, applied, ["student_uid"], sets)
     rows = _next_state(joined, state.columns, fields)
 
-    judged = _missing(events, ["student_uid"])
-    rejected = judged.withColumn(
+    rejected = events.withColumn(
         "reason",
         F.when(~_true(op.isin("create", "patch", "delete")), "unknown_op")
         .when(create & ~_given("student_name"), "no_name")
         .when(F.col("_late"), "late")
         .when(create & ~F.col("_birth"), "name_taken")
-        .when(patch & F.col("_owner").isNotNull() & ~own, "name_taken")
-        .when(patch & ~any_field, None)
-        .when(~create & F.col("_absent"), "no_match")
-        .when(patch & F.col("username").isNotNull() & ~F.col("_known"), "born_in_batch")
-        .when(patch & ~F.col("_patch"), "name_taken"),
+        .when(patch & (outcome == "taken"), "name_taken")
+        .when(patch & ~F.col("_any"), None)
+        .when(~create & F.col("_absent"), "no_match"),
     )
     return _result(rows, rejected)
 
@@ -380,30 +335,40 @@ def upsert_courses(state: DataFrame, feed: DataFrame) -> Fold:
     events = events.withColumn("_late", _true(late)).withColumn(
         "_known", _true(F.col("_teacher") == F.col("teacher_uid"))
     )
-    events = _resolve_names(events, state, "course_uid", triple, create & ~F.col("_late"))
+    fresh = ~F.col("_late")
+    renaming = patch & (_given("class_uid") | _given("course_name"))
+    # an empty text in a patch is a part of the name that was not sent
+    events = events.withColumns({c: F.when(~patch | _given(c), F.col(c)) for c in ("class_uid", "course_name")})
+    events = settle(
+        events, state, "course_uid", triple, create & complete & fresh, renaming & fresh, delete & fresh,
+        touch=["teacher_uid", "course_name"], shared=True,
+    )
+    owners = state.select(F.col("course_uid").alias("_holder"), F.lit(True).alias("_owned"), (F.col("status") != 1).alias("_off"), _here().alias("_owner_at"))
+    events = left_join(events, owners, ["_holder"])
+    owned = _true(F.col("_owned"))
     events = events.withColumns(
         {
-            "_birth": _true(create & ~known & (F.col("_holder") == F.col("_uid"))),
+            "_birth": _true(create & ~known & (F.col("_outcome") == "born")),
             "_status": F.when(create, 1).when(delete, 0),
             "_stamp": patch | delete,
             "course_uid": F.when(create, F.col("_holder")).otherwise(F.col("course_uid")),
         }
     )
-    # The create that brings a course back is the first one after its last delete; only it stamps.
-    deletes = feed.where(delete).groupBy(*keys).agg(F.max(_at()).alias("_gone"))
-    gone = F.col("_gone")
-    deleted = F.when(gone.isNull(), F.col("_off")).otherwise(
-        (_at() > gone) & (F.col("_owner").isNull() | F.col("_off") | (gone > F.col("_owner_at")))
-    )
-    fresh = F.col("_owner").isNull() | (_at() > F.col("_owner_at"))
-    events = left_join(events, deletes, keys).withColumn("_back", _true(create & deleted & fresh))
+    # A create that brings a course back stamps: the one that follows a delete, or the first for a course deleted before.
+    current = ~owned | F.col("_owner_at").isNull() | (_at() > F.col("_owner_at"))
+    turns = Window.partitionBy(*keys).orderBy("ts", "event_id")
+    turned = events.where(fresh & ((create & complete & current) | delete)).select("event_id", "ts", "op", *keys).distinct()
+    turned = turned.withColumn("_before", F.lag("op").over(turns)).select("event_id", "ts", "op", "course_uid", "_before")
+    events = left_join(events, turned.distinct(), ["event_id", "ts", "op", "course_uid"])
+    was_off = F.when(F.col("_before").isNull(), owned & F.col("_off")).otherwise(F.col("_before") == "delete")
+    events = events.withColumn("_back", _true(create & was_off & current)).drop("_owned", "_off", "_owner_at", "_before")
+    events = kept(_missing(events, keys), "judged")
     applied = events.where(~F.col("_late") & ((create & complete) | patch | delete))
     sets = {c: F.col("_birth") | (patch & _given(c)) for c in ["course_name", "class_uid"]}
-    joined = _join_state(state, applied, keys, sets, {"_returned": F.min(F.when(F.col("_back"), _at()))})
+    joined = _join_state(state, applied, keys, sets, {"_returned": F.max(F.when(F.col("_back"), _at()))})
     rows = _next_state(joined, state.columns, list(sets), F.greatest("_stamped", "_returned"))
 
-    judged = _missing(events, keys)
-    rejected = judged.withColumn(
+    rejected = events.withColumn(
         "reason",
         F.when(~_true(op.isin("create", "patch", "delete")), "unknown_op")
         .when(create & ~complete, "no_name")

@@ -98,25 +98,35 @@ SELECT e.*, s.student_uid IS NOT NULL AS known,
        o.student_uid AS owner
 FROM student_event e LEFT JOIN student_state s ON e.uid = s.student_uid
 LEFT JOIN student_state o ON e.name = o.username""",
+    # names, event by event: each step sees the rows as all earlier events left them
+    "student_walk": """
+WITH RECURSIVE ask AS (
+  SELECT row_number() OVER (ORDER BY seq) AS n, seq, op, uid, name FROM student_claim
+  WHERE NOT late AND name IS NOT NULL AND (op = 'create' AND student_name IS NOT NULL OR op = 'patch')),
+step AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS seq, '' AS outcome,
+         (SELECT list({'uid': student_uid, 'name': username}) FROM student_state) AS rows
+  UNION ALL
+  SELECT n, seq, outcome, CASE WHEN outcome IN ('born', 'moved')
+           THEN list_append(list_filter(rows, lambda x: x.uid <> uid), {'uid': uid, 'name': name}) ELSE rows END
+  FROM (SELECT a.*, s.rows, CASE
+          WHEN op = 'create' THEN CASE WHEN len(list_filter(s.rows, lambda x: x.name = a.name)) > 0 THEN 'held' ELSE 'born' END
+          WHEN len(list_filter(s.rows, lambda x: x.name = a.name AND x.uid <> a.uid)) > 0 THEN 'taken'
+          WHEN len(list_filter(s.rows, lambda x: x.uid = a.uid)) = 0 THEN 'absent'
+          WHEN len(list_filter(s.rows, lambda x: x.uid = a.uid AND x.name = a.name)) > 0 THEN 'same' ELSE 'moved' END AS outcome
+        FROM step s JOIN ask a ON a.n = s.n + 1) t)
+SELECT seq, outcome FROM step""",
     "student_verdict": """
-SELECT *, CASE
+SELECT c.*, outcome, CASE
     WHEN op NOT IN ('create', 'patch', 'delete') THEN 'unknown_op'
     WHEN op = 'create' AND student_name IS NULL THEN 'no_name'
     WHEN late THEN 'late'
-    WHEN op = 'create' AND (owner IS NOT NULL OR seq <> first_seq) THEN 'name_taken'
-    WHEN op = 'create' THEN 'born'
-    WHEN op = 'patch' AND owner IS NOT NULL AND owner <> uid THEN 'name_taken'
+    WHEN op = 'create' THEN CASE outcome WHEN 'born' THEN 'born' ELSE 'name_taken' END
+    WHEN outcome = 'taken' THEN 'name_taken'
     WHEN op = 'patch' AND student_name IS NULL AND name IS NULL AND age IS NULL
          AND class_uid IS NULL THEN 'nothing'
-    WHEN NOT known THEN 'no_match'
-    WHEN op = 'patch' AND name IS NOT NULL AND owner IS NULL AND uid <> first_uid THEN 'name_taken'
-    ELSE 'ok' END AS verdict
-FROM (SELECT *, first_value(CASE WHEN claims THEN seq END IGNORE NULLS) OVER w AS first_seq,
-             first_value(CASE WHEN claims THEN uid END IGNORE NULLS) OVER w AS first_uid
-      FROM (SELECT *, NOT late AND name IS NOT NULL AND (op = 'create' AND student_name IS NOT NULL
-                      OR op = 'patch' AND known) AS claims FROM student_claim) c
-      WINDOW w AS (PARTITION BY name ORDER BY seq
-                   ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) t""",
+    WHEN NOT known THEN 'no_match' ELSE 'ok' END AS verdict
+FROM student_claim c LEFT JOIN student_walk USING (seq)""",
     "course_state": """
 SELECT CAST(course_uid AS VARCHAR) AS course_uid, course_name,
        CAST(teacher_uid AS VARCHAR) AS teacher_uid, CAST(class_uid AS VARCHAR) AS class_uid, status,
@@ -138,22 +148,39 @@ FROM (SELECT *, user_id * 10 + k AS target,
              CASE WHEN event_type IN ('signup', 'error') THEN 'create'
                   WHEN event_type IN ('click', 'view') THEN 'patch' ELSE 'delete' END AS op
       FROM numbered_event) t LEFT JOIN part ON target = p_partkey""",
-    "course_owner": """
-SELECT teacher_uid, class_uid, course_name,
-       coalesce(min(CASE WHEN status = 1 THEN course_uid END), min(course_uid)) AS owner
-FROM course_state GROUP BY teacher_uid, class_uid, course_name""",
     "course_event": """
-SELECT f.*, row_number() OVER (ORDER BY f.ts, f.event_id) AS seq, o.owner,
-       f.op = 'create' AND (f.class_uid IS NULL OR f.course_name IS NULL) AS no_name
-FROM course_feed f LEFT JOIN course_owner o ON f.op = 'create' AND f.teacher_uid = o.teacher_uid
-  AND f.class_uid = o.class_uid AND f.course_name = o.course_name""",
+SELECT f.*, row_number() OVER (ORDER BY f.ts, f.event_id) AS seq,
+       f.op = 'create' AND (f.class_uid IS NULL OR f.course_name IS NULL) AS no_name,
+       coalesce((f.ts < s.applied_ts OR f.ts = s.applied_ts AND f.event_id <= s.applied_id), false) AS late
+FROM course_feed f LEFT JOIN course_state s
+  ON f.op <> 'create' AND f.course_uid = s.course_uid AND f.teacher_uid = s.teacher_uid""",
+    "course_walk": """
+WITH RECURSIVE ask AS (
+  SELECT row_number() OVER (ORDER BY seq) AS n, seq, op, teacher_uid AS t, nullif(class_uid, '') AS c,
+         nullif(course_name, '') AS m,
+         CASE WHEN op = 'create' THEN md5(concat_ws(':', CAST(event_id AS VARCHAR), course_name)) ELSE course_uid END AS uid
+  FROM course_event WHERE NOT late AND NOT no_name
+    AND (op <> 'patch' OR class_uid <> '' OR course_name <> '')),
+step AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS seq, '' AS holder, '' AS op,
+         (SELECT list({'u': course_uid, 't': teacher_uid, 'c': class_uid, 'm': course_name, 'off': status <> 1})
+          FROM course_state) AS rows
+  UNION ALL
+  SELECT n, seq, holder, op, CASE
+      WHEN op = 'create' AND holder = uid THEN list_append(rows, {'u': uid, 't': t, 'c': c, 'm': m, 'off': false})
+      ELSE list_transform(rows, lambda x: CASE WHEN x.u <> holder OR x.t <> t THEN x
+        ELSE {'u': x.u, 't': x.t, 'c': CASE WHEN op = 'patch' THEN coalesce(c, x.c) ELSE x.c END,
+              'm': CASE WHEN op = 'patch' THEN coalesce(m, x.m) ELSE x.m END,
+              'off': CASE op WHEN 'create' THEN false WHEN 'delete' THEN true ELSE x.off END} END) END
+  FROM (SELECT a.*, s.rows, CASE WHEN a.op <> 'create' THEN a.uid ELSE coalesce(list_sort(list_transform(
+          list_filter(s.rows, lambda x: x.t = a.t AND x.c = a.c AND x.m = a.m),
+          lambda x: {'off': x.off, 'u': x.u}))[1].u, a.uid) END AS holder
+        FROM step s JOIN ask a ON a.n = s.n + 1) z)
+SELECT seq, holder FROM step WHERE op = 'create'""",
     "course_target": """
-SELECT * EXCLUDE (course_uid), CASE WHEN op <> 'create' THEN course_uid
-       ELSE coalesce(owner, md5(concat_ws(':', CAST(first_event AS VARCHAR), course_name)))
-       END AS course_uid, op = 'create' AND owner IS NULL AND event_id = first_event AS birth
-FROM (SELECT *, first_value(event_id) OVER (
-        PARTITION BY op, teacher_uid, class_uid, course_name ORDER BY seq) AS first_event
-      FROM course_event WHERE NOT no_name) t""",
+SELECT e.* EXCLUDE (course_uid), CASE WHEN op <> 'create' THEN course_uid ELSE holder END AS course_uid,
+       op = 'create' AND holder = md5(concat_ws(':', CAST(event_id AS VARCHAR), course_name)) AS birth
+FROM course_event e LEFT JOIN course_walk USING (seq) WHERE NOT no_name""",
     # events that reach a row, with the status the row has just before each of them
     "course_run": """
 SELECT t.*, s.course_uid IS NOT NULL AS known,
@@ -187,22 +214,34 @@ SELECT f.event_id, f.ts, f.op, nullif(f.class_name, '') AS name,
        coalesce((f.ts < s.applied_ts OR f.ts = s.applied_ts AND f.event_id <= s.applied_id), false) AS late
 FROM class_feed f LEFT JOIN class_state s ON f.op <> 'create' AND f.class_uid = s.class_uid
 LEFT JOIN class_state o ON f.class_name = o.class_name""",
+    "class_walk": """
+WITH RECURSIVE ask AS (
+  SELECT row_number() OVER (ORDER BY seq) AS n, seq, op, uid, name FROM class_event
+  WHERE NOT late AND name IS NOT NULL AND op IN ('create', 'rename')),
+step AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS seq, '' AS outcome, '' AS holder,
+         (SELECT list({'uid': class_uid, 'name': class_name}) FROM class_state) AS rows
+  UNION ALL
+  SELECT n, seq, outcome, holder, CASE WHEN outcome IN ('born', 'moved')
+           THEN list_append(list_filter(rows, lambda x: x.uid <> uid), {'uid': uid, 'name': name}) ELSE rows END
+  FROM (SELECT a.*, s.rows, coalesce(list_filter(s.rows, lambda x: x.name = a.name)[1].uid, a.uid) AS holder, CASE
+          WHEN op = 'create' THEN CASE WHEN len(list_filter(s.rows, lambda x: x.name = a.name)) > 0 THEN 'held' ELSE 'born' END
+          WHEN len(list_filter(s.rows, lambda x: x.uid = a.uid)) = 0 THEN 'absent'
+          WHEN len(list_filter(s.rows, lambda x: x.uid = a.uid AND x.name = a.name)) > 0 THEN 'same'
+          WHEN len(list_filter(s.rows, lambda x: x.name = a.name)) > 0 THEN 'taken' ELSE 'moved' END AS outcome
+        FROM step s JOIN ask a ON a.n = s.n + 1) t)
+SELECT seq, outcome, holder FROM step""",
     "class_verdict": """
-SELECT *, CASE WHEN op NOT IN ('create', 'rename', 'delete') THEN 'unknown_op'
-               WHEN op = 'create' THEN CASE WHEN holder = uid THEN 'born' ELSE 'ok' END
+SELECT e.*, outcome, holder, CASE WHEN op NOT IN ('create', 'rename', 'delete') THEN 'unknown_op'
+               WHEN op = 'create' THEN CASE outcome WHEN 'born' THEN 'born' ELSE 'ok' END
                WHEN late THEN 'late'
                WHEN op = 'rename' AND name IS NULL THEN 'nothing'
                WHEN NOT known THEN 'no_match'
-               WHEN op = 'rename' AND holder <> uid THEN 'name_taken' ELSE 'ok' END AS verdict
-FROM (SELECT *, coalesce(owner, first_value(CASE WHEN op = 'create' OR known AND NOT late THEN uid END
-                                            IGNORE NULLS) OVER (
-                PARTITION BY name, op IN ('create', 'rename') ORDER BY seq
-                ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS holder
-      FROM class_event) t""",
-    # accepted events, with the target row and whether its state name was changed before
+               WHEN outcome = 'taken' THEN 'name_taken' ELSE 'ok' END AS verdict
+FROM class_event e LEFT JOIN class_walk USING (seq)""",
+    # accepted events, with the target row
     "class_run": """
-SELECT *, max(CASE WHEN op = 'rename' AND owner IS NULL THEN 1 ELSE 0 END) OVER (
-         PARTITION BY target ORDER BY seq) = 1 AS moved
+SELECT *
 FROM (SELECT v.*, CASE WHEN op = 'create' THEN holder ELSE uid END AS target
       FROM class_verdict v WHERE verdict IN ('ok', 'born')) a
 WHERE NOT EXISTS (SELECT 1 FROM class_state s WHERE s.class_uid = a.target
@@ -219,17 +258,19 @@ NEEDS = {
     "student_feed": ["numbered_event"],
     "student_event": ["student_feed"],
     "student_claim": ["student_event", "student_state"],
-    "student_verdict": ["student_claim"],
+    "student_walk": ["student_claim", "student_state"],
+    "student_verdict": ["student_claim", "student_walk"],
     "course_state": ["course"],
     "course_feed": ["numbered_event"],
-    "course_owner": ["course_state"],
-    "course_event": ["course_feed", "course_owner"],
-    "course_target": ["course_event"],
+    "course_event": ["course_feed", "course_state"],
+    "course_walk": ["course_event", "course_state"],
+    "course_target": ["course_event", "course_walk"],
     "course_run": ["course_target", "course_state"],
     "class_state": ["class"],
     "class_feed": ["numbered_event"],
     "class_event": ["class_feed", "class_state"],
-    "class_verdict": ["class_event"],
+    "class_walk": ["class_event", "class_state"],
+    "class_verdict": ["class_event", "class_walk"],
     "class_run": ["class_verdict"],
 }
 
@@ -462,7 +503,7 @@ SELECT event_id, ts, op, reason FROM (
 , final AS (SELECT target, min(ts) FILTER (verdict = 'born') AS born,
     arg_max(name, seq) FILTER (op = 'rename' OR verdict = 'born') AS name,
     arg_max(CASE op WHEN 'create' THEN 1 ELSE 0 END, seq) FILTER (op <> 'rename') AS status,
-    max(ts) FILTER (op = 'delete' OR op = 'rename' AND (owner IS NULL OR moved)) AS stamp,
+    max(ts) FILTER (op = 'delete' OR outcome = 'moved') AS stamp,
     arg_max(ts, seq) AS applied_ts, arg_max(event_id, seq) AS applied_id FROM class_run GROUP BY target)
 SELECT coalesce(class_uid, target) AS class_uid, coalesce(name, class_name) AS class_name,
   coalesce(f.status, s.status, 1) AS status, coalesce(created, born) AS created,
@@ -472,14 +513,21 @@ FROM class_state s FULL JOIN final f ON class_uid = target"""),
     "rejected_classes": sql("class_verdict", """
 SELECT event_id, ts, op, verdict AS reason FROM class_verdict
 WHERE verdict NOT IN ('ok', 'born', 'nothing')"""),
-    "rename_conflicts": sql("class_event", """
-SELECT event_id, ts, CASE WHEN op = 'rename' THEN uid END AS class_uid, coalesce(name, '') AS class_name,
-  CASE WHEN name IS NULL OR owner = uid THEN 'noop' WHEN owner IS NOT NULL THEN 'taken'
-       WHEN NOT known THEN 'no_match'
-       WHEN uid = first_value(CASE WHEN known THEN uid END IGNORE NULLS) OVER (
-         PARTITION BY name ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
-         THEN 'ok' ELSE 'taken' END AS verdict
-FROM class_event WHERE op = 'rename'"""),
+    "rename_conflicts": sql("class_event class_state", """
+, asked AS (SELECT row_number() OVER (ORDER BY seq) AS n, * FROM class_event WHERE op = 'rename'),
+played AS (
+  WITH RECURSIVE step AS (
+    SELECT CAST(0 AS BIGINT) AS n, '' AS verdict, (SELECT list({'uid': class_uid, 'name': class_name}) FROM class_state) AS rows
+    UNION ALL
+    SELECT n, verdict, CASE WHEN verdict = 'ok'
+      THEN list_append(list_filter(rows, lambda x: x.uid <> uid), {'uid': uid, 'name': name}) ELSE rows END
+    FROM (SELECT a.n, a.uid, a.name, s.rows, CASE
+            WHEN a.name IS NULL OR len(list_filter(s.rows, lambda x: x.uid = a.uid AND x.name = a.name)) > 0 THEN 'noop'
+            WHEN len(list_filter(s.rows, lambda x: x.name = a.name)) > 0 THEN 'taken'
+            WHEN NOT a.known THEN 'no_match' ELSE 'ok' END AS verdict
+          FROM step s JOIN asked a ON a.n = s.n + 1) t)
+  SELECT n, verdict FROM step)
+SELECT event_id, ts, uid AS class_uid, coalesce(name, '') AS class_name, verdict FROM asked JOIN played USING (n)"""),
     # --- jobs ---
     "validate_requests": sql("numbered_event", """
 , request AS (SELECT event_id, event_id % 8 AS c, CAST(k AS VARCHAR) AS k, event_type,

@@ -13,6 +13,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from rollbook.operators import folds
@@ -100,9 +101,31 @@ def _touched(versions: DataFrame, feed: DataFrame, record: Record) -> DataFrame:
     return versions.join(_small(keys), list(record.keys), "left_semi")
 
 
-def apply_batch(batch: DataFrame, batch_id: int, folder: str, record: str) -> None:
-    """Fold one micro-batch into the table."""
+def _first_seen(batch: DataFrame, batch_id: int, folder: str, delay: str) -> tuple[DataFrame, DataFrame]:
+    """Events not seen before, and those that come later than ``delay`` behind the newest of earlier micro-batches.
+
+    ``seen/batch=<n>`` holds ids and moments; only those within the delay are read. Nothing else leaves: an event
+    is new, late or a repetition.
+    """
+    spark = batch.sparkSession
+    schema = batch.select("event_id", "ts").schema
+    batch.select("event_id", "ts").write.mode("overwrite").parquet(f"{folder}/seen/batch={batch_id}")
+    seen = spark.read.schema(schema.add("batch", T.LongType())).parquet(f"{folder}/seen").where(F.col("batch") < batch_id)
+    limit = seen.agg((F.max("ts") - F.expr(f"interval {delay}")).alias("limit")).first()[0]
+    if limit is None:
+        return batch.dropDuplicates(["event_id"]), batch.limit(0)
+    before = seen.where(F.col("ts") >= F.lit(limit)).select("event_id").distinct()
+    late = F.col("ts") < F.lit(limit)
+    fresh = batch.where(~late).dropDuplicates(["event_id"])
+    return fresh.join(before, "event_id", "left_anti"), batch.where(late)
+
+
+def apply_batch(batch: DataFrame, batch_id: int, folder: str, record: str, delay: str | None = None) -> None:
+    """Fold one micro-batch into the table. With a ``delay``, repeated events are dropped and late ones refused."""
     how = RECORDS[record]
+    late = None
+    if delay:
+        batch, late = _first_seen(batch, batch_id, folder, delay)
     versions = batch.sparkSession.read.parquet(f"{folder}/rows").where(F.col("batch") < batch_id)
     batch.persist()
     # as many rows as the micro-batch has keys; kept, so that the table is scanned once
@@ -110,7 +133,10 @@ def apply_batch(batch: DataFrame, batch_id: int, folder: str, record: str) -> No
     try:
         result = how.fold(state, batch)
         result.changed.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
-        result.rejected.write.mode("overwrite").parquet(f"{folder}/rejected/batch={batch_id}")
+        rejected = result.rejected
+        if late is not None:
+            rejected = rejected.unionByName(late.select("event_id", "ts", "op", F.lit("late").alias("reason")))
+        rejected.write.mode("overwrite").parquet(f"{folder}/rejected/batch={batch_id}")
     finally:
         state.unpersist()
         batch.unpersist()
@@ -126,16 +152,14 @@ def apply_stream(
 ) -> StreamingQuery:
     """Start folding a stream of changes.
 
-    With a ``delay``, an ``event_id`` seen again within it is dropped, as are events later than it.
-    Without, a repeated event reaches the fold, where it is late to its row and changes nothing; that
-    is all score feeds need. Feeds whose names move between rows should set a delay, since a repeated
-    create could otherwise claim a name its row gave up.
+    With a ``delay``, an ``event_id`` seen again within it is dropped, and an event that comes later than that behind
+    the newest one of earlier micro-batches is refused as ``late``. Without, a repeated event reaches the fold, where it is
+    late to its row and changes nothing; that is all score feeds need. Feeds whose names move between rows should
+    set a delay, since a repeated create could otherwise claim a name its row gave up.
     """
-    if delay:
-        changes = changes.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
     return (
         changes.writeStream.foreachBatch(
-            lambda batch, batch_id: apply_batch(batch, batch_id, folder, record)
+            lambda batch, batch_id: apply_batch(batch, batch_id, folder, record, delay)
         )
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))

@@ -1,6 +1,7 @@
 """Change feeds, by hand-made rows and by the properties every fold must have."""
 
 import datetime as dt
+import hashlib
 import random
 
 import pytest
@@ -179,13 +180,35 @@ def test_student_names_within_a_batch(spark):
         ("create", None, "New", "new", None, "c"),
         ("create", None, "Eve", "eve", None, "c"),
         ("patch", born, "Eva", None, 5, None),  # born in this batch: fields may change
-        ("patch", born, None, "adam", None, None),  # its name only in the next batch
+        ("patch", born, None, "adam", None, None),  # and so may its name
     )
     fold = upsert_students(rows, events)
     assert tuples(fold.table, "username", "student_name", "age") == [
-        ("ann", "Ann", 1), ("eve", "Eva", 5), ("new", "Bob", 1)
+        ("adam", "Eva", 5), ("ann", "Ann", 1), ("new", "Bob", 1)
     ]
-    assert reasons(fold) == [(2, "name_taken"), (3, "name_taken"), (6, "born_in_batch")]
+    assert reasons(fold) == [(2, "name_taken"), (3, "name_taken")]
+
+
+MOVES = [
+    # record, rows, events, (name, status) of all rows after them
+    ("class", [("x", "N1", 1)], [("rename", "x", "N2"), ("delete", "x", None), ("create", None, "N1")], [("N1", 1), ("N2", 0)]),
+    ("class", [("x", "N1", 1), ("y", "N3", 1)], [("rename", "x", "N2"), ("rename", "y", "N1")], [("N1", 1), ("N2", 1)]),
+    ("course", [("x", "A", "t", "c", 1)], [("patch", "x", "t", None, "B"), ("create", None, "t", "c", "A")], [("A", 1), ("B", 1)]),
+    ("course", [("x", "A", "t", "c", 1)], [("patch", "x", "t", "d", None), ("create", None, "t", "d", "A"), ("create", None, "t", "c", "A")], [("A", 1), ("A", 1)]),
+    ("student", [("x", "X", "u1", 1, "c", 1)], [("patch", "x", None, "u2", None, None), ("create", None, "Y", "u1", None, "c")], [("u1", 1), ("u2", 1)]),
+    ("student", [], [("create", None, "E", "u5", None, "c"), ("patch", "born", None, "u6", None, None)], [("u6", 1)]),
+]
+
+
+@pytest.mark.parametrize("case", range(len(MOVES)))
+def test_names_move_within_a_batch(spark, case):
+    record, rows, events, want = MOVES[case]
+    name = {"class": "class_name", "course": "course_name", "student": "username"}[record]
+    born = hashlib.md5(b"1:u5").hexdigest()
+    events = [tuple(born if v == "born" else v for v in e) for e in events]
+    fold = FOLDS[record](state(spark, record, *rows), feed(spark, record, *events))
+    assert sorted(tuples(fold.table, name, "status")) == want
+    assert reasons(fold) == []
 
 
 def test_courses(spark):
@@ -241,9 +264,17 @@ FOLDS = {
 }
 
 
-def random_case(record, seed):
-    """A state and a feed without names moving between rows."""
+def random_case(record, seed, moves=True):
+    """A state and a feed whose names move between rows, those of rows born in the feed included."""
+    rows, events = _random_case(record, seed)
+    still = {"score": lambda e: e, "class": lambda e: e if e[0] != "rename" else ("delete", e[1], None),
+             "student": lambda e: e if e[0] != "patch" else (*e[:3], None, *e[4:]), "course": lambda e: e if e[0] != "patch" else (*e[:3], "", "")}[record]
+    return rows, events if moves else [still(e) for e in events]
+
+
+def _random_case(record, seed):
     r = random.Random(seed)
+    born = lambda i, name: hashlib.md5(f"{i}:{name}".encode()).hexdigest()
     if record == "score":
         rows = [("c", f"s{i}", float(i), r.randrange(2)) for i in range(4)]
         events = [
@@ -252,30 +283,32 @@ def random_case(record, seed):
         ]
     elif record == "class":
         rows = [(f"{i}", f"N{i}", r.randrange(2)) for i in range(4)]
-        events = [
-            r.choice([("create", None, f"N{r.randrange(8)}"), ("delete", f"{r.randrange(6)}", None)])
-            for i in range(60)
-        ]
+        events = []
+        for i in range(1, 61):
+            some = r.choice([f"{r.randrange(6)}", *[born(j, e[2]) for j, e in enumerate(events, 1) if e[0] == "create"][:3]])
+            events.append(r.choice([
+                ("create", None, f"N{r.randrange(8)}"), ("delete", some, None), ("rename", some, r.choice(["", f"N{r.randrange(8)}", f"N{r.randrange(8)}"])),
+            ]))
     elif record == "student":
         rows = [(f"{i}", f"N{i}", f"n{i}", i, "c", r.randrange(2)) for i in range(4)]
-        events = [
-            r.choice([
+        events = []
+        for i in range(1, 61):
+            some = r.choice([f"{r.randrange(6)}", *[born(j, e[3]) for j, e in enumerate(events, 1) if e[0] == "create"][:3]])
+            events.append(r.choice([
                 ("create", None, f"M{i}", f"n{r.randrange(9)}", r.choice([None, i]), "c"),
-                ("patch", f"{r.randrange(6)}", r.choice(["", f"P{i}"]), None, r.choice([None, i]), ""),
-                ("delete", f"{r.randrange(6)}", None, None, None, None),
-            ])
-            for i in range(60)
-        ]
+                ("patch", some, r.choice(["", f"P{i}"]), r.choice([None, "", f"n{r.randrange(9)}"]), r.choice([None, i]), ""),
+                ("delete", some, None, None, None, None),
+            ]))
     else:
         rows = [(f"{i}", f"N{i}", "t", "c", r.randrange(2)) for i in range(4)]
-        events = [
-            r.choice([
-                ("create", None, "t", "c", f"N{r.randrange(8)}"),
-                ("delete", f"{r.randrange(6)}", r.choice(["t", "u"]), None, None),
-                ("patch", f"{r.randrange(6)}", r.choice(["t", "u"]), "", ""),
-            ])
-            for i in range(60)
-        ]
+        events = []
+        for i in range(1, 61):
+            some = r.choice([f"{r.randrange(6)}", *[born(j, e[4]) for j, e in enumerate(events, 1) if e[0] == "create"][:3]])
+            events.append(r.choice([
+                ("create", None, "t", r.choice("cd"), f"N{r.randrange(6)}"),
+                ("delete", some, r.choice(["t", "t", "u"]), None, None),
+                ("patch", some, r.choice(["t", "t", "u"]), r.choice(["", "c", "d"]), r.choice(["", f"N{r.randrange(6)}"])),
+            ]))
     return rows, events
 
 
@@ -292,8 +325,90 @@ def test_one_batch_equals_several(spark, record):
         # keep plans short: each batch starts from plain rows, as it does from a written table
         cut = spark.createDataFrame(kept.collect(), kept.schema)
     assert tuples(cut) == tuples(whole)
-    again = fold(cut, changes)
-    assert tuples(again.table) == tuples(whole)
+
+
+@pytest.mark.parametrize("record", FOLDS)
+def test_replay_changes_nothing(spark, record):
+    """As long as names stay: a repeated create may else claim a name that its row has given up since."""
+    fold = FOLDS[record]
+    rows, events = random_case(record, seed=3, moves=False)
+    changes = feed(spark, record, *events)
+    once = fold(state(spark, record, *rows), changes).table
+    once = spark.createDataFrame(once.collect(), once.schema)
+    assert tuples(fold(once, changes).table) == tuples(once)
+
+
+def played(record, rows, events):
+    """Request by request: ``{uid: [name, status, ..]}`` and the refused events."""
+    table = {}
+    for r in rows:
+        table[r[0]] = {"class": [r[1], r[2]], "student": [r[2], r[5]], "course": [(r[2], r[3], r[1]) if record == "course" else None, r[-1]]}[record]
+    refused = []
+    for i, (op, uid, *fields) in enumerate(events, 1):
+        if record == "class":
+            name = fields[0]
+            holders = [u for u, (n, _) in table.items() if n == name]
+            known = uid in table
+        elif record == "student":
+            name = fields[1]
+            holders = [u for u, (n, _) in table.items() if n == name]
+            known = uid in table
+        else:
+            teacher, klass, title = fields
+            name = (teacher, klass, title)
+            holders = [u for _, u in sorted((v[1] != 1, u) for u, v in table.items() if v[0] == name)]
+            known = uid in table and table[uid][0][0] == teacher
+        text = name[2] if record == "course" else name
+        if op == "create":
+            if not holders:
+                table[hashlib.md5(f"{i}:{text}".encode()).hexdigest()] = [name, 1]
+            elif record == "student":
+                refused.append(i)
+            else:
+                table[holders[0]][1] = 1
+        elif op == "delete":
+            if known:
+                table[uid][1] = 0
+            else:
+                refused.append(i)
+        elif record == "course":
+            if known:
+                old = table[uid][0]
+                table[uid][0] = (old[0], klass or old[1], title or old[2])
+            else:
+                refused.append(i)
+        elif not name:
+            if record == "student" and (fields[0] or fields[2] is not None) and not known:
+                refused.append(i)
+        elif not known or [u for u in holders if u != uid]:
+            refused.append(i)
+        else:
+            table[uid][0] = name
+    return table, refused
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("record", ["class", "student", "course"])
+def test_feed_equals_request_by_request(spark, record, seed):
+    rows, events = random_case(record, seed)
+    fold = FOLDS[record](state(spark, record, *rows), feed(spark, record, *events))
+    table, refused = played(record, rows, events)
+    name = {"class": ["class_name"], "student": ["username"], "course": ["teacher_uid", "class_uid", "course_name"]}[record]
+    got = {r[0]: [r[1] if len(name) == 1 else tuple(r[1:-1]), r[-1]] for r in fold.table.select(f"{record}_uid", *name, "status").collect()}
+    assert got == table
+    assert [i for i, _ in reasons(fold)] == refused
+
+
+@pytest.mark.parametrize("record", ["class", "student", "course"])
+def test_names_in_groups(spark, monkeypatch, record):
+    """Played through in groups, the outcomes are those of one group."""
+    from rollbook.operators import names
+
+    rows, events = random_case(record, 4)
+    start, changes = state(spark, record, *rows), feed(spark, record, *events)
+    whole = tuples(FOLDS[record](start, changes).table)
+    monkeypatch.setattr(names, "GROUP_RECORDS", 0)
+    assert tuples(FOLDS[record](start, changes).table) == whole
 
 
 @pytest.mark.parametrize("record", FOLDS)
