@@ -1,8 +1 @@
 """Operators for preparing language-model training data."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Functions of this package travel to the executors by value: a cluster needs no copy of it on its Python path.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from rollbook.llm import embeddings as E
-from rollbook.llm.components import Forest
+from rollbook.operators.components import Forest
 
 
 def vectors_of(seed=4):

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from rollbook.llm import simhash as S
-from rollbook.llm.components import Forest
+from rollbook.operators.components import Forest
 from tests.llm.edges import documents
 
 
