@@ -1,9 +1,11 @@
 """A stream of changes folded into a record table, micro-batch by micro-batch.
 
-The table is a folder of Parquet files: ``rows/batch=<n>`` holds the rows the n-th micro-batch reached,
-as they were after it, and the newest version of a key is its current row. A micro-batch therefore
-writes only what it changed, whatever the size of the table, and a retried one reads the same earlier
-batches and overwrites its own folder. ``rejected/batch=<n>`` holds the refused events.
+The table is a folder of Parquet files: ``rows/batch=<n>/bucket=<b>`` holds the rows the n-th micro-batch reached,
+as they were after it, and the newest version of a key is its current row; the bucket follows from the key. For
+records with unique names ``names/batch=<n>/bucket=<b>`` holds the name and key of the same rows, by bucket of the
+name. So a micro-batch reads only the buckets of its keys and names, and writes only what it changed, whatever the
+size of the table; a retried one reads the same earlier batches and overwrites its own folders.
+``rejected/batch=<n>`` holds the refused events.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -21,6 +23,8 @@ from rollbook.operators import folds
 FIRST_BATCH = -1  # the table as it was before the stream
 # Keys of a micro-batch up to this count are broadcast to the scan of the table.
 BROADCAST_KEYS = 1_000_000
+# Buckets of a table, of its keys as of its names. It is part of the table's layout, so it stays as it is once there are rows.
+BUCKETS = 16
 
 
 class Record(NamedTuple):
@@ -53,10 +57,26 @@ RECORDS = {
 }
 
 
-def start_table(rows: DataFrame, folder: str, feed: DataFrame) -> None:
+def _bucket(columns: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in columns]), F.lit(BUCKETS)).cast("int")
+
+
+def _write(rows: DataFrame, folder: str, by: Sequence[str], batch_id: int) -> None:
+    """Write rows by bucket; a bucket with most of them is split over several tasks."""
+    marked = rows.withColumn("bucket", _bucket(by)).hint("rebalance", "bucket")
+    marked.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/batch={batch_id}")
+
+
+def _write_rows(rows: DataFrame, folder: str, how: Record, batch_id: int) -> None:
+    _write(rows, f"{folder}/rows", how.keys, batch_id)
+    if how.names:
+        names = list(dict.fromkeys([*how.names, *how.keys]))
+        _write(rows.select(*names), f"{folder}/names", how.names, batch_id)
+
+
+def start_table(rows: DataFrame, folder: str, feed: DataFrame, record: str) -> None:
     """Write the rows a stream starts from, ready to take changes shaped like ``feed``."""
-    rows = folds.with_position(rows, feed)
-    rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={FIRST_BATCH}")
+    _write_rows(folds.with_position(rows, feed), folder, RECORDS[record], FIRST_BATCH)
 
 
 def read_table(spark: SparkSession, folder: str, record: str) -> DataFrame:
@@ -69,7 +89,7 @@ def read_rejected(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _newest(versions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    fields = [c for c in versions.columns if c not in (*keys, "batch")]
+    fields = [c for c in versions.columns if c not in (*keys, "batch", "bucket")]
     newest = F.max_by(F.struct(*fields), F.col("batch")).alias("_row")
     return versions.groupBy(*keys).agg(newest).select(*keys, "_row.*")
 
@@ -77,28 +97,31 @@ def _newest(versions: DataFrame, keys: Sequence[str]) -> DataFrame:
 def compact(spark: SparkSession, folder: str, record: str, target: str) -> None:
     """Write the current rows as the start of a new folder, to be used from then on."""
     rows = read_table(spark, folder, record)
-    rows.write.mode("overwrite").parquet(f"{target}/rows/batch={FIRST_BATCH}")
+    _write_rows(rows, target, RECORDS[record], FIRST_BATCH)
 
 
 def _small(keys: DataFrame) -> DataFrame:
-    """The distinct keys, to be broadcast where their count allows it."""
-    keys = keys.distinct()
+    """The keys, to be broadcast where their count allows it."""
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
-def _touched(versions: DataFrame, feed: DataFrame, record: Record) -> DataFrame:
-    """All versions of the rows the feed may concern: its keys, and whoever holds a name it asks for.
+def _in_buckets(table: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of a bucketed table with one of the keys; only the files of the keys' buckets are read."""
+    found = [r[0] for r in keys.select(_bucket(on).alias("b")).distinct().collect()]
+    return table.where(F.col("bucket").isin(found)).join(_small(keys), list(on), "left_semi")
 
-    The keys of a micro-batch are few, so the table is scanned but not shuffled.
-    """
+
+def _touched(spark: SparkSession, folder: str, feed: DataFrame, record: Record, batch_id: int) -> DataFrame:
+    """All versions of the rows the feed may concern: its keys, and whoever holds a name it asks for."""
+    earlier = F.col("batch") < batch_id
     keys = feed.select(*record.keys)
     if record.names:
         asked = record.asked(feed)
-        created = asked.select(folds.new_uid(record.named_by).alias(record.keys[0]))
-        names = _small(asked.select(*record.names))
-        holders = versions.join(names, list(record.names), "left_semi").select(*record.keys)
+        created = asked.where(F.col("op") == "create").select(folds.new_uid(record.named_by).alias(record.keys[0]))
+        names = spark.read.parquet(f"{folder}/names").where(earlier)
+        holders = _in_buckets(names, asked.select(*record.names).distinct(), record.names).select(*record.keys)
         keys = keys.union(created).union(holders)
-    return versions.join(_small(keys), list(record.keys), "left_semi")
+    return _in_buckets(spark.read.parquet(f"{folder}/rows").where(earlier), keys.distinct(), record.keys)
 
 
 def _first_seen(batch: DataFrame, batch_id: int, folder: str, delay: str) -> tuple[DataFrame, DataFrame]:
@@ -126,13 +149,13 @@ def apply_batch(batch: DataFrame, batch_id: int, folder: str, record: str, delay
     late = None
     if delay:
         batch, late = _first_seen(batch, batch_id, folder, delay)
-    versions = batch.sparkSession.read.parquet(f"{folder}/rows").where(F.col("batch") < batch_id)
     batch.persist()
-    # as many rows as the micro-batch has keys; kept, so that the table is scanned once
-    state = _newest(_touched(versions, batch, how), how.keys).persist()
+    # as many rows as the micro-batch has keys; kept, so that the table is read once
+    touched = _touched(batch.sparkSession, folder, batch, how, batch_id)
+    state = _newest(touched, how.keys).persist()
     try:
         result = how.fold(state, batch)
-        result.changed.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+        _write_rows(result.changed, folder, how, batch_id)
         rejected = result.rejected
         if late is not None:
             rejected = rejected.unionByName(late.select("event_id", "ts", "op", F.lit("late").alias("reason")))

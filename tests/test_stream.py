@@ -1,11 +1,15 @@
 """Changes arriving as a stream end at the table one batch would give."""
 
+import re
+
 import pytest
 from conftest import tuples
 from pyspark.sql import functions as F
 from test_folds import FOLDS, feed, random_case, state
 
 from rollbook.streaming.changes import (
+    RECORDS,
+    _touched,
     apply_batch,
     apply_stream,
     compact,
@@ -21,7 +25,7 @@ def test_stream_equals_batch(spark, tmp_path, record):
     start, changes = state(spark, record, *rows), feed(spark, record, *events)
     whole = FOLDS[record](start, changes)
     folder = str(tmp_path / "table")
-    start_table(start, folder, changes)
+    start_table(start, folder, changes, record)
     for low, high in ((0, 25), (25, 100)):
         part = changes.where((F.col("event_id") > low) & (F.col("event_id") <= high))
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
@@ -37,7 +41,7 @@ def test_repeated_events_are_dropped(spark, tmp_path):
     rows, events = random_case("score", seed=2)
     changes = feed(spark, "score", *events)
     folder = str(tmp_path / "table")
-    start_table(state(spark, "score", *rows), folder, changes)
+    start_table(state(spark, "score", *rows), folder, changes, "score")
     for _ in range(2):
         changes.coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
     source = spark.readStream.schema(changes.schema).parquet(str(tmp_path / "feed"))
@@ -49,7 +53,7 @@ def test_retry_overwrites_itself_and_compaction(spark, tmp_path):
     rows, events = random_case("student", seed=4, moves=False)
     start, changes = state(spark, "student", *rows), feed(spark, "student", *events)
     folder = str(tmp_path / "table")
-    start_table(start, folder, changes)
+    start_table(start, folder, changes, "student")
     apply_batch(changes, 0, folder, "student")
     once = tuples(read_table(spark, folder, "student"))
     apply_batch(changes, 0, folder, "student")
@@ -65,7 +69,7 @@ def test_no_event_vanishes(spark, tmp_path):
     start = state(spark, "score", ("c", "s", 1.0, 1))
     changes = feed(spark, "score", *[("patch", "c", "s", float(i)) for i in range(40)])
     folder = str(tmp_path / "table")
-    start_table(start, folder, changes)
+    start_table(start, folder, changes, "score")
     deliveries = ["event_id > 30", "event_id = 35 or event_id in (2, 3)", "event_id in (29, 38)"]
     for where in deliveries:
         changes.where(where).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
@@ -74,3 +78,17 @@ def test_no_event_vanishes(spark, tmp_path):
     # 29 is within the delay, but late to its row
     assert sorted((r.event_id, r.reason) for r in read_rejected(spark, folder).collect()) == [(2, "late"), (3, "late"), (29, "late")]
     assert tuples(read_table(spark, folder, "score"), "score") == [(39.0,)]
+
+
+def test_only_buckets_of_touched_keys_and_names_are_read(spark, tmp_path):
+    start = state(spark, "class", *[(f"{i}", f"N{i}", 1) for i in range(200)])
+    changes = feed(spark, "class", ("rename", "7", "N300"), ("create", None, "N9"))
+    folder = str(tmp_path / "table")
+    start_table(start, folder, changes, "class")
+    touched = _touched(spark, folder, changes, RECORDS["class"], 0)
+    assert sorted(r.class_uid for r in touched.collect()) == ["7", "9"]
+    plan = touched._jdf.queryExecution().executedPlan().toString()
+    filters = [part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:]]
+    assert filters and all("bucket" in f and "batch" in f for f in filters)
+    buckets = spark.read.parquet(f"{folder}/rows").select("bucket").distinct().count()
+    assert buckets == 16 and all(len(set(re.findall(r"\b\d+\b", f.split("IN")[-1]))) <= 5 for f in filters)
