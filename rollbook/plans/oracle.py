@@ -586,13 +586,13 @@ FROM numbered_event"""),
 SELECT event_id, strftime(ts, '%Y%m%d%H%M%S') AS now_str,
   strftime(ts + to_seconds(event_id % 5000 * 60), '%Y%m%d%H%M%S') AS expire_str FROM events"""),
     "request_log": sql("", """
-WITH made AS (SELECT *, '[6910][' || CASE WHEN event_type = 'error' THEN '-100' ELSE ' 200' END || ']:['
+WITH made AS (SELECT *, '[7305][' || CASE WHEN event_type = 'error' THEN '-100' ELSE ' 200' END || ']:['
     || CASE WHEN event_id % 2 = 0 THEN ' GET' ELSE 'DELETE' END || ']:[/' || event_type || ']::[uid:'
     || CAST(user_id AS VARCHAR) || ']:[' || CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR)
     || 'ms]:[1]:[success]--[uid=' || CAST(user_id AS VARCHAR) || ']' AS whole,
     event_id % 11 > 0 AS parsed FROM events)
 SELECT event_id, CASE WHEN parsed THEN whole ELSE substr(whole, 1, 20) END AS line, parsed,
-  CASE WHEN parsed THEN 6910 END AS port,
+  CASE WHEN parsed THEN 7305 END AS port,
   CASE WHEN NOT parsed THEN NULL WHEN event_type = 'error' THEN -100 ELSE 200 END AS http_code,
   CASE WHEN NOT parsed THEN NULL WHEN event_id % 2 = 0 THEN 'GET' ELSE 'DELETE' END AS method,
   CASE WHEN parsed THEN '/' || event_type END AS path,

@@ -624,7 +624,7 @@ def expiry_strings_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.when(F.col("event_type") == "error", -100).otherwise(200)
     line = log_line(
-        F.lit(6910),
+        F.lit(7305),
         code,
         F.when(F.col("event_id") % 2 == 0, "GET").otherwise("DELETE"),
         F.concat(F.lit("/"), F.col("event_type")),

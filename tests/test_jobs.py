@@ -126,9 +126,9 @@ def test_request_log_round_trip(spark, tmp_path):
         "http int, method string, path string, uid string, ms double, code int, msg string, args string",
     )
     columns = [F.col(c) for c in rows.columns]
-    lines = rows.select(log_line(F.lit(6910), *columns).alias("value"))
+    lines = rows.select(log_line(F.lit(7305), *columns).alias("value"))
     text = [r.value for r in lines.collect()]
-    assert text[0] == "[6910][ 200]:[ GET]:[/a?b=[1]]::[uid:]:[1.23ms]:[1]:[ok]--[k=v:x=[y]]"
+    assert text[0] == "[7305][ 200]:[ GET]:[/a?b=[1]]::[uid:]:[1.23ms]:[1]:[ok]--[k=v:x=[y]]"
     broken = spark.createDataFrame([("not a log line",), ("",)], "value string")
     lines.union(broken).coalesce(1).write.text(str(tmp_path / "log"))
     good, bad = read_log(spark, str(tmp_path / "log"))
