@@ -6,8 +6,9 @@ a piece weighs its negative score; in a model of merges it accepts two pieces, a
 text gives back just these two, which is true of all neighbours in one segmentation only, that of the merges. An
 input is composed with them on the fly, stretch by stretch, and the path of least weight (tropical semiring) is taken.
 
-No piece goes on with ``▁`` after another sign, so each word with the spaces before it is a stretch of its own, and the
-paths of words seen before are remembered.
+Where no piece joins two signs, no path can cross, and the text is cut there: before the spaces of each word, as no
+piece goes on with ``▁``, and between letters and other signs, but for texts with the few signs that some piece joins
+across. Each stretch is composed by itself, and the paths of stretches seen before are remembered.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from rollbook.llm.common import columns_of, read, slices, text_map
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Paths of words, and verdicts on neighbours, that a worker remembers at most, each.
-REMEMBERED = 500_000
+#: Paths of stretches, and verdicts on neighbours, in each of a worker's memories (a new and an old one).
+REMEMBERED = 450_000
 #: Weight that a character without a piece has beyond the worst piece, in a model of scores.
 UNKNOWN_WEIGHT = 10.0
 
@@ -64,16 +65,21 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class Memory(dict):
-    """Values of a function by key, forgotten all at once when there are too many."""
+    """Values of a function by key. A full memory becomes the old one, from which what is asked for again comes back."""
 
     def __init__(self, make, most: int = REMEMBERED):
         super().__init__()
         self.make, self.most = make, most
+        self.old: dict = {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
@@ -107,6 +113,8 @@ class Transducer:
                 self.bytes_of[i] = " ⁇ ".encode()
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces that go on behind a space are not supported")
+        across = {a if WORD_SIGN.match(a) else b for p in self.ids for a, b in zip(p, p[1:], strict=False) if a != SPACE and bool(WORD_SIGN.match(a)) != bool(WORD_SIGN.match(b))}
+        self.across = re.compile(f"[{re.escape(''.join(sorted(across)))}]") if across else None
         # every beginning of a piece, and whether it is a piece that stands for its own text
         self.known = {p[:n]: False for p in self.ids for n in range(1, len(p) + 1)}
         self.known |= {p: not self.merges or self.merged(p) == [p] for p in self.ids}
@@ -218,7 +226,8 @@ class Transducer:
     def encode(self, text: str) -> bytes:
         """Ids of a text as 32-bit numbers in a row."""
         self._wake()
-        return b"".join(map(self.stretches.__getitem__, STRETCH.findall(self.normalise(text))))
+        fine = self.across is None or not self.across.search(text)
+        return b"".join(map(self.stretches.__getitem__, (FINE if fine else STRETCH).findall(self.normalise(text))))
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of ids: the machines run backwards. Bytes that are no UTF-8 become U+FFFD."""
@@ -226,7 +235,9 @@ class Transducer:
         return whole[1:] if self.prefix and whole[:1] == " " else whole
 
 
+WORD_SIGN = re.compile(r"[^\W_]")
 STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+FINE = re.compile(f"{SPACE}*[^\\W_]+|{SPACE}*(?:[^\\w{SPACE}]|_)+|{SPACE}+")
 
 
 def load(path: str = MODEL) -> Transducer:
