@@ -340,9 +340,8 @@ def test_replay_changes_nothing(spark, record):
 
 def played(record, rows, events):
     """Request by request: ``{uid: [name, status, ..]}`` and the refused events."""
-    table = {}
-    for r in rows:
-        table[r[0]] = {"class": [r[1], r[2]], "student": [r[2], r[5]], "course": [(r[2], r[3], r[1]) if record == "course" else None, r[-1]]}[record]
+    first = {"class": lambda r: [r[1], r[2]], "student": lambda r: [r[2], r[5]], "course": lambda r: [(r[2], r[3], r[1]), r[4]]}
+    table = {r[0]: first[record](r) for r in rows}
     refused = []
     for i, (op, uid, *fields) in enumerate(events, 1):
         if record == "class":
