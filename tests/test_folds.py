@@ -386,7 +386,7 @@ def played(record, rows, events):
     return table, refused
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 @pytest.mark.parametrize("record", ["class", "student", "course"])
 def test_feed_equals_request_by_request(spark, record, seed):
     rows, events = random_case(record, seed)
