@@ -82,10 +82,21 @@ class Scanner:
         found = []
         for n, own in windows.items():
             for start, stop in own:
-                for m in self.patterns[n].finditer(text, start, stop):
-                    found.append((n, m.start(), m.end(), sum(m.fuzzy_counts)))
+                found += [(n, *place) for place in self.places(n, text, start, stop)]
         return sorted(found, key=lambda f: (f[1], f[2], f[0]))
 
+    def places(self, n: int, text: str, start: int, stop: int) -> list[tuple[int, int, int]]:
+        """Places of a notice in a window as (start, end, edits): the best of the window, then those before and after it."""
+        phrase, _, k = self.notices[n]
+        found, open_parts = [], [(start, stop)]
+        while open_parts:
+            a, b = open_parts.pop()
+            m = self.patterns[n].search(text, a, b) if b - a >= len(phrase) - k else None
+            if m:
+                found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                open_parts += [(a, m.start()), (m.end(), b)]
+        return found
+
 
 def pieces(phrase: str, n: int) -> list[tuple[int, str]]:
     """A phrase cut into ``n`` pieces of about the same size, each with its place."""

@@ -43,3 +43,12 @@ def test_seeds_lose_no_notice():
         found = {scanner.notices[n][0] for n, *_ in scanner.find(text)}
         whole = {p for (p, _, k) in scanner.notices if regex.search(f"(?:{regex.escape(p)}){{e<={k}}}", text)}
         assert found == whole
+
+
+def test_an_edited_notice_before_a_better_one():
+    """The best place of a window is told, and so are those before and after it."""
+    scanner = L.Scanner({"all rights reserved": "reserved"})
+    text = " all rights reservd all rights reserved all rihts reserved all rights reservedx "
+    assert [(text[a:b].strip(), edits) for _, a, b, edits in scanner.find(text)] == [
+        ("all rights reservd", 1), ("all rights reserved", 0), ("all rihts reserved", 1), ("all rights reserved", 0),
+    ]
