@@ -1,16 +1,17 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
 The patterns give the base spans. The random field is trained by gradient ascent from a small labelled table and
-finds secrets the patterns don't know, such as keys, passwords and account numbers. Words without a digit or ``@`` are
-held to the label ``O``; a forced label cuts the chain, so only the stretches of other words are decoded,
-all those of a batch together, and the result is that of decoding whole texts.
+finds secrets the patterns don't know, such as keys, passwords and account numbers. Every word is scored. Where no path
+through another label can be the best one under the weights, ``O`` is certain and cuts the chain, so only the stretches of other words
+are decoded, all those of a batch together, and the result is that of decoding whole texts.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -83,14 +84,22 @@ WORDS = re.compile(r"\S+")
 SIGN = re.compile(r"[0-9@]")
 
 
+class Classes(dict):
+    """Upper case ``A``, lower case ``a``, digits ``9``, other signs as they are, by code point."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = "9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
+        return self[point]
+
+
+CLASSES = Classes()
+RUNS = re.compile(r"(.)\1{3,}", re.DOTALL)
+
+
 def shape(word: str) -> str:
-    """Upper case ``A``, lower case ``a``, digits ``9``, other signs as they are; runs keep three signs of one class."""
-    out: list[str] = []
-    for c in word[:200]:
-        s = "9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
-        if len(out) < 3 or not (s == out[-1] == out[-2] == out[-3]):
-            out.append(s)
-    return "".join(out)
+    """The classes of a word's signs; runs keep three signs of one class."""
+    return RUNS.sub(r"\1\1\1", word[:200].translate(CLASSES))
 
 
 def size_class(n: int) -> str:
@@ -100,16 +109,18 @@ def size_class(n: int) -> str:
 def features(word: str) -> list[str]:
     """Shape features of one word, whatever its neighbours."""
     core = word.strip(".,;:!?\"'()")
-    digits = sum(c.isdigit() for c in core)
-    letters = sum(c.isalpha() for c in core)
-    classes = "".join(sorted({"9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in core}))
+    whole = core.translate(CLASSES)
+    digits = whole.count("9")
+    classes = "".join(sorted(set(whole)))
     out = [f"shape={shape(core)}", f"size={size_class(len(core))}", f"digits={size_class(digits)}", f"classes={classes}"]
     out.append(f"size={size_class(len(core))},classes={classes}")
-    if letters and digits and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", core):
+    if digits and len(classes) > 1 and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", core):
         out.append("hex")
-    if "=" in core:
+    if "=" in core[1:-1]:
         name = core.split("=", 1)[0].lower()
-        out += ["assigns", f"name={name}"]
+        out += ["assigns", f"name={name}", f"named={re.split('[^a-z]', name)[-1]}"]
+    if len(core) >= 16:
+        out.append(f"start={core[:4]}")
     if not digits:
         out.append(f"word={core.lower()}")
     return out
@@ -122,29 +133,58 @@ def sequence_features(words: list[str], i: int) -> list[str]:
         j = i + side
         if 0 <= j < len(words):
             core = words[j].strip(".,;:!?\"'()")
-            out.append(f"{side}:shape={shape(core)}")
-            if not SIGN.search(core):
-                out.append(f"{side}:word={core.lower()}")
+            out += neighbour(words[j], side)
         else:
             out.append(f"{side}:none")
     return out
 
 
+def neighbour(word: str, side: int) -> list[str]:
+    core = word.strip(".,;:!?\"'()")
+    out = [f"{side}:shape={shape(core)}"]
+    if not SIGN.search(core):
+        out.append(f"{side}:word={core.lower()}")
+        if word.endswith((":", "=")):
+            out.append(f"{side}:names={word.lower()}")
+    return out
+
+
 class Field:
     """Weights of a linear-chain conditional random field: features by labels, label by label."""
 
     def __init__(self, index: dict[str, int], emit: np.ndarray, move: np.ndarray):
         self.index, self.emit, self.move = index, emit, move
-        self.seen: dict[str, np.ndarray] = {}
 
     def scores(self, words: list[str], i: int) -> np.ndarray:
-        """Label scores of one word. A word without a sign of data is held to ``O``."""
-        if not SIGN.search(words[i]):
-            held = np.full(len(LABELS), -1e9)
-            held[0] = 0.0
-            return held
-        rows = [self.index[f] for f in sequence_features(words, i) if f in self.index]
-        return self.emit[rows].sum(axis=0)
+        """Label scores of one word."""
+        return self.weigh(sequence_features(words, i))
+
+    def weigh(self, found: list[str]) -> np.ndarray:
+        return self.emit[[self.index[f] for f in found if f in self.index]].sum(axis=0)
+
+    def uncertain(self, scores: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        """Whether each of the words may have another label than ``O`` in a best path.
+
+        A label goes where ``O`` in its place is better whatever the neighbours' labels that are left. ``apart`` marks places
+        between texts; words before the first and past the last one may have any label.
+        """
+        ahead, behind = self.move - self.move[:, :1], (self.move - self.move[:1]).T  # label after label, label before label
+        above = scores - scores[:, :1] - 1e-9
+        left = above + ahead.max(axis=0) + behind.max(axis=0) >= 0
+        left[apart] = False
+        left[:, 0] = True
+        at, label = np.nonzero(left[1:-1, 1:])  # pairs of a word and a label that is left
+        at, label = at + 1, label + 1
+        while True:
+            fine = np.ones(len(at), dtype=bool)
+            for a in range(0, len(at), 20_000):  # in parts, for memory
+                i, y = at[a : a + 20_000], label[a : a + 20_000]
+                gain = np.where(left[i - 1], ahead.T[y], -np.inf).max(axis=1) + np.where(left[i + 1], behind.T[y], -np.inf).max(axis=1)
+                fine[a : a + 20_000] = above[i, y] + gain >= 0
+            if fine.all():
+                return left[:, 1:].any(axis=1)
+            left[at[~fine], label[~fine]] = False
+            at, label = at[fine], label[fine]
 
     def decode(self, stretches: list[list[np.ndarray]]) -> list[list[int]]:
         """Best labels of each stretch (Viterbi), all stretches side by side; each starts and ends beside an ``O``."""
@@ -178,34 +218,36 @@ class Field:
 
 
 def train(rows: list[tuple[list[str], list[str]]], rounds: int = 60, rate: float = 0.3, decay: float = 1e-3) -> Field:
-    """Fit by gradient ascent (Adam) on the log likelihood; words without a sign are held to ``O`` as in decoding."""
-    names = sorted({f for words, _ in rows for i, w in enumerate(words) if SIGN.search(w) for f in sequence_features(words, i)})
+    """Fit by gradient ascent (Adam) on the log likelihood of all words."""
+    names = sorted({f for words, _ in rows for i in range(len(words)) for f in sequence_features(words, i)})
     index, k = {f: i for i, f in enumerate(names)}, len(LABELS)
     longest = max(len(w) for w, _ in rows)
     n = len(rows)
-    # all rows side by side, each filled up with words held to O
+    # all rows side by side, each filled up with places held to O
     held = np.ones((n, longest), dtype=bool)
     gold = np.zeros((n, longest), dtype=np.int64)
     cells: list[tuple[int, int]] = []
     for r, (words, labels) in enumerate(rows):
-        for i, w in enumerate(words):
+        for i in range(len(words)):
             gold[r, i] = LABELS.index(labels[i])
-            if SIGN.search(w):
-                held[r, i] = False
-                cells.append((r, i))
+            held[r, i] = False
+            cells.append((r, i))
     r_at, i_at = (np.array(x) for x in zip(*cells, strict=True))
-    on = np.zeros((len(cells), len(names)))  # features by word
-    for c, (r, i) in enumerate(cells):
-        for f in sequence_features(rows[r][0], i):
-            on[c, index[f]] += 1
+    listed = [[index[f] for f in sequence_features(rows[r][0], i)] for r, i in cells]
+    of = np.concatenate(listed)  # features of all words in turn, and where each word's begin
+    begin = np.cumsum([0, *(len(x) for x in listed[:-1])])
+    word = np.repeat(np.arange(len(cells)), [len(x) for x in listed])
+    by = np.argsort(of, kind="stable")
+    turns = np.flatnonzero(np.diff(of[by], prepend=-1))
+    summed = lambda x: np.add.reduceat(x[word[by]], turns)  # by feature; each occurs
     emit, move = np.zeros((len(names), k)), np.zeros((k, k))
     params, moments = [emit, move], [[np.zeros_like(p) for p in (emit, move)] for _ in range(2)]
-    seen_emit, seen_move = on.T @ np.eye(k)[gold[r_at, i_at]], np.zeros_like(move)
+    seen_emit, seen_move = summed(np.eye(k)[gold[r_at, i_at]]), np.zeros_like(move)
     np.add.at(seen_move, (gold[:, :-1], gold[:, 1:]), 1)
     block = np.where(held[:, :, None] & (np.arange(k) > 0), -1e9, 0.0)
     for turn in range(1, rounds + 1):
         scores = block.copy()
-        scores[r_at, i_at] += on @ emit
+        scores[r_at, i_at] += np.add.reduceat(emit[of], begin)
         ahead, behind = np.zeros((n, longest, k)), np.zeros((n, longest, k))
         ahead[:, 0] = scores[:, 0]
         for t in range(1, longest):
@@ -217,7 +259,7 @@ def train(rows: list[tuple[list[str], list[str]]], rounds: int = 60, rate: float
         pair = np.zeros((k, k))
         for t in range(1, longest):
             pair += np.exp(ahead[:, t - 1, :, None] + move + (scores[:, t] + behind[:, t])[:, None, :] - whole).sum(axis=0)
-        slopes = [(seen_emit - on.T @ single[r_at, i_at]) / n - decay * emit, (seen_move - pair) / n - decay * move]
+        slopes = [(seen_emit - summed(single[r_at, i_at])) / n - decay * emit, (seen_move - pair) / n - decay * move]
         for p, slope, first, second in zip(params, slopes, *moments, strict=True):
             first *= 0.9
             first += 0.1 * slope
@@ -241,13 +283,19 @@ def labelled_rows(n: int = 400, seed: int = 7) -> list[tuple[list[str], list[str
     num = lambda a, b: pick(digits, int(rng.integers(a, b + 1)))
     quad = lambda: ".".join(str(rng.integers(0, 256)) for _ in range(4))
     one = lambda *xs: xs[int(rng.integers(0, len(xs)))]
+    secret = lambda: one("", "", "", "db_", "my-") + one("password", "passwd", "secret", "token", "api_key")
+    long = lambda: one(str, str, str.title, str.upper)(pick(low, int(rng.integers(9, 31))))
+    beyond = "éèüßçñабвгде漢字日本語가나"
     makers = {
         "email": lambda: [f"{word()}.{num(1, 3)}@{word()}{num(0, 1)}.{one('com', 'org', 'net')}"],
         "ip": lambda: [quad()],
         "card": lambda: one([num(16, 16)], [num(4, 4) for _ in range(4)], ["-".join(num(4, 4) for _ in range(4))]),
         "phone": lambda: one(["+1", f"({num(3, 3)})", f"{num(3, 3)}-{num(4, 4)}"], [f"+{num(11, 13)}"], [f"+{num(2, 2)}", num(3, 3), num(6, 8)]),
-        "key": lambda: ["AKIA" + pick(high + "234567", 16)],
-        "secret": lambda: one([f"{one('password', 'passwd', 'secret', 'token', 'api_key')}={pick('0123456789abcdef', 18)}"], [f'"{pick("0123456789abcdef", 40)}"']),
+        "key": lambda: ["AKIA" + pick(one(high + "234567", high), 16)],
+        "secret": lambda: one(
+            [f"{secret()}={pick('0123456789abcdef', 18)}"], [f"{secret()}={one('', chr(34))}{pick(one(low, low + high, low + high + digits), int(rng.integers(6, 25)))}"],
+            [f'"{pick("0123456789abcdef", 40)}"'], [f'"{pick(one(low, high, low + high), int(rng.integers(6, 41)))}"'],
+        ),
         "iban": lambda: [one("DE", "FR", "ES", "GB") + num(2, 2) + num(16, 20)],
         "ssn": lambda: [f"{num(3, 3)}-{num(2, 2)}-{num(4, 4)}"],
     }
@@ -255,6 +303,10 @@ def labelled_rows(n: int = 400, seed: int = 7) -> list[tuple[list[str], list[str
         lambda: [num(1, 4)], lambda: [f"{num(1, 2)}.{num(1, 2)}"], lambda: ["version", f"{num(1, 1)}.{num(1, 1)}"], lambda: [f"{num(1, 2)}.{num(1, 2)}.{num(1, 2)}"], lambda: [f"{num(4, 4)}-{num(2, 2)}-{num(2, 2)}"],
         lambda: [f"{num(1, 2)}:{num(2, 2)}"], lambda: [f"{word()}{num(1, 3)}"], lambda: [f"{num(1, 3)},{num(3, 3)}"], lambda: [num(5, 9)], lambda: [f"{num(1, 3)}%"], lambda: ["@" + word()],
         lambda: [f"{one('page', 'id', 'n')}={num(1, 4)}"], lambda: [f"({num(1, 4)})"], lambda: [pick(high, 2) + num(1, 3)], lambda: [f"v{num(1, 1)}.{num(1, 1)}"], lambda: [f"{num(4, 4)}-{num(4, 4)}"], lambda: [num(2, 4), num(2, 4)],
+        lambda: [long()], lambda: [long()], lambda: [f"{word()}={word()}"], lambda: [word(), "=", word()], lambda: [f"{word()}:", word()],
+        lambda: [one("password", "passwd", "secret", "token", "key"), word()], lambda: [one("the", "a"), one("password", "secret", "token", "key"), one("is", "of"), word()],
+        lambda: [f"{one('http', 'https')}://www.{word()}.com/{word()}{one('/', '-', '_')}{long()}"], lambda: [one("|", "-", "--", "###", "&", "=", "*", "...", "=====", "/")],
+        lambda: [pick(beyond, int(rng.integers(1, 12)))], lambda: [pick(low + beyond, int(rng.integers(3, 30)))], lambda: [f"{word()}{one('_', '-', '/', '.', '(', '|')}{long()}"], lambda: [f'"{word()}"'], lambda: [f"'{word()}", f"{word()}'"],
     ]
     rows = []
     for r in range(n):
@@ -267,9 +319,9 @@ def labelled_rows(n: int = 400, seed: int = 7) -> list[tuple[list[str], list[str
             if rng.random() < 0.5:
                 kind = CRF_KINDS[(r + len(words)) % len(CRF_KINDS)]
             got = makers[kind]() if kind else one(*harmless)()
-            if kind == "secret" and got[0][0] == '"':
-                words += ["token", "="]
-                labels += ["O", "O"]
+            if kind == "secret" and "=" not in got[0]:
+                words += one([secret(), "="], [secret() + ":"], [one("token", "password"), "="])
+                labels += ["O"] * (len(words) - len(labels))
             if rng.random() < 0.2:
                 got[-1] += one(",", ".")
             words += got
@@ -281,33 +333,95 @@ def labelled_rows(n: int = 400, seed: int = 7) -> list[tuple[list[str], list[str
     return rows
 
 
+#: Words that are scored together, and distinct words whose scores are held from one window to the next.
+WINDOW, HELD_WORDS = 20_000, 200_000
+#: Texts from this size on are not split as a whole.
+LONG_TEXT = 1 << 20
+
+
+class Scores:
+    """Scores of all words: each distinct word is looked at once, by itself and as a neighbour."""
+
+    def __init__(self, field: Field):
+        self.field = field
+        #: words that have features of their own
+        self.told = {f.split("=", 1)[1] for f in field.index if f.split("=", 1)[0].split(":")[-1] in ("word", "names")}
+        self.clear()
+
+    def clear(self) -> None:
+        weigh = self.field.weigh
+        self.place: dict[str | None, int] = {None: 0}  # None lies between texts
+        self.plain: dict[str, int] = {}
+        self.rows = [np.array([weigh([]), *(weigh([f"{side}:none"]) for side in (-2, -1, 1))])]
+
+    def row(self, word: str) -> int:
+        """The place of a word's scores. Plain words that the field has not met differ in their classes only."""
+        core = word.strip(".,;:!?\"'()")
+        whole = core.translate(CLASSES)
+        plain = len(whole) < 16 and "9" not in whole and "=" not in whole and "@" not in whole and core.lower() not in self.told and word.lower() not in self.told
+        if plain and whole in self.plain:
+            return self.plain[whole]
+        weigh = self.field.weigh
+        self.rows.append(np.array([weigh(features(word)), *(weigh(neighbour(word, side)) for side in (-2, -1, 1))]))
+        if plain:
+            self.plain[whole] = len(self.rows) - 1
+        return len(self.rows) - 1
+
+    def of(self, words: list[str | None]) -> np.ndarray:
+        """Label scores of the words but for the first two and the last, which are neighbours only."""
+        if len(self.place) > HELD_WORDS or len(self.rows) > HELD_WORDS // 4:
+            self.clear()
+        place = self.place
+        for w in set(words).difference(place):
+            place[w] = self.row(w)
+        used, here = np.unique(np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words)), return_inverse=True)
+        rows = np.array([self.rows[u] for u in used])
+        return rows[here[2:-1], 0] + rows[here[:-3], 1] + rows[here[1:-2], 2] + rows[here[3:], 3]
+
+
 def field_spans(field: Field, texts: list[str]) -> list[list[Span]]:
     """Spans that the random field finds in each text."""
     found: list[list[Span]] = [[] for _ in texts]
-    stretches: list[list[np.ndarray]] = []
-    where: list[tuple[int, list[tuple[int, int]]]] = []
-    for n, text in enumerate(texts):
-        end = -1
-        run: list[tuple[int, int]] = []
-        for m in SIGN.finditer(text):
-            if m.start() < end:
-                continue
-            start, end = word_at(text, m.start())
-            if run and text[run[-1][1] : start].isspace():
-                run.append((start, end))
-                continue
-            if run:
-                where.append((n, run))
-            run = [(start, end)]
-        if run:
-            where.append((n, run))
-    for n, run in where:
-        text = texts[n]
-        before, after = words_before(text, run[0][0], 2), words_after(text, run[-1][1])
-        words = [*before, *(text[a:b] for a, b in run), *after]
-        stretches.append([field.scores(words, len(before) + i) for i in range(len(run))])
-    for (n, run), path in zip(where, field.decode(stretches), strict=True):
+    if not hasattr(field, "known"):
+        field.known = Scores(field)
+    first: list[int] = []  # place of each text's first word
+
+    def words_of_all() -> Iterator[str | None]:
+        n = 2
+        for text in texts:
+            first.append(n)
+            for w in text.split() if len(text) < LONG_TEXT else map(re.Match.group, WORDS.finditer(text)):
+                yield w
+                n += 1
+            yield from (None, None)
+            n += 2
+
+    stretches: list[list[np.ndarray]] = []  # words that may have a label, and their places
+    where: list[list[int]] = []
+    every, words, a = words_of_all(), [None, None], 2
+    while more := list(islice(every, WINDOW)):
+        words += more
+        if len(words) > 3:
+            scores = field.known.of(words)
+            unsure = field.uncertain(scores, np.array([w is None for w in words[2:-1]], dtype=bool))
+            for i in np.flatnonzero(unsure).tolist():
+                if not where or where[-1][-1] != a + i - 1:
+                    where.append([])
+                    stretches.append([])
+                where[-1].append(a + i)
+                stretches[-1].append(scores[i])
+            a += len(words) - 3
+        words = words[-3:]
+    of, places, past = -1, iter(()), 0
+    for run, path in zip(where, field.decode(stretches), strict=True):
+        if not any(path):
+            continue
+        n = bisect_right(first, run[0]) - 1
         text, i = texts[n], 0
+        if n != of:
+            of, places, past = n, WORDS.finditer(text), first[n]
+        spans = [m.span() for m in islice(places, run[0] - past, run[-1] + 1 - past)]
+        past = run[-1] + 1
         while i < len(run):
             label, j = LABELS[path[i]], i + 1
             if label == "O":
@@ -315,40 +429,13 @@ def field_spans(field: Field, texts: list[str]) -> list[list[Span]]:
                 continue
             while j < len(run) and LABELS[path[j]] == f"I-{label[2:]}":
                 j += 1
-            start, end = trimmed(text, run[i][0], run[j - 1][1])
+            start, end = trimmed(text, spans[i][0], spans[j - 1][1])
             if start < end:
                 found[n].append((label[2:], start, end))
             i = j
     return found
 
 
-def word_at(text: str, at: int) -> tuple[int, int]:
-    start = at
-    while start > 0 and not text[start - 1].isspace():
-        start -= 1
-    return start, WORDS.match(text, start).end()
-
-
-def words_before(text: str, at: int, n: int) -> list[str]:
-    """The last ``n`` words before a place; a word of more than 200 signs is cut to its end."""
-    out, end = [], at
-    for _ in range(n):
-        while end > 0 and text[end - 1].isspace():
-            end -= 1
-        start = end
-        while start > 0 and not text[start - 1].isspace() and end - start < 200:
-            start -= 1
-        if start < end:
-            out.append(text[start:end])
-        end = start
-    return out[::-1]
-
-
-def words_after(text: str, at: int) -> list[str]:
-    m = WORDS.search(text, at)
-    return [m.group()[:200]] if m else []
-
-
 def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     """A span without the punctuation and quotes around it."""
     while start < end and text[start] in "\"'([{<,;:":
