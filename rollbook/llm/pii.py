@@ -99,7 +99,7 @@ RUNS = re.compile(r"(.)\1{3,}", re.DOTALL)
 
 def shape(word: str) -> str:
     """The classes of a word's signs; runs keep three signs of one class."""
-    return RUNS.sub(r"\1\1\1", word[:200].translate(CLASSES))
+    return RUNS.sub(r"\1\1\1", word.translate(CLASSES))
 
 
 def size_class(n: int) -> str:

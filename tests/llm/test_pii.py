@@ -108,3 +108,9 @@ def test_windows_cut_nothing(field, monkeypatch):
         monkeypatch.setattr(pii, "HELD_WORDS", 20)
         monkeypatch.setattr(pii, "LONG_TEXT", 5)
         assert pii.field_spans(field, texts) == whole
+
+
+def test_shape_of_a_long_word():
+    """Words that differ late have different shapes."""
+    assert pii.shape("ab1" * 100 + "x") != pii.shape("ab1" * 100 + "-")
+    assert pii.shape("Aaaaa99999" + "b" * 500 + "-") == "Aaaa999aaa-"
