@@ -78,13 +78,13 @@ def text_map(
     return docs.select(*[docs[f.name] for f in fields], *given).mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``SLICE_CHARS`` of text each, so that very long texts don't pile up."""
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` bytes of text each, so that very long texts don't pile up."""
     start = size = 0
     sizes = batch_sizes(batch.column(column))
     for i in range(batch.num_rows):
         size += sizes[i]
-        if size >= SLICE_CHARS:
+        if size >= most:
             yield batch.slice(start, i + 1 - start)
             start, size = i + 1, 0
     if start < batch.num_rows:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import chat, embeddings, urls
+from rollbook.llm import chat, collocations, embeddings, packing, repair, urls
 from rollbook.llm.decontamination import op5_decontamination
 from rollbook.llm.language import op10_language
 from rollbook.llm.licenses import op4_licenses
@@ -26,6 +26,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": urls.op8_url_filter,
     "op9_simhash": op9_simhash,
     "op10_language": op10_language,
+    "op11_repair": repair.op11_repair,
+    "op12_packing": packing.op12_packing,
+    "op13_collocations": collocations.op13_collocations,
 }
 
-ORACLE: dict[str, str] = {"op6_chat": chat.ORACLE, "op7_embeddings": embeddings.ORACLE, "op8_url_filter": urls.ORACLE}
+ORACLE: dict[str, str] = {
+    "op6_chat": chat.ORACLE,
+    "op7_embeddings": embeddings.ORACLE,
+    "op8_url_filter": urls.ORACLE,
+    "op11_repair": repair.ORACLE,
+    "op13_collocations": collocations.ORACLE,
+}
