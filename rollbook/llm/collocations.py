@@ -20,9 +20,13 @@ from rollbook.llm.common import keep, read, slices
 
 MOST_WORDS, LEAST_COUNT, TOP, SCALE = 5, 100, 2000, 1000
 
-#: Frequent words are broadcast, to cut windows at all others, up to so many words and bytes; beyond it windows are not cut, with the same results.
+#: Frequent words are broadcast, to cut windows at all others and to shorten them, up to so many words and bytes; beyond it windows hold whole words and are
+#: not cut, with the same results.
 PRUNE_WORDS, PRUNE_BYTES = 500_000, 16_000_000
 
+#: Signs of short forms.
+DIGITS = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
 #: Texts of about so many bytes are taken apart together, and sorted windows of so many rows counted together.
 BATCH_BYTES, BATCH_ROWS = 4_000_000, 200_000
 
@@ -65,52 +69,72 @@ def word_counts(docs: DataFrame, lang: str = "lang", text: str = "text") -> Data
     return _texts(docs, lang, text).mapInArrow(run, "lang string, phrase string, a bigint").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
 
-def windows(docs: DataFrame, common: DataFrame | None, lang: str = "lang", text: str = "text") -> DataFrame:
+def short_forms(common: DataFrame) -> dict[str, dict[bytes, bytes]]:
+    """For each language its ``common`` words (``lang``, ``phrase``, ``a``) with a form of one sign up, the shorter the more frequent."""
+    chosen: dict[str, list] = {}
+    for lang, word, a in common.collect():  # bounded by PRUNE_WORDS
+        chosen.setdefault(lang, []).append((-a, word.encode("utf-8", "surrogatepass")))
+
+    def form(n: int) -> bytes:
+        return (form(n // len(DIGITS) - 1) if n >= len(DIGITS) else b"") + DIGITS[n % len(DIGITS) :][:1]
+
+    return {lang: {word: form(n) for n, (_, word) in enumerate(sorted(words))} for lang, words in chosen.items()}
+
+
+def windows(docs: DataFrame, shared, lang: str = "lang", text: str = "text") -> DataFrame:
     """``lang``, ``window`` and how often it comes (``n``) for each word with what follows it in its piece, up to ``MOST_WORDS`` words.
 
-    With a (small) table of ``common`` words a window ends before any other word: a phrase with it is too rare. Windows of one word are left out, as
-    words are counted on their own. Each word is followed by a space, so that windows sort word by word.
+    With (broadcast) short forms of common words a window holds those and ends before any other word: a phrase with it is too rare. Windows of one word are
+    left out, as words are counted on their own. Each word is followed by a space, so that windows sort word by word. Those of a batch
+    leave in order, which makes them small on their way.
     """
-    chosen: dict[str, set[bytes]] = {}
-    for name, word in common.collect() if common is not None else []:  # bounded by PRUNE_WORDS
-        chosen.setdefault(name, set()).add(word.encode("utf-8", "surrogatepass"))
-    shared = docs.sparkSession.sparkContext.broadcast(chosen if common is not None else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, texts in _by_lang(batches):
             kinds, codes, stops = coded_words(texts)
             if not len(codes):
                 continue
+            spelled = kinds.to_pylist()
             if shared.value is not None:
-                known = shared.value.get(name, ())
-                stops |= ~np.fromiter((w in known for w in kinds.to_pylist()), bool, len(kinds))[codes]
+                known = shared.value.get(name, {})
+                spelled = [known.get(w) for w in spelled]
+                stops |= np.fromiter((w is None for w in spelled), bool, len(spelled))[codes]
+                spelled = [w or b"" for w in spelled]
+            order = sorted(range(len(spelled)), key=spelled.__getitem__)
+            kinds, ranks = pa.array([spelled[i] for i in order], pa.binary()), np.empty(len(order), dtype=np.int64)
+            ranks[order] = np.arange(len(order))
+            codes = ranks[codes]
             places = np.arange(len(codes))
             nexts = np.append(np.flatnonzero(stops), len(codes))
             reach = nexts[np.searchsorted(nexts, places)] - places
             starts = np.flatnonzero(reach > 1)
-            columns = []
-            for k in range(MOST_WORDS):
-                at = codes[np.minimum(starts + k, len(codes) - 1)]
-                columns.append(kinds.take(pa.array(at, mask=reach[starts] <= k)))
+            after = [codes[np.minimum(starts + k, len(codes) - 1)] for k in range(MOST_WORDS)]
+            sort = np.argsort(after[0] << 42 | after[1] << 21 | after[2])
+            reach = reach[starts][sort]
+            columns = [kinds.take(pa.array(at[sort], mask=reach <= k)) for k, at in enumerate(after)]
             found = pc.binary_join_element_wise(*columns, b"", b" ", null_handling="skip").value_counts()
             yield pa.RecordBatch.from_arrays([pa.repeat(name, len(found)), found.field(0).cast(pa.string()), found.field(1)], names=["lang", "window", "n"])
 
     return _texts(docs, lang, text).mapInArrow(run, "lang string, window string, n bigint")
 
 
-def phrase_counts(in_order: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
-    """``lang``, ``phrase`` of two words or more and its count ``a``, at least ``least``, from windows in sorted ranges.
+def phrase_counts(in_order: DataFrame, shared, least: int = LEAST_COUNT) -> DataFrame:
+    """``lang``, ``phrase`` of two words or more and its count ``a``, at least ``least``, from windows in sorted ranges; short forms are spelled out.
 
     Windows with the same first words are a run, and its weight the count of that phrase. Many rows are counted at a time; the first and the last run of
     each length may go on before or after them, so they leave with any count, and all are added up.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelled: dict[str, dict[str, str]] = {}
         for rows in _gathered(batches):
             for name in pc.unique(rows.column("lang")).to_pylist():
+                if shared.value is not None and name not in spelled:
+                    spelled[name] = {form.decode(): word.decode("utf-8", "surrogatepass") for word, form in shared.value[name].items()}
+                whole = spelled.get(name, {})
                 mine = rows.filter(pc.equal(rows.column("lang"), name))
                 texts = mine.column("window").combine_chunks()
-                found = [(" ".join(texts[i].as_py().split(" ")[:k]), n) for k, i, n in runs_of(texts, mine.column("n").to_numpy(), least)]
+                found = [(" ".join(whole.get(w, w) for w in texts[i].as_py().split(" ")[:k]), n) for k, i, n in runs_of(texts, mine.column("n").to_numpy(), least)]
                 phrases, counts = zip(*found) if found else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.repeat(name, len(found)), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "a"])
 
@@ -228,9 +252,9 @@ def collocations(
     common = keep(words.filter(F.col("a") >= least), "common-words")
     n, size = common.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()
     few = n <= prune_words and size <= PRUNE_BYTES
-    stream = windows(docs, common.select("lang", "phrase") if few else None, lang, text)
-    in_order = stream.repartitionByRange("window").sortWithinPartitions("window")
-    counts = keep(phrase_counts(in_order, least).unionByName(common), "phrases")
+    shared = docs.sparkSession.sparkContext.broadcast(short_forms(common) if few else None)
+    in_order = windows(docs, shared, lang, text).repartitionByRange("window").sortWithinPartitions("window")
+    counts = keep(phrase_counts(in_order, shared, least).unionByName(common), "phrases")
     forward = F.concat(F.col("phrase"), F.lit(" "))
     backward = F.concat(F.array_join(F.reverse(F.split("phrase", " ")), " "), F.lit(" "))
     begins = lockstep(counts, forward).select("lang", F.rtrim("key").alias("phrase"), "a", F.col("parts").alias("_begins"), F.col("ext").alias("_right"))
