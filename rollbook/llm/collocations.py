@@ -282,11 +282,9 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = rf"""
 WITH pieces AS (
-  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--
-]')) AS p
-  FROM documents),
-words AS (SELECT lang, regexp_extract_all(p, '[^ 	]+') AS w FROM pieces),
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?' || chr(11) || chr(12) || chr(13),
+           'abcdefghijklmnopqrstuvwxyz' || repeat(chr(10), 9)), chr(10))) AS p FROM documents),
+words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
 grams AS (SELECT lang, len, array_to_string(w[i : i + len - 1], ' ') AS phrase
           FROM (SELECT lang, w, len, unnest(range(1, len(w) - len + 2)) AS i FROM words, range(1, {MOST_WORDS + 1}) t(len))),
 counts AS (SELECT lang, len, phrase, count(*) AS a FROM grams GROUP BY ALL),

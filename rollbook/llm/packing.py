@@ -9,7 +9,9 @@ patterns, each used so many times; a document finds its place in it by its numbe
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,8 +26,11 @@ from rollbook.operators.joins import left_join
 
 SEQUENCE_TOKENS, END_ID = 1024, 2
 
-#: Texts of about so many bytes are handed to the tokenizer together.
-BATCH_BYTES = 500_000
+#: Texts of about so many bytes are encoded together. The ids of so many different words, none of them longer than this, are remembered by a task.
+BATCH_BYTES, REMEMBERED, LONGEST = 4_000_000, 300_000, 100
+
+#: No token goes over this place: a space that a letter or digit follows begins a word of its own.
+WORD_START = re.compile(r"(?= [^\W_])")
 
 #: Numbers of pieces before each part of a table are broadcast up to so many rows.
 BROADCAST_ROWS = 500_000
@@ -40,6 +45,47 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Encoder:
+    """Ids of texts by a byte-level tokenizer, which sees each different word once.
+
+    It splits a text at ``WORD_START`` first, whatever stands there, so a text has the ids of its words in a row.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, int] = {}
+        self.ids, self.ends = array("I"), array("q", [0])
+
+    def learn(self, words: list[str]) -> None:
+        for word, encoded in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self.known[word] = len(self.ends) - 1
+            self.ids.extend(encoded.ids)
+            self.ends.append(len(self.ids))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        if len(self.known) > REMEMBERED or len(self.ids) > 4 * REMEMBERED:
+            self.known, self.ids, self.ends = {}, array("I"), array("q", [0])
+        words, sizes = [], []
+        for text in texts:
+            found = WORD_START.split(text)
+            words += found
+            sizes.append(len(found))
+        self.learn([w for w in set(words) if w not in self.known])
+        codes = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        pool, ends = np.array(self.ids, dtype="<u4"), np.array(self.ends)
+        for word in {w for w in words if len(w) > LONGEST}:
+            del self.known[word]
+        lengths = ends[codes + 1] - ends[codes]
+        upto = np.cumsum(lengths)
+        ids = pool[np.arange(upto[-1]) + np.repeat(ends[codes] - upto + lengths, lengths)]
+        borders = np.concatenate([[0], upto])[np.cumsum(sizes)]
+        return np.split(ids, borders[:-1])
+
+
 def cut(
     docs: DataFrame, path: str, size: int = SEQUENCE_TOKENS, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False
 ) -> DataFrame:
@@ -55,15 +101,13 @@ def cut(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
+        encoder = Encoder(path)
         for whole in batches:
             for part in slices(whole, 1, BATCH_BYTES):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 rows, columns, lists = [], [[], [], [], []], []
-                for row, encoded in enumerate(tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                    ids = np.array([*encoded.ids, end_id], dtype="<u4")
+                for row, ids in enumerate(encoder.encode(texts)):
+                    ids = np.append(ids, np.array([end_id], dtype="<u4"))
                     edges = [0, *range(len(ids) - (len(ids) - 1) // size * size, len(ids) + 1, size)]
                     for piece, (a, b) in enumerate(zip(edges, edges[1:])):
                         rows.append(row)

@@ -129,3 +129,15 @@ def test_ids_can_be_carried(spark):
     ids = [i for r in rows for i in r["ids"]]
     assert ids == [*Tokenizer.from_file(packing.tokenizer_path()).encode("some words " * 700, add_special_tokens=False).ids, 2]
     assert [r["length"] for r in rows[1:]] == [100] * (len(rows) - 1) and all(len(r["ids"]) == r["length"] for r in rows)
+
+
+def test_words_in_a_row_have_the_ids_of_the_text(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    encoder, tokenizer = packing.Encoder(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    random.seed(5)
+    bits = [" ", "  ", "\n", "\t ", "\u3000", "\u00a0", "\x1f", "\x85", "a", "word", "It's", "'s", "<|endoftext|>", "é", "\u4e2d\u6587", "_", "\u00b2", "12", "\u0661", "\U0001f600", "-", ".", "x" * 150, "\u0301", "\u200b", "\ufeff", "\x00"]
+    for _ in range(40):
+        texts = ["".join(random.choices(bits, k=random.randint(0, 30))) for _ in range(25)]
+        want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [i.tolist() for i in encoder.encode(texts)] == want
+    assert encoder.encode([]) == []
