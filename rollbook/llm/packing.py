@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,11 +25,14 @@ from rollbook.operators.joins import left_join
 
 SEQUENCE_TOKENS, END_ID = 1024, 2
 
-#: Texts of about so many bytes are encoded together. The ids of so many different words, none of them longer than this, are remembered by a task.
-BATCH_BYTES, REMEMBERED, LONGEST = 4_000_000, 300_000, 100
+#: Texts of about so many bytes are encoded together.
+BATCH_BYTES = 500_000
 
-#: No token goes over this place: a space that a letter or digit follows begins a word of its own.
-WORD_START = re.compile(r"(?= [^\W_])")
+#: Fixed value: where byte-level tokenizers of this kind part a text before they merge bytes.
+PARTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+#: Signs beyond these, on whose class libraries may differ, and words of so many signs.
+ODD = re.compile(r"[^\t\n\r\x20-\x7E\u00A1-\u017F\u2018-\u201E\u2026\u20AC]|[^\s]{2000}")
 
 #: Numbers of pieces before each part of a table are broadcast up to so many rows.
 BROADCAST_ROWS = 500_000
@@ -46,44 +48,27 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Ids of texts by a byte-level tokenizer, which sees each different word once.
+    """Ids of texts by a byte-level tokenizer's file.
 
-    It splits a text at ``WORD_START`` first, whatever stands there, so a text has the ids of its words in a row.
+    Texts of plain signs go through a faster library with the same merges; all others through the one the file was made for.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, int] = {}
-        self.ids, self.ends = array("I"), array("q", [0])
-
-    def learn(self, words: list[str]) -> None:
-        for word, encoded in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[word] = len(self.ends) - 1
-            self.ids.extend(encoded.ids)
-            self.ends.append(len(self.ids))
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # the others are shown by signs from 256 on
+        byte_of = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in set(shown))}
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in special}
+        self.plain = tiktoken.Encoding("plain", pat_str=PARTS, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not texts:
-            return []
-        if len(self.known) > REMEMBERED or len(self.ids) > 4 * REMEMBERED:
-            self.known, self.ids, self.ends = {}, array("I"), array("q", [0])
-        words, sizes = [], []
-        for text in texts:
-            found = WORD_START.split(text)
-            words += found
-            sizes.append(len(found))
-        self.learn([w for w in set(words) if w not in self.known])
-        codes = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        pool, ends = np.array(self.ids, dtype="<u4"), np.array(self.ends)
-        for word in {w for w in words if len(w) > LONGEST}:
-            del self.known[word]
-        lengths = ends[codes + 1] - ends[codes]
-        upto = np.cumsum(lengths)
-        ids = pool[np.arange(upto[-1]) + np.repeat(ends[codes] - upto + lengths, lengths)]
-        borders = np.concatenate([[0], upto])[np.cumsum(sizes)]
-        return np.split(ids, borders[:-1])
+        odd = [t for t in texts if ODD.search(t)]
+        found = iter(self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else ())
+        odd_ids = iter([np.array(e.ids, dtype="<u4") for e in found])
+        return [next(odd_ids) if ODD.search(t) else self.plain.encode_to_numpy(t, allowed_special="all").astype("<u4") for t in texts]
 
 
 def cut(

@@ -131,13 +131,16 @@ def test_ids_can_be_carried(spark):
     assert [r["length"] for r in rows[1:]] == [100] * (len(rows) - 1) and all(len(r["ids"]) == r["length"] for r in rows)
 
 
-def test_words_in_a_row_have_the_ids_of_the_text(monkeypatch):
-    monkeypatch.setattr(packing, "REMEMBERED", 40)
+def test_ids_are_those_of_the_tokenizer():
     encoder, tokenizer = packing.Encoder(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
     random.seed(5)
-    bits = [" ", "  ", "\n", "\t ", "\u3000", "\u00a0", "\x1f", "\x85", "a", "word", "It's", "'s", "<|endoftext|>", "é", "\u4e2d\u6587", "_", "\u00b2", "12", "\u0661", "\U0001f600", "-", ".", "x" * 150, "\u0301", "\u200b", "\ufeff", "\x00"]
-    for _ in range(40):
-        texts = ["".join(random.choices(bits, k=random.randint(0, 30))) for _ in range(25)]
+    plain = [" ", "  ", "\n", "\t ", "\r\n", "a", "word", "It's", "'S", "'ll", "<|endoftext|>", "<|endof", "é", "ÿ", "_", "12", "-", ".", "x" * 150, "…", "€", "“", "ſ", "ª²", "½"]
+    odd = ["\u3000", "\u00a0", "\x1f", "\x85", "\u4e2d\u6587", "\u0661", "\U0001f600", "\u0301", "\u200b", "\ufeff", "\x00"]
+    for k in range(120):
+        bits = plain if k % 2 else plain + odd
+        texts = ["".join(random.choices(bits, k=random.randint(0, 30))) for _ in range(25)] + ["y" * 2500]
         want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
         assert [i.tolist() for i in encoder.encode(texts)] == want
     assert encoder.encode([]) == []
+    every = [chr(c) + "a " + chr(c) + chr(c) for c in range(0x250)]
+    assert [i.tolist() for i in encoder.encode(every)] == [e.ids for e in tokenizer.encode_batch(every, add_special_tokens=False)]
