@@ -1,8 +1,9 @@
 """Chat formatting of turns made of typed parts, with a loss mask, that can be read back exactly.
 
-A visitor flattens the parts of a turn in their order: text is escaped, an image, audio or document becomes a
+A visitor flattens the parts of a turn in their order: text is escaped, an image, audio, document or part of another type becomes a
 placeholder and is recorded as an attachment with the tokens it will take. Control strings begin with ``<|``, which
-escaped text never holds: a backslash is doubled, then ``<|`` becomes ``<\\|``.
+escaped text never holds, nor do two texts in a row: a backslash is doubled, then ``<|`` becomes ``<\\|``, and a text that
+begins with ``|`` behind one that ends with ``<`` gets that backslash too.
 """
 
 from __future__ import annotations
@@ -27,14 +28,27 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
+#: Types with a placeholder of their own; all others but text share one.
+KNOWN, OTHER = ("image", "audio", "document"), "other"
+PLACEHOLDERS = "|".join((*KNOWN, OTHER))
+
+
 def is_text(part: Column) -> Column:
-    """Parts of no known other type are text."""
-    return ~F.coalesce(part["type"], F.lit("text")).isin("image", "audio", "document")
+    """Parts of type ``text``, and those of no type."""
+    return F.coalesce(part["type"], F.lit("text")) == "text"
 
 
 def visit(part: Column) -> Column:
     """A part as it stands in the formatted text."""
-    return F.when(is_text(part), escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), part["type"], F.lit("|>")))
+    kind = F.when(part["type"].isin(*KNOWN), part["type"]).otherwise(OTHER)
+    return F.when(is_text(part), escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), kind, F.lit("|>")))
+
+
+def joined(visited: Column) -> Column:
+    """Visited parts in a row, without a control string that was in none of them."""
+    told = F.filter(visited, lambda v: v != "")
+    guarded = F.transform(told, lambda v, i: F.when(v.startswith("|") & F.get(told, i - 1).endswith("<"), F.concat(F.lit("\\"), v)).otherwise(v))
+    return F.array_join(guarded, "")
 
 
 def expanded(part: Column) -> Column:
@@ -43,7 +57,7 @@ def expanded(part: Column) -> Column:
     image = F.ceil(one(part["width"]) / IMAGE_PATCH) * F.ceil(one(part["height"]) / IMAGE_PATCH)
     audio = F.ceil(one(part["seconds"]) * AUDIO_PER_SECOND)
     document = one(part["pages"]) * DOCUMENT_PER_PAGE
-    tokens = F.when(part["type"] == "image", image).when(part["type"] == "audio", audio).otherwise(document)
+    tokens = F.when(part["type"] == "image", image).when(part["type"] == "audio", audio).when(part["type"] == "document", document).otherwise(1)
     return F.greatest(tokens.cast("bigint"), F.lit(1).cast("bigint"))
 
 
@@ -54,7 +68,8 @@ def format_chats(
 
     Turns stand in the order of ``turn``, then role and parts; repeated rows are turns of their own. The
     loss spans (code points of ``formatted``, end exclusive) hold the content of the turns of ``learned`` roles.
-    Attachments are listed in the order of their placeholders, each with the place of its turn. A null role, parts list, part
+    Attachments are listed in the order of their placeholders, each with the place of its turn, its type, reference, tokens and text; those of an
+    unknown type stand as ``<|other|>`` and count as one token. A null role, parts list, part
     or text counts as empty, and rows without a conversation id make one conversation. Other columns are ignored.
 
     Places of turns are running sums over the conversation; Spark sorts them on disk if need be. Only the finished text of
@@ -66,7 +81,7 @@ def format_chats(
         F.filter(F.coalesce(F.col(parts), F.when(F.lit(False), none), F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull()).alias("_parts"),
     )
     rows = rows.withColumn("_head", F.concat(F.lit(TURN), escape(F.col("_role")), F.lit(TEXT)))
-    rows = rows.withColumn("_body", F.array_join(F.transform("_parts", visit), ""))
+    rows = rows.withColumn("_body", joined(F.transform("_parts", visit)))
     rows = rows.withColumn("_files", F.filter("_parts", lambda p: ~is_text(p)))
     whole = F.length("_head") + F.length("_body") + F.lit(len(END))
     order = Window.partitionBy("conv_id").orderBy("_turn", "_role", "_body", F.to_json("_files"))
@@ -74,7 +89,8 @@ def format_chats(
     rows = rows.withColumns({"_place": F.row_number().over(order), "_past": F.sum(whole.cast("bigint")).over(sofar)})
     end = F.col("_past") - F.lit(len(END))
     files = F.transform(
-        "_files", lambda p: F.struct(F.col("_place").alias("turn"), p["type"].alias("type"), p["ref"].alias("ref"), expanded(p).alias("tokens"))
+        "_files",
+        lambda p: F.struct(F.col("_place").alias("turn"), p["type"].alias("type"), p["ref"].alias("ref"), expanded(p).alias("tokens"), p["text"].alias("text")),
     )
     piece = F.struct(
         F.col("_place").alias("place"), F.concat("_head", "_body", F.lit(END)).alias("text"), F.col("_role").isin(*learned).alias("learned"),
@@ -90,10 +106,19 @@ def format_chats(
 
 
 def read_back(formatted: Column) -> Column:
-    """Turns of a formatted chat as structs of role and text; placeholders stay as they are."""
+    """Turns of a formatted chat as structs of role, text with the placeholders, and typed parts; texts in a row are one part."""
     turns = F.filter(F.split(formatted, r"<\|turn\|>"), lambda t: t != "")
     text = lambda t: F.substring_index(F.substring_index(t, TEXT, -1), END, 1)
-    return F.transform(turns, lambda t: F.struct(unescape(F.substring_index(t, TEXT, 1)).alias("role"), unescape(text(t)).alias("text")))
+    said = lambda t: F.struct(unescape(F.substring_index(t, TEXT, 1)).alias("role"), unescape(text(t)).alias("text"), read_parts(text(t)).alias("parts"))
+    return F.transform(turns, said)
+
+
+def read_parts(body: Column) -> Column:
+    """The parts of a turn's formatted text as structs of type and text; a placeholder has no text. Escaped text can't look like one."""
+    mark = rf"<\|(?:{PLACEHOLDERS})\|>"
+    pieces = F.filter(F.split(body, rf"(?={mark})|(?<={mark})"), lambda p: p != "")
+    kind = lambda p: F.regexp_extract(p, rf"^<\|({PLACEHOLDERS})\|>$", 1)
+    return F.transform(pieces, lambda p: F.struct(F.when(kind(p) != "", kind(p)).otherwise("text").alias("type"), F.when(kind(p) == "", unescape(p)).alias("text")))
 
 
 def learned_text(formatted: Column, loss: Column) -> Column:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -40,6 +42,22 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Shared:
+    """A broadcast object. Its class travels with it, so executors need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, value: Any):
+        self._packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self) -> Any:
+        if not hasattr(self, "_value"):
+            self._value = cloudpickle.loads(self._packed.value)
+        return self._value
+
+    def __getstate__(self) -> dict:
+        return {"_packed": self._packed}
+
+
 def columns_of(df: DataFrame, names: Sequence[str], outputs: T.StructType) -> list[T.StructField]:
     """The fields of ``df`` to carry along; one that is named like an output gives way to it."""
     taken = {f.name for f in outputs}

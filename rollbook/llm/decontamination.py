@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import WORD, keep, read, text_map, words_of
+from rollbook.llm.common import WORD, Shared, keep, read, text_map, words_of
 
 WINDOW = 13
 #: A document is contaminated if hit words are at least one in so many of its words.
@@ -208,7 +208,7 @@ def decontaminate(
     blocks = item_blocks(items, item_id, item_text, block_chars)
     result = docs.withColumn("_text", docs[text])
     for k, block in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(build(block, window))
+        shared = Shared(spark, build(block, window))
         last = k == len(blocks) - 1
         inputs = ["_text", *(("runs", "item_ids", "longest") if k else ())]
         result = text_map(result, _judge(shared, one_in, last and clean), OUTPUTS, inputs, [*carry, *([] if last else ["_text"])])

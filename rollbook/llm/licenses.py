@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import WORD, read, text_map, words_of
+from rollbook.llm.common import WORD, Shared, read, text_map, words_of
 
 # Phrases found word by word, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -38,13 +38,17 @@ NOTICES = {
 }
 SIGNS_PER_EDIT = 10
 
+#: Lengths of a notice that are searched at a time, and signs of the grams that tell whether it is worth it.
+STRETCH, GRAM = 2, 3
+
 
 class Scanner:
     """Seeds of all notices in one automaton, and a pattern with bounded errors for each notice."""
 
     def __init__(self, notices: dict[str, str], signs_per_edit: int = SIGNS_PER_EDIT):
         self.notices = [(phrase, label, len(phrase) // signs_per_edit) for phrase, label in notices.items()]
-        self.patterns = [regex.compile(f"(?b)(?:{regex.escape(p)}){{e<={k}}}") for p, _, k in self.notices]
+        fuzzy = [f"(?:{regex.escape(p)}){{e<={k}}}" for p, _, k in self.notices]
+        self.patterns = [(regex.compile(f), regex.compile(f"(?b){f}")) for f in fuzzy]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for n, (phrase, _, k) in enumerate(self.notices):
             for at, piece in pieces(phrase, k + 1):
@@ -85,16 +89,33 @@ class Scanner:
                 found += [(n, *place) for place in self.places(n, text, start, stop)]
         return sorted(found, key=lambda f: (f[1], f[2], f[0]))
 
+    def near(self, n: int, stretch: str) -> bool:
+        """Whether a stretch has as many of a notice's grams as one with all its edits must have: each edit breaks ``GRAM`` at most."""
+        phrase, _, k = self.notices[n]
+        grams = {stretch[i : i + GRAM] for i in range(len(stretch) - GRAM + 1)}
+        return sum(phrase[i : i + GRAM] in grams for i in range(len(phrase) - GRAM + 1)) >= len(phrase) - GRAM + 1 - GRAM * k
+
     def places(self, n: int, text: str, start: int, stop: int) -> list[tuple[int, int, int]]:
-        """Places of a notice in a window as (start, end, edits): the best of the window, then those before and after it."""
+        """Places of a notice in a window as (start, end, edits), left to right.
+
+        A search goes over a stretch of a few notices' length at a time. Where one may begin, the best place nearby is taken; the
+        next search begins behind it. So the work grows with the window, however many places it holds.
+        """
         phrase, _, k = self.notices[n]
-        found, open_parts = [], [(start, stop)]
-        while open_parts:
-            a, b = open_parts.pop()
-            m = self.patterns[n].search(text, a, b) if b - a >= len(phrase) - k else None
+        first, best = self.patterns[n]
+        reach = len(phrase) + 2 * k
+        found = []
+        while stop - start >= len(phrase) - k:
+            end = min(stop, start + STRETCH * reach)
+            m = first.search(text, start, end) if self.near(n, text[start:end]) else None
             if m:
+                m = best.search(text, m.start(), min(stop, m.start() + reach)) or m
                 found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-                open_parts += [(a, m.start()), (m.end(), b)]
+                start = m.end()
+            elif end == stop:
+                break
+            else:
+                start = end - reach
         return found
 
 
@@ -139,7 +160,7 @@ def scan(
     empty text has no words; repeated rows are each judged alike; other columns are ignored.
     """
     exact = PHRASES if phrases is None else phrases
-    shared = docs.sparkSession.sparkContext.broadcast(Scanner(NOTICES if notices is None else notices, signs_per_edit))
+    shared = Shared(docs.sparkSession, Scanner(NOTICES if notices is None else notices, signs_per_edit))
 
     def judge(texts: list[str | None]) -> list[tuple]:
         scanner, rows = shared.value, []

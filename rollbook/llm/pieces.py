@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from rollbook.llm.common import columns_of, read, slices, text_map
+from rollbook.llm.common import Shared, columns_of, read, slices, text_map
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -255,7 +255,7 @@ def encode(docs: DataFrame, model: Transducer, text: str = "text", carry: Sequen
     """
     made = T.StructType.fromDDL("ids array<int>, n_tokens bigint, round_trip boolean")
     kept = columns_of(docs, carry, made)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     names = [f.name for f in (*kept, *made)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +277,7 @@ def encode(docs: DataFrame, model: Transducer, text: str = "text", carry: Sequen
 
 def decode(coded: DataFrame, model: Transducer, ids: str = "ids", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``text`` for every row's ids; null ids give a null text, ids outside the model are skipped."""
-    shared = coded.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(coded.sparkSession, model)
     last = len(model.bytes_of)
 
     def back(rows: list[list[int] | None]) -> list[list]:

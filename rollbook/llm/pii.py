@@ -17,13 +17,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import read, text_map
+from rollbook.llm.common import Shared, read, text_map
 
 # The kinds of base spans in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a match begins where its digits do, so long runs of them are read once
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -488,7 +488,7 @@ def detect(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_i
     unless one is given. A null or empty text has no spans; a null text stays null. Repeated rows are each judged alike; other
     columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(field or train(labelled_rows()))
+    shared = Shared(docs.sparkSession, field or train(labelled_rows()))
 
     def judge(texts: list[str | None]) -> list[list]:
         whole = [t or "" for t in texts]

@@ -82,12 +82,12 @@ def count_buckets(docs: DataFrame, text: str, target: str) -> DataFrame:
 
 
 def labelled_sample(labels: DataFrame, doc_id: str, rows: int) -> DataFrame:
-    """A bounded table of ``_id``, ``_good`` and ``_fit``; a document is good if all its labels say so and none says toxic."""
-    each = labels.select(F.col(doc_id).alias("_id"), F.col("quality").alias("q"), F.col("toxic").alias("t")).filter("_id is not null and q is not null")
-    judged = each.groupBy("_id").agg((F.min("q") == 1).alias("_right"), F.coalesce(F.max("t"), F.lit(0)).alias("_toxic"))
+    """A bounded table of ``_id``, ``_good`` and ``_fit``; a document is good if all its labels say so and none says toxic, and bad otherwise."""
+    each = labels.select(F.col(doc_id).alias("_id"), F.col("quality").alias("q"), F.col("toxic").alias("t")).filter("_id is not null and (q is not null or t = 1)")
+    right = (F.coalesce(F.min("q"), F.lit(0)) == 1) & (F.coalesce(F.max("t"), F.lit(0)) == 0)
+    judged = each.groupBy("_id").agg(right.alias("_good"))
     place = F.xxhash64("_id")
-    chosen = judged.filter("not _right or _toxic = 0").orderBy(place, "_id").limit(rows)
-    kept = chosen.select("_id", F.col("_right").alias("_good"), (F.pmod(place, F.lit(4)) != 0).alias("_fit")).collect()
+    kept = judged.orderBy(place, "_id").limit(rows).select("_id", "_good", (F.pmod(place, F.lit(4)) != 0).alias("_fit")).collect()
     return labels.sparkSession.createDataFrame(kept, f"_id {dict(judged.dtypes)['_id']}, _good boolean, _fit boolean")
 
 

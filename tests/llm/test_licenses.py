@@ -1,3 +1,5 @@
+import time
+
 import regex
 
 from rollbook.llm import licenses as L
@@ -52,3 +54,11 @@ def test_an_edited_notice_before_a_better_one():
     assert [(text[a:b].strip(), edits) for _, a, b, edits in scanner.find(text)] == [
         ("all rights reservd", 1), ("all rights reserved", 0), ("all rihts reserved", 1), ("all rights reserved", 0),
     ]
+
+
+def test_work_grows_with_the_text():
+    scanner = L.Scanner(L.NOTICES)
+    for text, n in (("all rights reservd " * 20_000, 20_000), ("permission granted software license version rights " * 4_000, 0)):
+        began = time.perf_counter()
+        found = scanner.find(" " + text)
+        assert len(found) == n and time.perf_counter() - began < 10

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -114,3 +115,16 @@ def test_shape_of_a_long_word():
     """Words that differ late have different shapes."""
     assert pii.shape("ab1" * 100 + "x") != pii.shape("ab1" * 100 + "-")
     assert pii.shape("Aaaaa99999" + "b" * 500 + "-") == "Aaaa999aaa-"
+
+
+def test_long_runs_of_digits():
+    """Read once, with the spans that the plain pattern gives."""
+    plain = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+    rng = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choice(["1", "22", ".", ".", "x", "1.2.3.4", "٣"]) for _ in range(rng.randint(0, 25)))
+        assert [m.span() for m in pii.IP.finditer(text)] == [m.span() for m in plain.finditer(text)], text
+    for text in ("7" * 1_000_000, "7." * 500_000, "+7" * 300_000, "a" * 1_000_000 + "@", "7 " * 400_000):
+        began = time.perf_counter()
+        pii.base_spans(text)
+        assert time.perf_counter() - began < 5

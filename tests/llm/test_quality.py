@@ -75,3 +75,23 @@ def test_without_labels_and_without_documents(spark, corpus):
     assert all(r["kept"] and r["importance"] == 0 for r in out)
     assert Q.resample(documents(spark, []), labels).count() == 0
     assert Q.resample(documents(spark, []), none).count() == 0
+
+
+def test_toxic_prose_is_bad_whatever_its_quality(spark):
+    rng = random.Random(3)
+    prose = "the river ran past an old mill and a field of wheat where children played until evening came".split()
+    abuse = "idiot scum vermin filth moron".split()
+    rows, marks = [], []
+    for i in range(600):
+        words = [rng.choice(prose) for _ in range(40)]
+        if i % 4 == 0:
+            words[::4] = [rng.choice(abuse) for _ in words[::4]]
+        rows.append((i, " ".join(words)))
+        if i < 400:
+            marks.append((i, 1, int(i % 4 == 0)))
+    labels = spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
+    sample = {r["_id"]: r["_good"] for r in Q.labelled_sample(labels, "doc_id", 1000).collect()}
+    assert sample == {i: t == 0 for i, _, t in marks}
+    kept = {r["doc_id"] for r in Q.resample(documents(spark, rows), labels).collect() if r["kept"]}
+    assert not {i for i in range(400, 600) if i % 4 == 0} & kept
+    assert len({i for i in range(400, 600) if i % 4} & kept) > 145
