@@ -1,28 +1,35 @@
 """Names that rows take, give up and hand on, settled event by event in time order.
 
 A create asks for a name: it goes to the row that holds the name, or a row is born. A move takes a row to
-another name, which others may then ask for. What an event meets depends on all earlier ones that touched its name or its row, so
-these are played through in order. That is needed only where names move: creates whose names no move can touch
-are settled by one aggregate per name. What is left is one small record per event, and falls apart into groups that
-share no row and no name, each played through by one task.
+another name, which others may then ask for. What an event meets depends on all earlier ones that touched its name or its row.
+
+A feed of up to ``SLICE_RECORDS`` small records is played through in order by one task. A larger one is first narrowed to what moves can touch:
+creates whose names none can touch are settled by one aggregate per name. The rest is settled by rounds of windows: every event is judged by the
+time lines of its name and its row under the guesses of the round before, until no outcome changes. All events before the first one that changed
+are settled for good, so where outcomes hang on each other too closely the few rounds allowed leave a later part, which is played through in slices of
+bounded size, each from the state that the one before it left. No group is ever gathered whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rollbook.operators.components import connected_components
 from rollbook.operators.joins import left_join
 from rollbook.operators.tables import kept
 
-# Records that one task plays through without strain; more are parted into groups first.
-GROUP_RECORDS = 2_000_000
+# Records that one task plays through at a time.
+SLICE_RECORDS = 250_000
+# Rounds before what is left is played through.
+ROUNDS = 12
 
 AT = "yyyyMMddHHmmss.SSSSSS"
+ORDER = ("_first", "_at", "event_id", "op", "_uid")
 
 
 def settle(
@@ -50,13 +57,16 @@ def settle(
     """
     names, touch = list(names), list(touch or names)
     claims, moves = (F.coalesce(c, F.lit(False)) for c in (claims, moves))
-    offs = F.lit(False) if offs is None else F.coalesce(offs, F.lit(False))
-    marked = events.withColumn("_kind", F.when(claims, "create").when(moves, "move").when(offs, "off"))
-    scope = _scope(marked, state, key, names, touch, shared)
-    outcomes = _played(scope, refuses_first, shared)
-    plain = _plain_claims(marked, state, key, names)
+    offs = F.lit(False) if offs is None or not shared else F.coalesce(offs, F.lit(False))  # only there does it matter which rows are live
+    marked = events.withColumn("_kind", F.when(claims, "create").when(moves, "move").when(offs, "off")).withColumn("_at", F.date_format("ts", AT))
+    records = kept(_records(marked, state, key, names), "names")
     at = ["event_id", "_at", "op", "_uid"]
-    found = left_join(plain.withColumn("_at", F.date_format("ts", AT)), outcomes, at)
+    if records.count() <= SLICE_RECORDS:
+        found = left_join(marked, _played(records, refuses_first, shared), at).withColumn("_claimed", F.lit(None).cast("string"))
+    else:
+        parts = [f"_n{names.index(c)}" for c in touch]
+        outcomes = _settled(_scope(records, parts), refuses_first, shared)
+        found = left_join(_plain_claims(marked, state, key, names), outcomes, at)
     return found.withColumns({
         "_holder": F.coalesce("_to", F.when(F.col("_kind") == "create", F.col("_claimed"))),
         "_outcome": F.coalesce(
@@ -67,10 +77,25 @@ def settle(
     }).drop("_at", "_to", "_what", "_claimed", "_kind")
 
 
+def _records(marked: DataFrame, state: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """Events that ask for names, and the rows they are about or whose names they ask for, as records of one shape."""
+    own = [F.col(c).cast("string").alias(f"_n{i}") for i, c in enumerate(names)]
+    asked = marked.where("_kind is not null").select(F.col("_kind").alias("kind"), "event_id", "_at", "op", "_uid", *own, F.lit(False).alias("_off")).distinct()
+    rows = state.select(
+        F.lit("row").alias("kind"), F.lit(None).cast(marked.schema["event_id"].dataType).alias("event_id"), F.lit("").alias("_at"),
+        F.lit("").alias("op"), F.col(key).alias("_uid"), *own, (F.col("status") != 1).alias("_off"),
+    )
+    parts = [f"_n{i}" for i in range(len(names))]
+    targets = marked.where("_kind <> 'create'").select("_uid").dropna().distinct().withColumn("_meant", F.lit(True))
+    wanted = marked.where("_kind is not null").select(*own).dropna().distinct().withColumn("_wanted", F.lit(True))
+    met = left_join(left_join(rows, targets, ["_uid"]), wanted, parts).where("_meant or _wanted").drop("_meant", "_wanted")
+    return met.unionByName(asked)
+
+
 def _plain_claims(marked: DataFrame, state: DataFrame, key: str, names: list[str]) -> DataFrame:
     """Add ``_claimed``: for a name that does not move, its row of the smallest uid, live ones first, or else its first claimant's.
 
-    It is worked out for all creates; those that were played through have their own answer.
+    It is worked out for all creates; those that were settled otherwise have their own answer.
     """
     named = state.dropna(subset=names)
     owners = named.groupBy(*names).agg(F.min(F.struct((F.col("status") != 1).alias("off"), F.col(key).alias("uid"))).alias("_o"))
@@ -79,51 +104,126 @@ def _plain_claims(marked: DataFrame, state: DataFrame, key: str, names: list[str
     return left_join(marked, holders, names)
 
 
-def _scope(marked: DataFrame, state: DataFrame, key: str, names: list[str], touch: list[str], shared: bool) -> DataFrame:
-    """Events and rows that moves can touch, as records of one shape."""
-    moves, creates = marked.where("_kind = 'move'"), marked.where("_kind = 'create'")
+def _scope(records: DataFrame, touch: list[str]) -> DataFrame:
+    """The records that moves can touch."""
+    moves, still = records.where("kind = 'move'"), records.where("kind in ('row', 'create')")
     targets = moves.select("_uid").dropna().distinct()
-    rows = state.withColumn("_uid", F.col(key))
-    moved_rows = left_join(rows, targets, ["_uid"], "left_semi")
-    born_then_moved = left_join(creates, targets, ["_uid"], "left_semi")
-    touched = moved_rows.select(*touch).union(moves.select(*touch)).union(born_then_moved.select(*touch)).dropna().distinct()
-    touched_rows = left_join(rows, touched, touch, "left_semi")
-    own = [F.col(c).cast("string").alias(f"_n{i}") for i, c in enumerate(names)]
-    held = moved_rows.unionByName(touched_rows).select(
-        F.lit("row").alias("kind"), F.lit(None).cast(marked.schema["event_id"].dataType).alias("event_id"), F.lit("").alias("_at"),
-        F.lit("").alias("op"), "_uid", *own, (F.col("status") != 1).alias("_off"),
+    moved = left_join(still, targets, ["_uid"], "left_semi")
+    touched = moved.select(*touch).union(moves.select(*touch)).dropna().distinct()
+    chosen = kept(moved.unionByName(left_join(still, touched, touch, "left_semi")).distinct(), "touched")
+    live = left_join(records.where("kind = 'off'"), chosen.where("kind = 'row'").select("_uid").distinct(), ["_uid"], "left_semi")
+    return kept(chosen.unionByName(moves).unionByName(live), "names")
+
+
+def _parts(records: DataFrame) -> list[str]:
+    return [c for c in records.columns if c.startswith("_n")]
+
+
+def _settled(scope: DataFrame, refuses_first: bool, shared: bool) -> DataFrame:
+    """``_to`` and ``_what`` of each event in the scope, by rounds and, for what they leave, in slices."""
+    names = _parts(scope)
+    twice = scope.where("kind = 'row'").dropna(subset=names).groupBy(*names).count().where("count > 1")
+    if scope.count() <= SLICE_RECORDS:
+        return _played(scope, refuses_first, shared)
+    if shared or not twice.isEmpty():  # rounds take a name to have one holder
+        return _in_slices(scope.where("kind = 'row'"), scope.where("kind <> 'row'"), refuses_first, shared)
+    guess = scope.withColumn("_first", F.col("kind") != "row").withColumn("_ok", F.lit(True))
+    for _ in range(ROUNDS):
+        judged = kept(_judged(guess, refuses_first), "round")
+        first = judged.where("_fits <> _ok").agg(F.min(F.struct(*ORDER))).first()[0]
+        guess = judged.select(*guess.columns[:-1], F.col("_fits").alias("_ok"))
+        if first is None:
+            return _outcomes(judged)
+    mark = F.struct(*[F.lit(first[c]).cast(judged.schema[c].dataType).alias(c) for c in ORDER])
+    done = F.struct(*ORDER) < mark
+    rows = judged.where(done & F.col("_ok")).groupBy("_uid").agg(F.max_by(F.struct(*names), F.struct(*ORDER)).alias("_name"))
+    rows = rows.select(
+        F.lit("row").alias("kind"), F.lit(None).cast(scope.schema["event_id"].dataType).alias("event_id"), F.lit("").alias("_at"), F.lit("").alias("op"),
+        "_uid", *[F.col(f"_name.{c}").alias(c) for c in names], F.lit(False).alias("_off"),
     )
-    asking = moves.unionByName(left_join(creates, touched, touch, "left_semi"))
-    if shared:  # only there does it matter which rows are live
-        asking = asking.unionByName(left_join(marked.where("_kind = 'off'"), held.select("_uid").distinct(), ["_uid"], "left_semi"))
-    asked = asking.select(F.col("_kind").alias("kind"), "event_id", F.date_format("ts", AT).alias("_at"), "op", "_uid", *own, F.lit(False).alias("_off"))
-    return kept(held.unionByName(asked).distinct(), "names")
+    later = judged.where(~done).select(*scope.columns)
+    return _outcomes(judged.where(done)).unionByName(_in_slices(rows, later, refuses_first, shared))
+
+
+def _judged(guess: DataFrame, refuses_first: bool) -> DataFrame:
+    """Every record with ``_fits``, whether it gives its row its name, ``_what`` and ``_to``, where earlier events come out as ``_ok`` says."""
+    names = _parts(guess)
+    name, past = F.struct(*names), (Window.unboundedPreceding, -1)
+    by_row = Window.partitionBy("_uid").orderBy(*ORDER).rowsBetween(*past)
+    lined = guess.withColumn("_now", F.last(F.when(F.col("_ok"), name), ignorenulls=True).over(by_row))
+    known, same = F.col("_now").isNotNull(), F.coalesce(F.col("_now") == name, F.lit(False))
+    comes = F.col("_ok") & ~F.when(F.col("kind") == "create", known).otherwise(same)
+    lined = lined.withColumns({"_known": known, "_same": same, "_step": F.when(comes, 1).otherwise(0)})
+    leaves = lined.where("_ok and _known and _step = 1").select(
+        *[F.col(f"_now.{c}").alias(c) for c in names], *[c for c in lined.columns if c not in (*names, "_step")], F.lit(-1).alias("_step")
+    )
+    line = lined.unionByName(leaves)
+    by_name = Window.partitionBy(*names).orderBy(*ORDER).rowsBetween(*past)
+    line = line.withColumns({
+        "_held": F.coalesce(F.sum("_step").over(by_name), F.lit(0)),
+        "_last": F.last(F.when(F.col("_step") == 1, F.col("_uid")), ignorenulls=True).over(by_name),
+    }).where("_step >= 0")
+    others = F.col("_held") - F.col("_same").cast("int") > 0
+    free = F.when(F.col("kind") == "create", F.col("_known") | (F.col("_held") == 0)).otherwise(F.col("_known") & ~others)
+    taken = others if refuses_first else others & F.col("_known")
+    moved = F.when(taken, "taken").when(~F.col("_known"), "absent").when(F.col("_same"), "same").otherwise("moved")
+    created = F.when(F.col("_known") | (F.col("_held") == 0), "born").otherwise("held")
+    return line.withColumns({
+        "_fits": (F.col("kind") == "row") | free,
+        "_what": F.when(F.col("kind") == "create", created).otherwise(moved),
+        "_to": F.when((F.col("kind") == "create") & ~free, F.col("_last")).otherwise(F.col("_uid")),
+    })
+
+
+def _outcomes(judged: DataFrame) -> DataFrame:
+    return judged.where("kind <> 'row'").select("event_id", "_at", "op", "_uid", "_to", "_what")
+
+
+def _in_slices(rows: DataFrame, events: DataFrame, refuses_first: bool, shared: bool) -> DataFrame:
+    """Outcomes of events played through in slices of time, each by one task that holds the slice and the rows it is about."""
+    names = _parts(rows)
+    n = max(1, math.ceil(2 * events.count() / SLICE_RECORDS))
+    slices = kept(events.repartitionByRange(n, "_at", "event_id", "op", "_uid").withColumn("_slice", F.spark_partition_id()), "slices")
+    state, out = kept(rows.select(*[c for c in events.columns]), "holders"), []
+    for i in range(n):
+        now = slices.where(F.col("_slice") == i).drop("_slice")
+        meant = left_join(state, now.select("_uid").dropna().distinct(), ["_uid"], "left_semi")
+        named = left_join(state, now.select(*names).dropna().distinct(), names, "left_semi")
+        concerned = kept(meant.unionByName(named).distinct(), "concerned")
+        played = kept(_played(concerned.unionByName(now), refuses_first, shared, with_rows=True), "played")
+        out.append(played.where("op <> ''").select("event_id", "_at", "op", "_uid", "_to", "_what"))
+        after = played.where("op = ''").select(F.lit("row").alias("kind"), "event_id", "_at", "op", "_uid", *names, "_off")
+        state = kept(left_join(state, concerned.select("_uid"), ["_uid"], "left_anti").unionByName(after), "holders")
+    return kept(_union(out), "outcomes")
 
 
-def _played(scope: DataFrame, refuses_first: bool, shared: bool) -> DataFrame:
-    """``_to`` and ``_what`` of each event in the scope, told by its id, moment, operation and row."""
-    kind = scope.schema["event_id"].dataType.simpleString()
-    names = [c for c in scope.columns if c.startswith("_n")]
-    grouped = scope.withColumn("_group", F.lit(0).cast("bigint")) if scope.count() <= GROUP_RECORDS else _groups(scope, names[:1] if shared else names)
+def _union(frames: list[DataFrame]) -> DataFrame:
+    whole = frames[0]
+    for frame in frames[1:]:
+        whole = whole.unionByName(frame)
+    return whole
 
-    def play(records: pd.DataFrame) -> pd.DataFrame:
-        return play_through(records, names, refuses_first, shared)
 
-    return grouped.groupBy("_group").applyInPandas(play, f"event_id {kind}, _at string, op string, _uid string, _to string, _what string")
+def _played(records: DataFrame, refuses_first: bool, shared: bool, with_rows: bool = False) -> DataFrame:
+    """``_to`` and ``_what`` of each event of a bounded slice, told by its id, moment, operation and row; perhaps its rows as they are after it."""
+    names = _parts(records)
+    fields = [records.schema["event_id"], *T.StructType.fromDDL("_at string, op string, _uid string, _to string, _what string")]
+    fields += [*[records.schema[c] for c in names], T.StructField("_off", T.BooleanType())] if with_rows else []
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
 
+    def play(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = [b for b in batches if len(b)]
+        if whole:
+            events, rows = play_through(pd.concat(whole), names, refuses_first, shared)
+            yield events.reindex(columns=schema.names).astype(object)
+            if with_rows:
+                yield rows.reindex(columns=schema.names).astype(object)
 
-def _groups(scope: DataFrame, names: list[str]) -> DataFrame:
-    """Number the groups of records that share a row or a name, by the components of their links."""
-    row, name = F.xxhash64(F.lit("row"), F.col("_uid")), F.xxhash64(F.lit("name"), *names)
-    named = F.coalesce(*names).isNotNull()
-    links = scope.where(named & F.col("_uid").isNotNull()).select(row.alias("a"), name.alias("b"))
-    components = connected_components(links).withColumnRenamed("node", "_node")
-    placed = scope.withColumn("_node", F.when(F.col("_uid").isNotNull(), row).otherwise(name))
-    return left_join(placed, components, ["_node"]).withColumn("_group", F.coalesce("component", "_node")).drop("_node", "component")
+    return records.coalesce(1).mapInPandas(play, schema)
 
 
-def play_through(records: pd.DataFrame, names: list[str], refuses_first: bool, shared: bool) -> pd.DataFrame:
-    """Outcomes of one group's events, in time order, against its rows."""
+def play_through(records: pd.DataFrame, names: list[str], refuses_first: bool, shared: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Outcomes of a slice's events, in time order, against its rows; and the rows as they are then."""
     name_of: dict[str, tuple] = {}
     holders: dict[tuple, set[str]] = {}
     off: dict[str, bool] = {}
@@ -175,4 +275,5 @@ def play_through(records: pd.DataFrame, names: list[str], refuses_first: bool, s
                 what = "same" if now == name else "moved"
                 put(uid, name)
         out.append((event, at, op, uid, to, what))
-    return pd.DataFrame(out, columns=["event_id", "_at", "op", "_uid", "_to", "_what"])
+    rows = [(None, "", "", uid, *name, off[uid]) for uid, name in name_of.items()]
+    return pd.DataFrame(out, columns=["event_id", "_at", "op", "_uid", "_to", "_what"]), pd.DataFrame(rows, columns=["event_id", "_at", "op", "_uid", *names, "_off"])

@@ -5,7 +5,7 @@ as they were after it, and the newest version of a key is its current row; the b
 records with unique names ``names/batch=<n>/bucket=<b>`` holds the name and key of the same rows, by bucket of the
 name. So a micro-batch reads only the buckets of its keys and names, and writes only what it changed, whatever the
 size of the table; a retried one reads the same earlier batches and overwrites its own folders.
-``rejected/batch=<n>`` holds the refused events.
+``rejected/batch=<n>`` holds the refused events and ``repeated/batch=<n>`` those that came again.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from rollbook.operators import folds
+from rollbook.streaming.arrivals import judge_arrivals
 
 FIRST_BATCH = -1  # the table as it was before the stream
 # Keys of a micro-batch up to this count are broadcast to the scan of the table.
@@ -88,6 +88,11 @@ def read_rejected(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/rejected").drop("batch")
 
 
+def read_repeated(spark: SparkSession, folder: str) -> DataFrame:
+    """Events that came again within the delay, as far as a stream was given one."""
+    return spark.read.parquet(f"{folder}/repeated").drop("batch")
+
+
 def _newest(versions: DataFrame, keys: Sequence[str]) -> DataFrame:
     fields = [c for c in versions.columns if c not in (*keys, "batch", "bucket")]
     newest = F.max_by(F.struct(*fields), F.col("batch")).alias("_row")
@@ -124,42 +129,36 @@ def _touched(spark: SparkSession, folder: str, feed: DataFrame, record: Record,
     return _in_buckets(spark.read.parquet(f"{folder}/rows").where(earlier), keys.distinct(), record.keys)
 
 
-def _first_seen(batch: DataFrame, batch_id: int, folder: str, delay: str) -> tuple[DataFrame, DataFrame]:
-    """Events not seen before, and those that come later than ``delay`` behind the newest of earlier micro-batches.
+def _placeable(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events with a moment and an id, and the others with the reason they are refused."""
+    reason = F.when(F.col("event_id").isNull(), "no_id").when(F.col("ts").isNull(), "no_ts")
+    return batch.where(reason.isNull()), batch.where(reason.isNotNull()).select("event_id", "ts", "op", reason.alias("reason"))
+
+
+def apply_batch(batch: DataFrame, batch_id: int, folder: str, record: str) -> None:
+    """Fold one micro-batch into the table.
 
-    ``seen/batch=<n>`` holds ids and moments; only those within the delay are read. Nothing else leaves: an event
-    is new, late or a repetition.
+    Events judged on arrival (``_verdict``) are folded if new, kept apart if repeated and refused otherwise. Those without a moment or an
+    id have no place in the order and are refused in any case. So what is folded, refused and repeated is what was delivered.
     """
-    spark = batch.sparkSession
-    schema = batch.select("event_id", "ts").schema
-    batch.select("event_id", "ts").write.mode("overwrite").parquet(f"{folder}/seen/batch={batch_id}")
-    seen = spark.read.schema(schema.add("batch", T.LongType())).parquet(f"{folder}/seen").where(F.col("batch") < batch_id)
-    limit = seen.agg((F.max("ts") - F.expr(f"interval {delay}")).alias("limit")).first()[0]
-    if limit is None:
-        return batch.dropDuplicates(["event_id"]), batch.limit(0)
-    before = seen.where(F.col("ts") >= F.lit(limit)).select("event_id").distinct()
-    late = F.col("ts") < F.lit(limit)
-    fresh = batch.where(~late).dropDuplicates(["event_id"])
-    return fresh.join(before, "event_id", "left_anti"), batch.where(late)
-
-
-def apply_batch(batch: DataFrame, batch_id: int, folder: str, record: str, delay: str | None = None) -> None:
-    """Fold one micro-batch into the table. With a ``delay``, repeated events are dropped and late ones refused."""
     how = RECORDS[record]
-    late = None
-    if delay:
-        batch, late = _first_seen(batch, batch_id, folder, delay)
     batch.persist()
+    refused = None
+    fresh = batch
+    if "_verdict" in batch.columns:
+        refused = batch.where("_verdict not in ('new', 'repeat')").select("event_id", "ts", "op", F.col("_verdict").alias("reason"))
+        repeated = batch.where("_verdict = 'repeat'").select("event_id", "ts", "op")
+        repeated.write.mode("overwrite").parquet(f"{folder}/repeated/batch={batch_id}")
+        fresh = batch.where("_verdict = 'new'").drop("_verdict")
+    fresh, misplaced = _placeable(fresh)
+    refused = misplaced if refused is None else refused.unionByName(misplaced)
     # as many rows as the micro-batch has keys; kept, so that the table is read once
-    touched = _touched(batch.sparkSession, folder, batch, how, batch_id)
+    touched = _touched(batch.sparkSession, folder, fresh, how, batch_id)
     state = _newest(touched, how.keys).persist()
     try:
-        result = how.fold(state, batch)
+        result = how.fold(state, fresh)
         _write_rows(result.changed, folder, how, batch_id)
-        rejected = result.rejected
-        if late is not None:
-            rejected = rejected.unionByName(late.select("event_id", "ts", "op", F.lit("late").alias("reason")))
-        rejected.write.mode("overwrite").parquet(f"{folder}/rejected/batch={batch_id}")
+        result.rejected.unionByName(refused).write.mode("overwrite").parquet(f"{folder}/rejected/batch={batch_id}")
     finally:
         state.unpersist()
         batch.unpersist()
@@ -175,15 +174,14 @@ def apply_stream(
 ) -> StreamingQuery:
     """Start folding a stream of changes.
 
-    With a ``delay``, an ``event_id`` seen again within it is dropped, and an event that comes later than that behind
-    the newest one of earlier micro-batches is refused as ``late``. Without, a repeated event reaches the fold, where it is
+    With a ``delay``, an ``event_id`` seen again within it is kept apart as repeated, and an event that comes later than that behind
+    the newest one of earlier micro-batches is refused as ``late`` (see ``arrivals``). Without, a repeated event reaches the fold, where it is
     late to its row and changes nothing; that is all score feeds need. Feeds whose names move between rows should
     set a delay, since a repeated create could otherwise claim a name its row gave up.
     """
+    judged = judge_arrivals(changes, delay) if delay else changes
     return (
-        changes.writeStream.foreachBatch(
-            lambda batch, batch_id: apply_batch(batch, batch_id, folder, record, delay)
-        )
+        judged.writeStream.foreachBatch(lambda batch, batch_id: apply_batch(batch, batch_id, folder, record))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

@@ -398,16 +398,34 @@ def test_feed_equals_request_by_request(spark, record, seed):
     assert [i for i, _ in reasons(fold)] == refused
 
 
+@pytest.mark.parametrize("rounds", [40, 2])
 @pytest.mark.parametrize("record", ["class", "student", "course"])
-def test_names_in_groups(spark, monkeypatch, record):
-    """Played through in groups, the outcomes are those of one group."""
+def test_names_by_rounds_and_slices(spark, monkeypatch, record, rounds):
+    """Settled by rounds of joins, and played through in slices where those are too few, the outcomes are those of one pass."""
     from rollbook.operators import names
 
     rows, events = random_case(record, 4)
     start, changes = state(spark, record, *rows), feed(spark, record, *events)
-    whole = tuples(FOLDS[record](start, changes).table)
-    monkeypatch.setattr(names, "GROUP_RECORDS", 0)
-    assert tuples(FOLDS[record](start, changes).table) == whole
+    whole = FOLDS[record](start, changes)
+    table, rejected = tuples(whole.table), tuples(whole.rejected)
+    monkeypatch.setattr(names, "SLICE_RECORDS", 25)
+    monkeypatch.setattr(names, "ROUNDS", rounds)
+    cut = FOLDS[record](start, changes)
+    assert tuples(cut.table) == table and tuples(cut.rejected) == rejected
+
+
+def test_a_chain_of_renames_by_rounds(spark, monkeypatch):
+    """Every row takes the name that the next one has just given up; nothing is gathered and few rounds settle it."""
+    from rollbook.operators import names
+
+    n = 60
+    rows = [(f"{i:03d}", f"N{i:03d}", 1) for i in range(n)]
+    events = [("rename", f"{i:03d}", f"N{i + 1:03d}") for i in reversed(range(n))]
+    start, changes = state(spark, "class", *rows), feed(spark, "class", *events)
+    monkeypatch.setattr(names, "SLICE_RECORDS", 10)
+    monkeypatch.setattr(names, "_in_slices", None)
+    got = {r["class_uid"]: r["class_name"] for r in FOLDS["class"](start, changes).table.collect()}
+    assert got == {f"{i:03d}": f"N{i + 1:03d}" for i in range(n)}
 
 
 @pytest.mark.parametrize("record", FOLDS)

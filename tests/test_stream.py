@@ -14,6 +14,7 @@ from rollbook.streaming.changes import (
     apply_stream,
     compact,
     read_rejected,
+    read_repeated,
     read_table,
     start_table,
 )
@@ -92,3 +93,43 @@ def test_only_buckets_of_touched_keys_and_names_are_read(spark, tmp_path):
     assert filters and all("bucket" in f and "batch" in f for f in filters)
     buckets = spark.read.parquet(f"{folder}/rows").select("bucket").distinct().count()
     assert buckets == 16 and all(len(set(re.findall(r"\b\d+\b", f.split("IN")[-1]))) <= 5 for f in filters)
+
+
+@pytest.mark.parametrize("delay", [None, "1 day"])
+def test_no_event_is_lost(spark, tmp_path, delay):
+    """What is folded, refused and repeated is what was delivered, events without a moment or an id included."""
+    start = state(spark, "class", ("1", "N1", 1), ("2", "N2", 1), ("3", "N3", 1))
+    made = feed(spark, "class", ("delete", "1", None), ("rename", "2", "N8"), ("create", None, "N9"), ("delete", "3", None), ("create", None, "N7"))
+    void = lambda c, *ids: F.when(F.col("event_id").isin(*ids), None).otherwise(F.col(c))
+    odd = made.withColumn("ts", void("ts", 2)).withColumn("event_id", void("event_id", 4, 5))
+    folder, source = str(tmp_path / "table"), str(tmp_path / "feed")
+    start_table(start, folder, odd, "class")
+    old = made.where("event_id = 1").withColumns({"ts": F.col("ts") - F.expr("interval 400 days"), "event_id": F.lit(70).cast(made.schema["event_id"].dataType)})
+    for part in (odd, odd.where("event_id = 3").unionByName(old)):
+        part.coalesce(1).write.mode("append").parquet(source)
+        changes = spark.readStream.schema(odd.schema).parquet(source)
+        apply_stream(changes, folder, str(tmp_path / "ckpt"), "class", delay=delay).awaitTermination()
+    got = {r["class_uid"]: (r["class_name"], r["status"]) for r in read_table(spark, folder, "class").collect()}
+    assert got["1"] == ("N1", 0) and got["2"] == ("N2", 1) and got["3"] == ("N3", 1) and len(got) == 4
+    assert sorted(r[0] for r in got.values()) == ["N1", "N2", "N3", "N9"]
+    refused = sorted((r["reason"], r["event_id"] or 0) for r in read_rejected(spark, folder).collect())
+    assert refused == [("late", 3 if delay is None else 70), *([("late", 70)] if delay is None else []), ("no_id", 0), ("no_id", 0), ("no_ts", 2)]
+    if delay:
+        assert [r["event_id"] for r in read_repeated(spark, folder).collect()] == [3]
+
+
+def test_random_deliveries_are_conserved(spark, tmp_path):
+    rows, events = random_case("student", seed=12)
+    changes = feed(spark, "student", *events)
+    changes = changes.withColumn("event_id", F.when(F.col("event_id") % 11 != 0, F.col("event_id"))).withColumn("ts", F.when(F.col("event_id") % 7 != 0, F.col("ts")))
+    folder, source = str(tmp_path / "table"), str(tmp_path / "feed")
+    start_table(state(spark, "student", *rows), folder, changes, "student")
+    delivered = 0
+    for part in (changes, changes.where("event_id % 2 = 0"), changes):
+        delivered += part.count()
+        part.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(changes.schema).parquet(source)
+        apply_stream(stream, folder, str(tmp_path / "ckpt"), "student", delay="10 days").awaitTermination()
+    refused = read_rejected(spark, folder).where("reason in ('no_id', 'no_ts', 'late')").count()
+    ids = {r["event_id"] for r in changes.where("event_id is not null and ts is not null").collect()}
+    assert delivered == refused + read_repeated(spark, folder).count() + len(ids)
