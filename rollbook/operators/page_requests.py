@@ -65,20 +65,20 @@ def page_requests(
     shown = [c for c in columns if c not in keys]
     strips = strips.select(*keys, "_way", "_strip", "pos", *[F.col(c).alias(f"_row_{c}") for c in shown])
 
-    last = F.col("page").cast("bigint") * F.col("size")
-    spans = fine.select("request_id", *keys, "page", "_way", (last - F.col("size") + 1).alias("_from"), last.alias("_to"))
-    totals = _totals(fine, rows, keys)
+    counted = _counted(fine, rows, keys)
     # no page reaches beyond the rows there are, so no request meets more strips than its rows fill
-    spans = left_join(spans, totals.select("request_id", "total"), ["request_id"]).withColumn("_to", F.least("_to", "total")).where("_from <= _to")
+    last = F.col("page").cast("bigint") * F.col("size")
+    spans = counted.select("request_id", *keys, "page", "_way", (last - F.col("size") + 1).alias("_from"), F.least(last, "total").alias("_to")).where("_from <= _to")
     touched = F.explode(F.sequence(F.floor(F.col("_from") / STRIP).cast("bigint"), F.floor(F.col("_to") / STRIP).cast("bigint")))
-    spans = spans.drop("total").withColumn("_strip", touched)
+    spans = spans.withColumn("_strip", touched)
     met = left_join(spans, strips, [*keys, "_way", "_strip"], "inner").where("pos between _from and _to")
     found = met.select("request_id", *keys, "page", "pos", *[F.col(f"_row_{c}").alias(c) for c in shown])
+    totals = counted.select("request_id", "total", F.ceil(F.col("total") / F.col("size")).cast("bigint").alias("total_page"))
     return Pages(found, totals, asked.where("reason is not null").select("request_id", "reason"))
 
 
-def _totals(requests: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+def _counted(requests: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The requests with the ``total`` rows of their key."""
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    found = left_join(requests, counts, keys) if keys else requests.join(F.broadcast(counts), how="cross")  # one row
-    total = F.coalesce("total", F.lit(0))
-    return found.select("request_id", total.alias("total"), F.ceil(total / F.col("size")).cast("bigint").alias("total_page"))
+    found = left_join(requests, counts, keys) if keys else requests.withColumn("total", F.lit(counts.first()[0]))
+    return found.withColumn("total", F.coalesce("total", F.lit(0)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rollbook.functions.ordering import direction, order_pairs, ordered
 from rollbook.functions.predicates import is_live, keyword_filter, where_kwargs
 from rollbook.operators.ranking import HOT_ROWS, key_rank
+from rollbook.operators.selection import select_range
 
 # ``offset + limit`` rows pass through the driver in Spark's top-k plan; beyond this many, rank instead.
 TOP_ROWS = 100_000
@@ -103,8 +104,9 @@ def order_page(
 ) -> DataFrame:
     """One page of a whole frame, sorted by ``order`` and then the key (see ``query``), at any depth.
 
-    Spark runs the first pages as a top-k that gathers ``page * size`` rows in one place; pages that end beyond
-    ``top_rows`` number the rows in a distributed way. Both give the same rows in the same order.
+    Spark runs the first pages as a top-k that gathers ``page * size`` rows in one place. For pages that end beyond
+    ``top_rows`` the slice of the order that holds the page is narrowed by counts first (``selection``), so that only the slice is sorted. Both give the
+    same rows in the same order.
     """
     check_page(page, size)
     offset, count = paginate(page, size)
@@ -113,8 +115,7 @@ def order_page(
         return ordered(df, whole).offset(offset).limit(count)
     pairs = order_pairs(whole)
     named = df.withColumns({f"_by{i}": F.expr(name) if isinstance(whole, str) else F.col(name) for i, (name, _) in enumerate(pairs)})
-    deep = pages(named, [], [(f"_by{i}", way) for i, (_, way) in enumerate(pairs)], None, size, page)
-    return deep.orderBy("pos").select(*df.columns)
+    return select_range(named, [(f"_by{i}", way) for i, (_, way) in enumerate(pairs)], offset, count, top_rows).select(*df.columns)
 
 
 def first_row(

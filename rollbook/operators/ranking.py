@@ -28,6 +28,8 @@ from rollbook.operators.tables import kept
 
 # Rows of one key that a single task sorts without strain.
 HOT_ROWS = 4_000_000
+# Rows that are worth a piece of their own, however low a caller sets the bound of a hot key.
+LEAST_PIECE = 40_000
 # Hot keys, or pieces of them, up to this count are broadcast; beyond it Spark joins them as it sees fit.
 BROADCAST_KEYS = 100_000
 # When only so many first rows of a key are wanted, Spark drops the others before the shuffle.
@@ -78,18 +80,23 @@ def _plain(df: DataFrame, keys: list[str], sort: list, name: str) -> DataFrame:
 
 def pieces_of(df: DataFrame, keys: list[str], sort: list, total: int, hot_rows: int) -> DataFrame:
     """The rows with the number of their piece; pieces of a key follow its order."""
-    n = max(1, math.ceil(2 * total / hot_rows))
+    n = n_pieces(total, hot_rows)
     dealt = df.repartitionByRange(n, *[F.col(k) for k in keys], *sort)
     return kept(dealt.withColumn("_piece", F.spark_partition_id()), "pieces")
 
 
+def n_pieces(total: int, hot_rows: int) -> int:
+    """Pieces of about half of ``hot_rows``, but not so small that there are more tasks than work."""
+    return max(1, math.ceil(2 * total / max(hot_rows, LEAST_PIECE)))
+
+
 def _in_pieces(df: DataFrame, keys: list[str], sort: list, name: str, total: int, hot_rows: int) -> DataFrame:
     rows = pieces_of(df, keys, sort, total, hot_rows)
     earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select(*keys, "_piece", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    # as many rows as pieces, and one more for each key whose border lies inside a piece
-    few = 2 * math.ceil(2 * total / hot_rows) <= BROADCAST_KEYS
+    # as many rows as pieces, and one more for each key whose border lies inside a piece, so their count is looked at
+    few = sizes.count() <= BROADCAST_KEYS
     inside = F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy(*sort))
     numbered = rows.withColumn("_pos", inside).join(F.broadcast(before) if few else before, [*keys, "_piece"])
     return numbered.withColumn(name, F.col("_pos") + F.col("_before")).drop("_piece", "_pos", "_before")

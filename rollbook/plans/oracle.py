@@ -289,10 +289,21 @@ def sql(views: str, body: str) -> str:
     return ("WITH " + ",\n".join(named) + "\n" if named else "") + body.strip()
 
 
+PAGED = """user_id % 4 AS page, event_id % 9 + 2 AS size,
+    CASE WHEN user_id % 3 = 0 THEN 'desc' WHEN user_id % 3 = 1 THEN 'asc' WHEN user_id % 7 = 2 THEN 'up' ELSE 'asc' END AS way"""
+ASKED = f"""
+, asked AS (SELECT event_id AS request_id, event_id * user_id % 1500 AS course_uid, {PAGED} FROM events)"""
+SCOPED = f"""
+, request AS (SELECT event_id AS request_id, CASE WHEN event_id % 2 = 0 THEN 'student' ELSE 'teacher' END AS identity, user_id AS user_uid,
+    CASE event_type WHEN 'click' THEN 'course' WHEN 'view' THEN 'own_score' WHEN 'error' THEN 'class' ELSE 'grades' END AS resource, {PAGED} FROM events),
+judged AS (SELECT *, resource = 'own_score' AND identity = 'student' OR resource IN ('course', 'class') AND identity = 'teacher' AS allowed FROM request)"""
+
 ORACLE: dict[str, str] = {
     # --- scans, filters ---
     "scan_student": sql("", """
 SELECT c_custkey AS student_uid, c_name AS student_name, lower(c_name) AS username FROM customer"""),
+    "choose_database": sql("", """
+SELECT 'users' AS db, c_custkey AS uid, c_name AS name FROM customer UNION ALL SELECT 'staff', s_suppkey, s_name FROM supplier"""),
     "filter_compare": sql("student", """
 SELECT * FROM student WHERE age >= 18 AND age < 24 AND class_uid <> 7 AND status = 1
   AND student_name NOT LIKE '%9%' AND regexp_matches(username, '[0-7]$')"""),
@@ -327,7 +338,41 @@ SELECT request_id, identity, user_uid, resource, allowed,
        ELSE (SELECT count(*) FROM score WHERE status = 1) END AS BIGINT) AS visible
 FROM judged LEFT JOIN taught t ON user_uid = teacher_uid LEFT JOIN scored s ON user_uid = student_uid
 """),
+    "scoped_pages": sql("course score class", SCOPED + """
+, ranked AS (
+  SELECT 'course' AS resource, teacher_uid AS owner, course_uid AS uid, course_name AS value, way,
+         row_number() OVER (PARTITION BY way, teacher_uid ORDER BY CASE way WHEN 'asc' THEN created END NULLS LAST, CASE way WHEN 'desc' THEN created END DESC, course_uid) AS pos
+  FROM course, (VALUES ('asc'), ('desc')) w(way) WHERE status = 1
+  UNION ALL SELECT 'own_score', student_uid, course_uid, CAST(CAST(score AS BIGINT) AS VARCHAR), way,
+         row_number() OVER (PARTITION BY way, student_uid ORDER BY CASE way WHEN 'asc' THEN score ELSE -score END, course_uid)
+  FROM score, (VALUES ('asc'), ('desc')) w(way) WHERE status = 1
+  UNION ALL SELECT 'class', NULL, class_uid, class_name, way,
+         row_number() OVER (PARTITION BY way ORDER BY CASE way WHEN 'asc' THEN created END NULLS LAST, CASE way WHEN 'desc' THEN created END DESC, class_uid)
+  FROM class, (VALUES ('asc'), ('desc')) w(way) WHERE status = 1)
+SELECT request_id, r.resource, pos, uid, value FROM judged j
+JOIN ranked r ON r.resource = j.resource AND r.way = j.way AND (j.resource = 'class' OR owner = user_uid) AND pos BETWEEN (page - 1) * size + 1 AND page * size
+WHERE allowed AND page >= 1"""),
+    "scoped_refused": sql("course score class", SCOPED + """
+SELECT request_id, resource, CASE WHEN NOT allowed THEN 'forbidden' WHEN way NOT IN ('asc', 'desc') THEN 'direction' ELSE 'page' END AS reason
+FROM judged WHERE NOT allowed OR way NOT IN ('asc', 'desc') OR page < 1"""),
     # --- listings, counts, groups ---
+    "requested_pages": sql("score", ASKED + """
+, ranked AS (SELECT course_uid, student_uid, score, way,
+         row_number() OVER (PARTITION BY way, course_uid ORDER BY CASE way WHEN 'asc' THEN score ELSE -score END, student_uid) AS pos
+  FROM score, (VALUES ('asc'), ('desc')) w(way) WHERE status = 1)
+SELECT request_id, course_uid, page, pos, student_uid, score FROM asked JOIN ranked USING (course_uid, way)
+WHERE page >= 1 AND pos BETWEEN (page - 1) * size + 1 AND page * size"""),
+    "requested_totals": sql("score", ASKED + """
+, n AS (SELECT course_uid, count(*) AS total FROM score WHERE status = 1 GROUP BY course_uid)
+SELECT request_id, coalesce(total, 0) AS total, CAST(ceil(coalesce(total, 0) / size) AS BIGINT) AS total_page
+FROM asked LEFT JOIN n USING (course_uid) WHERE page >= 1 AND way IN ('asc', 'desc')"""),
+    "rejected_page_requests": sql("", ASKED.lstrip().removeprefix(",").join(["WITH", ""]) + """
+SELECT request_id, CASE WHEN way NOT IN ('asc', 'desc') THEN 'direction' ELSE 'page' END AS reason FROM asked WHERE page < 1 OR way NOT IN ('asc', 'desc')"""),
+    "keyword_batch": sql("course", r"""
+, word AS (SELECT p_size AS z, p_name AS n, substr(p_name, p_size % 6 + 1, p_size % 7 + 1) AS part FROM part),
+keyword AS (SELECT DISTINCT replace(CASE WHEN z % 5 = 0 THEN translate(part, 'ae', '__') WHEN z % 11 = 0 THEN substr(n, 1, 2) || '%' || right(n, 2) ELSE part END, ' ', '') AS keyword FROM word)
+SELECT keyword, count(*) AS matches, min(course_uid) AS first_uid
+FROM keyword JOIN course ON course_name LIKE '%' || keyword || '%' WHERE status = 1 AND keyword <> '' GROUP BY keyword"""),
     "pages_course_scores": sql("score student", """
 SELECT t.course_uid, t.student_uid, t.score, (pos - 1) // 20 + 1 AS page, pos,
        coalesce(student_name, '') AS student_name
@@ -610,3 +655,6 @@ SELECT way, bucket, count(*) AS rows FROM (
 
 # The stream ends at the same table as one batch over the whole feed.
 ORACLE["change_stream"] = ORACLE["upsert_scores"]
+
+# Counts kept up to date are those of a recount.
+ORACLE["live_counts"] = f"SELECT course_uid, count(*) AS total FROM ({ORACLE['upsert_scores']}) t WHERE status = 1 GROUP BY course_uid"

@@ -5,18 +5,22 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.functions.ordering import direction
 from rollbook.functions.predicates import keyword_filter, where, where_kwargs
 from rollbook.functions.rendering import render_rows
 from rollbook.functions.tokens import expiry_strings, make_token, sign_params, token_audit
-from rollbook.operators import folds, lookup, paging, writes
-from rollbook.operators.access import scoped_read
+from rollbook.operators import counts, folds, lookup, paging, writes
+from rollbook.operators.access import Listing, scoped_read, scoped_rows
 from rollbook.operators.aggregation import group_agg as grouped
+from rollbook.operators.keyword_search import search_keywords
+from rollbook.operators.page_requests import page_requests
+from rollbook.operators.joins import left_join
 from rollbook.plans import feeds, records
 from rollbook.session import shared_folder
+from rollbook.sources.catalog import Catalog
 from rollbook.sources.change_requests import change_requests as to_feed
 from rollbook.sources.request_log import log_line, parse_log
 from rollbook.sources.requests import Param, validate_requests as validate
@@ -49,6 +53,15 @@ def scan_student(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def choose_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table name in two databases, told apart by the database's key."""
+    folder = f"{sf_dir}/{{}}.parquet"
+    catalog = Catalog(spark, {"users": {"person": folder.format("customer")}, "staff": {"person": {"format": "parquet", "path": folder.format("supplier")}}})
+    pupils = catalog.scan("person", ["'users' AS db", "c_custkey AS uid", "c_name AS name"])
+    return pupils.unionByName(catalog.scan("person", ["'staff' AS db", "s_suppkey AS uid", "s_name AS name"], db="staff"))
+
+
 @query
 def filter_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = [("age", 18, ">=", "and"), ("age", 24, "<", "and"), ("class_uid", 7, "!=", "and"),
@@ -128,6 +141,42 @@ def scoped_read_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def _page_params() -> list[Column]:
+    """Pages, sizes and directions as events may ask for them, some of them impossible."""
+    user = F.col("user_id")
+    way = F.when(user % 3 == 0, "DESC").when(user % 3 == 1, "asc").when(user % 7 == 2, "up")
+    return [(user % 4).alias("page"), (F.col("event_id") % 9 + 2).alias("size"), way.alias("direction")]
+
+
+def _scoped_rows(spark: SparkSession, sf_dir: str):
+    kind = F.col("event_type")
+    resource = F.when(kind == "click", "course").when(kind == "view", "own_score").when(kind == "error", "class").otherwise("grades")
+    requests = records.given_table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_id"), F.when(F.col("event_id") % 2 == 0, "student").otherwise("teacher").alias("identity"),
+        F.col("user_id").alias("user_uid"), resource.alias("resource"), *_page_params(),
+    )
+    listings = {
+        "course": Listing(records.courses(spark, sf_dir), ["course_uid", "course_name"], "created", "course_uid"),
+        "own_score": Listing(records.scores(spark, sf_dir), ["course_uid", "score"], "score", "course_uid"),
+        "class": Listing(records.classes(spark, sf_dir), ["class_uid", "class_name"], "created", "class_uid"),
+    }
+    return scoped_rows(requests, listings)
+
+
+@query
+def scoped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each request may see of its page, whatever the resource."""
+    pages = _scoped_rows(spark, sf_dir).pages
+    shown = {"course": ("course_uid", "course_name"), "own_score": ("course_uid", F.col("score").cast("bigint").cast("string")), "class": ("class_uid", "class_name")}
+    rows = [pages[r].rows.select("request_id", F.lit(r).alias("resource"), "pos", F.col(uid).alias("uid"), F.col(v).alias("value") if isinstance(v, str) else v.alias("value")) for r, (uid, v) in shown.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query
+def scoped_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scoped_rows(spark, sf_dir).refused
+
+
 # --- listings, counts, groups -------------------------------------------------------------------
 
 
@@ -156,6 +205,51 @@ def pages_hot_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _page_requests(spark: SparkSession, sf_dir: str):
+    requests = records.given_table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_id"), (F.col("event_id") * F.col("user_id") % 1500).alias("course_uid"), *_page_params()
+    )
+    return page_requests(requests, records.scores(spark, sf_dir), ["course_uid"], ["student_uid", "score"], "score", "student_uid")
+
+
+@query
+def requested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request an event, each for a page of one course."""
+    return _page_requests(spark, sf_dir).rows
+
+
+@query
+def requested_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page_requests(spark, sf_dir).totals
+
+
+@query
+def rejected_page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page_requests(spark, sf_dir).rejected
+
+
+@query
+def keyword_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of course names as keywords, some with wildcards, against all live courses: how many each finds, and the first."""
+    name, size = F.col("p_name"), F.col("p_size")
+    part = F.substring(name, size % 6 + 1, size % 7 + 1)
+    word = F.when(size % 5 == 0, F.translate(part, "ae", "__")).when(size % 11 == 0, F.concat(F.substring(name, 1, 2), F.lit("%"), F.substring(name, -2, 2))).otherwise(part)
+    keywords = records.given_table(spark, sf_dir, "part").select(word.alias("keyword"))
+    live = records.courses(spark, sf_dir).where(F.col("status") == 1)
+    found = search_keywords(keywords, live, "course_uid", ["course_name"])
+    return found.groupBy("keyword").agg(F.count(F.lit(1)).alias("matches"), F.min("course_uid").alias("first_uid"))
+
+
+@query
+def live_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live scores per course after the score feed, from the counts before it and the rows it reached."""
+    state = feeds.score_state(spark, sf_dir)
+    changed = _scores(spark, sf_dir).changed
+    keys = ["course_uid", "student_uid"]
+    before = left_join(state, changed.select(*keys), keys, "left_semi")
+    return counts.update_counts(paging.count_active(state, ["course_uid"]), before, changed, ["course_uid"])
+
+
 @query
 def pages_students(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.listing(

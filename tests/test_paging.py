@@ -6,6 +6,7 @@ from conftest import tuples
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rollbook.operators import ranking
 from rollbook.operators.paging import (
     first_match,
     first_row,
@@ -43,6 +44,12 @@ CASES = [
 ]
 
 
+@pytest.fixture(autouse=True)
+def small_pieces(monkeypatch):
+    """Pieces as small as asked for, so that few rows make many."""
+    monkeypatch.setattr(ranking, "LEAST_PIECE", 1)
+
+
 @pytest.mark.parametrize(("kind", "way", "tie"), CASES)
 def test_chunked_rank_equals_row_number(spark, kind, way, tie):
     """Hot keys are numbered in chunks; the numbers are those of one window, NULLs included."""
