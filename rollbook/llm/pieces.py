@@ -1,10 +1,14 @@
 """SentencePiece encoding and decoding with weighted finite-state transducers.
 
-A model file is compiled to three machines. The normaliser puts a space in front and writes spaces as ``▁``. The pieces map strings
-to ids, a character that no piece covers to its bytes. The third machine weighs neighbours: in a model of scores it is free and
-a piece weighs its negative score; in a model of merges it accepts two pieces, at no weight, only if merging their joined
-text gives back just these two, which is true of all neighbours in one segmentation only, that of the merges. An
-input is composed with them on the fly, stretch by stretch, and the path of least weight (tropical semiring) is taken.
+A model file is compiled to three machines, each a table of arcs. The normaliser reads signs of a text and writes spaces as ``▁``, one in front. The
+pieces are a trie that reads normalised signs and writes ids, those of a sign's bytes where no piece covers it. The neighbours read pieces:
+in a model of scores all go together and a piece weighs its negative score; in a model of merges the arc of two neighbours weighs nothing
+if merging their joined text gives back just these two, and infinitely much otherwise. The first is true of
+all neighbours in one segmentation only, that of the merges.
+
+An input is composed with them on the fly, stretch by stretch: a state is a place in the normalised signs, the trie's node and the last piece. Weights
+add up along a path and the least one wins (tropical semiring). Places are relaxed in order, as no arc leads back; where only one path can have a
+finite weight, furthest first, until it has reached the end.
 
 Where no piece joins two signs, no path can cross, and the text is cut there: before the spaces of each word, as no
 piece goes on with ``▁``, and between letters and other signs, but for texts with the few signs that some piece joins
@@ -32,6 +36,9 @@ REMEMBERED = 450_000
 #: Weight that a character without a piece has beyond the worst piece, in a model of scores.
 UNKNOWN_WEIGHT = 10.0
 
+#: Numbers of signs without a piece begin here, behind those of pieces, and two numbers make one.
+FIRST_SIGN, PAIR = 1 << 24, 1 << 26
+
 # Numbers of fields, piece types and model types in the public model format.
 PIECE, TRAINER, NORMALIZER = 1, 2, 3
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
@@ -115,19 +122,60 @@ class Transducer:
             raise ValueError("pieces that go on behind a space are not supported")
         across = {a if WORD_SIGN.match(a) else b for p in self.ids for a, b in zip(p, p[1:], strict=False) if a != SPACE and bool(WORD_SIGN.match(a)) != bool(WORD_SIGN.match(b))}
         self.across = re.compile(f"[{re.escape(''.join(sorted(across)))}]") if across else None
-        # every beginning of a piece, and whether it is a piece that stands for its own text
-        self.known = {p[:n]: False for p in self.ids for n in range(1, len(p) + 1)}
-        self.known |= {p: not self.merges or self.merged(p) == [p] for p in self.ids}
         self.worst = max(self.weight.values(), default=0.0) + UNKNOWN_WEIGHT
+        self.reads = self.normaliser_arcs()
+        self.trie, self.leaves = self.piece_arcs()
         self._ready = False
 
+    def normaliser_arcs(self) -> dict[tuple[str, bool], tuple[str, bool, str]]:
+        """By state and whether the sign is a space: what is written, whether the sign itself follows, and the next state."""
+        lead = SPACE if self.prefix else ""
+        if self.tidy:
+            return {
+                ("start", True): ("", False, "start"), ("start", False): (lead, True, "word"), ("word", True): ("", False, "gap"),
+                ("word", False): ("", True, "word"), ("gap", True): ("", False, "gap"), ("gap", False): (SPACE, True, "word"),
+            }
+        return {
+            ("start", True): (lead + SPACE, False, "word"), ("start", False): (lead, True, "word"),
+            ("word", True): (SPACE, False, "word"), ("word", False): ("", True, "word"),
+        }
+
+    def piece_arcs(self) -> tuple[list[dict[str, int]], list[int]]:
+        """Arcs of the trie by node and sign, and the number of the piece that ends at a node, -1 for none that stands for its own text.
+
+        Numbers from ``FIRST_SIGN`` on are single signs without a piece.
+        """
+        arcs: list[dict[str, int]] = [{}]
+        leaves = [-1]
+        self.names, self.costs = list(self.ids), [self.weight[p] for p in self.ids]
+        for number, piece in enumerate(self.names):
+            node = 0
+            for sign in piece:
+                if sign not in arcs[node]:
+                    arcs[node][sign] = len(arcs)
+                    arcs.append({})
+                    leaves.append(-1)
+                node = arcs[node][sign]
+            if not self.merges or self.merged(piece) == [piece]:
+                leaves[node] = number
+        return arcs, leaves
+
+    def name(self, number: int) -> str:
+        return self.names[number] if number < FIRST_SIGN else chr(number - FIRST_SIGN)
+
+    def stands(self, pair: int) -> bool:
+        """Whether the neighbours' arc of two pieces, numbered in one, has no weight; it is infinite otherwise."""
+        first, second = self.name(pair // PAIR), self.name(pair % PAIR)
+        return self.merged(first + second) == [first, second]
+
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("stretches", "joins")} | {"_ready": False}
+        return {k: v for k, v in self.__dict__.items() if k not in ("firsts", "stretches", "joins")} | {"_ready": False}
 
     def _wake(self) -> None:
         if not self._ready:
-            self.joins = Memory(lambda pair: self.merged(pair[0] + pair[1]) == [pair[0], pair[1]])
-            self.stretches = Memory(lambda s: array("i", self.path(s)).tobytes())
+            self.joins = Memory(self.stands)
+            self.firsts = Memory(lambda s: array("i", self.path(s, "start")).tobytes())
+            self.stretches = Memory(lambda s: array("i", self.path(s, "word")).tobytes())
             self._ready = True
 
     def normalise(self, text: str) -> str:
@@ -156,65 +204,77 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def arcs(self, text: str, at: int) -> list[str]:
-        """Pieces that stand at a place, shorter ones first; the sign alone if it is no piece."""
-        out, known = [], self.known
-        for end in range(at + 1, len(text) + 1):
-            piece = text[at:end]
-            whole = known.get(piece)
-            if whole is None:
+    def read(self, stretch: str, state: str) -> str:
+        """What the normaliser writes for a stretch."""
+        out = []
+        for sign in stretch:
+            written, copied, state = self.reads[state, sign == " "]
+            out.append(written + sign if copied else written)
+        return "".join(out)
+
+    def path(self, stretch: str, state: str) -> list[int]:
+        """Ids along the path of least weight through the composition with one stretch, read from a state of the normaliser on."""
+        self._wake()
+        return [i for piece in self.lightest(self.read(stretch, state)) for i in self.coded(piece)]
+
+    def arcs(self, signs: str, at: int) -> list[tuple[int, int]]:
+        """Where the trie can be left again from a place on, and the number of the piece read, shorter ones first; there is one for the sign alone."""
+        out, trie, leaves, node = [], self.trie, self.leaves, 0
+        for end in range(at, len(signs)):
+            node = trie[node].get(signs[end], 0)
+            if not node:
                 break
-            if whole:
-                out.append(piece)
-        if not out or len(out[0]) > 1:
-            out.insert(0, text[at])
+            if leaves[node] >= 0:
+                out.append((end + 1, leaves[node]))
+        if not out or out[0][0] > at + 1:
+            out.insert(0, (at + 1, FIRST_SIGN + ord(signs[at])))
         return out
 
-    def path(self, text: str) -> list[int]:
-        """Ids along the path of least weight through the composition with one stretch."""
+    def lightest(self, signs: str) -> list[str]:
+        """Pieces of the least path."""
         self._wake()
-        found = self.accepted(text) if self.merges else self.lightest(text)
-        return [i for piece in found for i in self.coded(piece)]
+        return self.only_finite(signs) if self.merges else self.least(signs)
+
+    def least(self, signs: str) -> list[str]:
+        """In a model of scores all paths have a weight: places are relaxed in order, each with one state."""
+        size, costs = len(signs), self.costs
+        ways = [(0.0, 0, -1)] + [(math.inf, 0, -1)] * size  # weight, place before, piece
+        for at in range(size):
+            sofar = ways[at][0]
+            for end, number in self.arcs(signs, at):
+                weight = sofar + (costs[number] if number < FIRST_SIGN else self.worst)
+                if weight < ways[end][0]:
+                    ways[end] = (weight, at, number)
+        out, at = [], size
+        while at:
+            _, at, number = ways[at]
+            out.append(self.name(number))
+        return out[::-1]
 
-    def accepted(self, text: str) -> list[str]:
-        """The path in a model of merges, whose arcs have no weight: the first that is accepted, and the only one.
+    def only_finite(self, signs: str) -> list[str]:
+        """In a model of merges every path but one meets an arc of infinite weight, so the first that reaches the end is the least.
 
-        A state is a place and the piece that ends there. Longer pieces are tried first; states without a way
-        on are not entered twice.
+        Arcs are relaxed from the furthest place on, the longest first. A state is a place and the last piece; one from which no finite path goes
+        on is not entered again.
         """
-        joins, size = self.joins, len(text)
-        arcs: list[list[str] | None] = [None] * size
-        ways, places, out, dead = [], [0], [""], set()
+        joins, size = self.joins, len(signs)
+        arcs: list[list[tuple[int, int]] | None] = [None] * size
+        places, path, ways, dead = [0], [-1], [], set()
         while places[-1] < size:
-            at = places[-1]
+            at, last = places[-1], path[-1]
             if len(ways) < len(places):
                 if arcs[at] is None:
-                    arcs[at] = self.arcs(text, at)[::-1]
+                    arcs[at] = self.arcs(signs, at)[::-1]
                 ways.append(iter(arcs[at]))
-            last = out[-1]
-            for piece in ways[-1]:
-                if (not last or joins[last, piece]) and (at + len(piece), piece) not in dead:
-                    places.append(at + len(piece))
-                    out.append(piece)
+            for end, number in ways[-1]:
+                if (last < 0 or joins[last * PAIR + number]) and (end, number) not in dead:
+                    places.append(end)
+                    path.append(number)
                     break
             else:
-                dead.add((places.pop(), out.pop()))
+                dead.add((places.pop(), path.pop()))
                 ways.pop()
-        return out[1:]
-
-    def lightest(self, text: str) -> list[str]:
-        """The path in a model of scores, where a state is a place."""
-        best: list[tuple[float, str]] = [(0.0, "")] + [(math.inf, "")] * len(text)
-        for at in range(len(text)):
-            for piece in self.arcs(text, at):
-                weight = self.weight.get(piece, self.worst)
-                if best[at][0] + weight < best[at + len(piece)][0]:
-                    best[at + len(piece)] = (best[at][0] + weight, piece)
-        out, at = [], len(text)
-        while at > 0:
-            out.append(best[at][1])
-            at -= len(best[at][1])
-        return out[::-1]
+        return [self.name(number) for number in path[1:]]
 
     def coded(self, piece: str) -> list[int]:
         """The id of a piece, or those of a character's bytes, or the unknown id."""
@@ -227,7 +287,8 @@ class Transducer:
         """Ids of a text as 32-bit numbers in a row."""
         self._wake()
         fine = self.across is None or not self.across.search(text)
-        return b"".join(map(self.stretches.__getitem__, (FINE if fine else STRETCH).findall(self.normalise(text))))
+        stretches = (FINE if fine else STRETCH).findall(text)
+        return b"".join([*map(self.firsts.__getitem__, stretches[:1]), *map(self.stretches.__getitem__, stretches[1:])])
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of ids: the machines run backwards. Bytes that are no UTF-8 become U+FFFD."""
@@ -236,8 +297,8 @@ class Transducer:
 
 
 WORD_SIGN = re.compile(r"[^\W_]")
-STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-FINE = re.compile(f"{SPACE}*[^\\W_]+|{SPACE}*(?:[^\\w{SPACE}]|_)+|{SPACE}+")
+STRETCH = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
+FINE = re.compile(f"[ {SPACE}]*[^\\W_]+|[ {SPACE}]*(?:[^\\w {SPACE}]|_)+|[ {SPACE}]+")
 
 
 def load(path: str = MODEL) -> Transducer:

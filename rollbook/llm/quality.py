@@ -105,13 +105,14 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
     return np.log((good + SMOOTH) / (raw * (good.sum() / raw.sum()) + SMOOTH))
 
 
-def score(docs: DataFrame, ratios: np.ndarray, text: str, carry: tuple[str, ...]) -> DataFrame:
+def score(docs: DataFrame, ratios: np.ndarray, text: str, carry: tuple[str, ...], temper: float = 0.0) -> DataFrame:
+    """``importance``, the log of the ratio of both models, over the number of features to the power of ``temper``; and that number."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def judge(texts: list[str | None]) -> list[list]:
         hashes = Hashes()
         found = [buckets(t or "", hashes) for t in texts]
-        return [[float(shared.value[b].sum()) / max(1, len(b)) ** 0.5 for b in found], [len(b) for b in found]]
+        return [[float(shared.value[b].sum()) / max(1, len(b)) ** temper for b in found], [len(b) for b in found]]
 
     return text_map(docs, judge, "importance double, n_features bigint", [text], carry)
 
@@ -159,10 +160,12 @@ def resample(
     k: int | None = None,
     seed: int = 1,
     labelled_rows: int = LABELLED_ROWS,
+    temper: float = 0.0,
 ) -> DataFrame:
     """``importance``, the noisy ``sample_key`` and whether a document is among the ``k`` largest (``kept``).
 
-    One row per row of ``docs`` with the ``carry`` columns. The raw model counts all documents; the target model and, if
+    One row per row of ``docs`` with the ``carry`` columns. The noise makes the ``k`` largest a sample without replacement, drawn by the
+    ratio of the models; a ``temper`` above 0 weighs long texts less, which samples by another law. The raw model counts all documents; the target model and, if
     ``k`` is not given, the number to keep come from at most ``labelled_rows`` labelled documents: as many are kept as lie
     above the importance that best parts the good from the bad ones. Equal keys (steps of one in 2**20) at
     the last place are all kept, so are repeated rows alike. A null or empty text has importance 0; without good labels all
@@ -173,7 +176,7 @@ def resample(
     ids = docs.withColumn("_id", F.col(doc_id))
     marked = ids.join(F.broadcast(sample), "_id", "left").withColumn("_target", F.coalesce(F.col("_good") & F.col("_fit"), F.lit(False)))
     ratios = log_ratios(count_buckets(marked, text, "_target"))
-    scored = score(ids, ratios, text, tuple(dict.fromkeys((*carry, "_id"))))
+    scored = score(ids, ratios, text, tuple(dict.fromkeys((*carry, "_id"))), temper)
     key = F.round((F.col("importance") + NOISE * gumbel("_id", seed)) * STEPS).cast("bigint")
     scored = keep(scored.withColumn("_key", key), "quality")
     if k is None:

@@ -81,3 +81,33 @@ def test_documents(spark, model):
     assert P.encode(documents(spark, []), model).count() == 0
     odd = spark.createDataFrame([(1, [5, 99_999, None, -1])], "doc_id bigint, ids array<int>")
     assert by_id(P.decode(odd, model))[1]["text"] == model.decode([5])
+
+
+def test_one_finite_path_only(model):
+    """Relaxing every arc of the composition in order, the least path of a model of merges is the one taken, and the only finite one."""
+    rng = random.Random(9)
+    model._wake()
+    for _ in range(400):
+        signs = "".join(rng.choice("▁aeinrsthé0x") for _ in range(rng.randint(1, 9)))
+        ways = [{-1: 1}] + [{} for _ in signs]
+        for at in range(len(signs)):
+            for end, number in model.arcs(signs, at):
+                n = sum(times for last, times in ways[at].items() if last < 0 or model.joins[last * P.PAIR + number])
+                if n:
+                    ways[end][number] = ways[end].get(number, 0) + n
+        assert sum(ways[-1].values()) == 1
+        assert "".join(model.lightest(signs)) == signs
+
+
+def test_normaliser_reads_as_its_rule(model):
+    """Stretch by stretch, the normaliser's arcs write what the plain replacement of the whole text does."""
+    rng = random.Random(10)
+    for prefix in (True, False):
+        for tidy in (True, False):
+            other = P.load()
+            other.prefix, other.tidy = prefix, tidy
+            other.reads = other.normaliser_arcs()
+            for _ in range(200):
+                text = "".join(rng.choice("ab  \t.") for _ in range(rng.randint(0, 12)))
+                found = P.STRETCH.findall(text)
+                assert "".join(other.read(s, "word" if i else "start") for i, s in enumerate(found)) == other.normalise(text), (text, prefix, tidy)

@@ -31,4 +31,27 @@ def test_stages(spark, tmp_path):
     assert out["pii"][500]["text"].endswith("mail <EMAIL>")
     assert all(out["pii"][i]["text"] == t for i, t in clean)
     assert set(out["sentencepiece"]) == set(out["pii"]) and out["sentencepiece"][0]["n_tokens"] > 100
+    assert all(r["round_trip"] for r in out["sentencepiece"].values())
     assert C.run(spark, str(tmp_path)).count() == len(out["sentencepiece"])
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Rows without an id, repeated rows, null and empty texts, extra columns that clash, and empty tables."""
+    rng = random.Random(5)
+    words = [rng.choice("bcdfgh") + rng.choice("aeiou") + rng.choice("lmnrst") for _ in range(600)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(8)]
+    rows = [(1, texts[0]), (1, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[1]), (2, texts[2]), (2, texts[3]), (9, texts[4]), (None, texts[4]), (3, None), (None, ""), (4, "")]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert C.good_text(spark, docs, str(tmp_path)).count() == len(rows)
+    left = [(r["doc_id"], r["text"] or "") for r in C.near_copies(spark, docs, str(tmp_path)).collect()]
+    assert sorted(left, key=str) == sorted([(1, texts[0]), (None, texts[1]), (2, texts[2]), (2, texts[3]), (9, texts[4]), (3, "")], key=str)
+    out = C.run(spark, str(tmp_path))
+    assert out.count() == 6 and out.columns == ["doc_id", "lang", "source", "ids", "n_tokens", "round_trip"]
+    empty = str(tmp_path / "none")
+    documents(spark, []).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "item_id string, text string").write.parquet(f"{empty}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
+    assert C.run(spark, empty).count() == 0

@@ -31,7 +31,7 @@ def test_counts_and_scores_equal_brute_force(spark, corpus):
         raw += found
         good += found if i in fit else 0
     ratios = np.log((good + 1) / (raw * good.sum() / raw.sum() + 1))
-    want = sorted(round(ratios[b].sum() / max(1, len(b)) ** 0.5, 6) for b in (Q.buckets(t or "", Q.Hashes()) for _, t in rows))
+    want = sorted(round(ratios[b].sum(), 6) for b in (Q.buckets(t or "", Q.Hashes()) for _, t in rows))
     assert np.allclose(sorted(r["importance"] for r in out), want, atol=1e-5)
 
 
@@ -95,3 +95,26 @@ def test_toxic_prose_is_bad_whatever_its_quality(spark):
     kept = {r["doc_id"] for r in Q.resample(documents(spark, rows), labels).collect() if r["kept"]}
     assert not {i for i in range(400, 600) if i % 4 == 0} & kept
     assert len({i for i in range(400, 600) if i % 4} & kept) > 145
+
+
+def test_sample_is_drawn_by_the_ratio(spark):
+    """Noise on log weights draws without replacement: the share of draws with each item equals that of drawing one by one by weight."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    weights, n = [8.0, 4.0, 2.0, 1.0, 0.5], 30_000
+    total = sum(weights)
+    want = [w / total + sum(v / total * w / (total - v) for j, v in enumerate(weights) if j != i) for i, w in enumerate(weights)]
+    ids = spark.range(n * 5)
+    key = F.log(F.get(F.array(*map(F.lit, weights)), (F.col("id") % 5).cast("int"))) + Q.gumbel("id", 1)
+    ranked = ids.withColumn("r", F.row_number().over(Window.partitionBy(F.floor(F.col("id") / 5)).orderBy(key.desc())))
+    got = {r["i"]: r["count"] / n for r in ranked.filter("r <= 2").groupBy((F.col("id") % 5).alias("i")).count().collect()}
+    assert all(abs(got[i] - w) < 0.012 for i, w in enumerate(want))
+
+
+def test_importance_is_the_log_ratio(spark, corpus):
+    rows, docs, labels = corpus
+    plain = {r["doc_id"]: r for r in Q.resample(docs, labels).collect()}
+    even = {r["doc_id"]: r for r in Q.resample(docs, labels, temper=0.5).collect()}
+    for i, r in plain.items():
+        assert abs(r["importance"] - even[i]["importance"] * max(1, r["n_features"]) ** 0.5) < 1e-6 * max(1, abs(r["importance"]))
