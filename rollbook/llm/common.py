@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from rollbook.session import shared_folder
+from rollbook.operators.tables import kept
 
 #: Letters and digits of ASCII, in lower case, and all that lies beyond ASCII make words; the rest parts them.
 _LOWER = bytes(range(256)).lower()
@@ -36,10 +35,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it: cut lineage, and nothing runs twice."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return kept(df, name)
 
 
 class Shared:
