@@ -274,7 +274,7 @@ def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
-def labelled_rows(n: int = 400, seed: int = 7) -> list[tuple[list[str], list[str]]]:
+def labelled_rows(n: int = 900, seed: int = 7) -> list[tuple[list[str], list[str]]]:
     """The small labelled table: phrases of invented words around data of each kind, and around harmless numbers."""
     rng = np.random.default_rng(seed)
     pick = lambda signs, size: "".join(rng.choice(list(signs), size))
@@ -291,10 +291,13 @@ def labelled_rows(n: int = 400, seed: int = 7) -> list[tuple[list[str], list[str
         "ip": lambda: [quad()],
         "card": lambda: one([num(16, 16)], [num(4, 4) for _ in range(4)], ["-".join(num(4, 4) for _ in range(4))]),
         "phone": lambda: one(["+1", f"({num(3, 3)})", f"{num(3, 3)}-{num(4, 4)}"], [f"+{num(11, 13)}"], [f"+{num(2, 2)}", num(3, 3), num(6, 8)]),
-        "key": lambda: ["AKIA" + pick(one(high + "234567", high), 16)],
+        "key": lambda: [one(
+            *["AKIA" + pick(one(high + "234567", high), 16) for _ in range(3)], one("AKIA", "ASIA") + pick(one(high, high + digits), 16), one("ghp_", "gho_", "ghs_") + pick(low + high + digits, 36),
+            one("sk_live_", "sk_test_", "rk_live_") + pick(low + high + digits, 24), f"{one('xoxb', 'xoxp')}-{num(10, 12)}-{pick(low + high + digits, 24)}",
+        )],
         "secret": lambda: one(
-            [f"{secret()}={pick('0123456789abcdef', 18)}"], [f"{secret()}={one('', chr(34))}{pick(one(low, low + high, low + high + digits), int(rng.integers(6, 25)))}"],
-            [f'"{pick("0123456789abcdef", 40)}"'], [f'"{pick(one(low, high, low + high), int(rng.integers(6, 41)))}"'],
+            [f"{secret()}={pick('0123456789abcdef', 18)}"], *[[f"{secret()}={one('', chr(34))}{pick(one(low, low + high, low + high + digits), int(rng.integers(6, 25)))}"] for _ in range(3)],
+            [f'"{pick("0123456789abcdef", 40)}"'], [f'"{pick(one(low, high, low + high), int(rng.integers(6, 41)))}"'], *[[pick(one(low, low + digits, low + high + digits), int(rng.integers(7, 25)))] for _ in range(3)],
         ),
         "iban": lambda: [one("DE", "FR", "ES", "GB") + num(2, 2) + num(16, 20)],
         "ssn": lambda: [f"{num(3, 3)}-{num(2, 2)}-{num(4, 4)}"],
@@ -320,7 +323,9 @@ def labelled_rows(n: int = 400, seed: int = 7) -> list[tuple[list[str], list[str
                 kind = CRF_KINDS[(r + len(words)) % len(CRF_KINDS)]
             got = makers[kind]() if kind else one(*harmless)()
             if kind == "secret" and "=" not in got[0]:
-                words += one([secret(), "="], [secret() + ":"], [one("token", "password"), "="])
+                words += one([secret(), "="], [secret() + ":"], [one("token", "password"), "="], [secret() + ":"], [one("password", "secret") + ":"], ["Bearer"])
+                if words[-1] == "Bearer":
+                    got = [f"eyJ{pick(low + high + digits, int(rng.integers(12, 40)))}.{pick(low + high + digits, 20)}"]
                 labels += ["O"] * (len(words) - len(labels))
             if rng.random() < 0.2:
                 got[-1] += one(",", ".")
@@ -477,12 +482,19 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
+def checked(text: str, spans: list[Span]) -> list[Span]:
+    """The spans but for numbers that can't be what their kind says."""
+    return [s for s in spans if s[0] != "card" or luhn("".join(c for c in text[s[1] : s[2]] if c in "0123456789"))]
+
+
 OUTPUTS = "base array<struct<kind:string,start:int,end:int>>, spans array<struct<kind:string,start:int,end:int>>, masked string"
 
 
 def detect(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), field: Field | None = None, mask: bool = True) -> DataFrame:
     """Spans of personal data and secrets in every whole text, and the text with them masked.
 
+    A number that the field takes for a card but whose check digit is wrong is no card.
+
     One row per row of ``docs``: the ``carry`` columns, ``base`` and ``spans`` (code points, end exclusive,
     by start) and ``masked`` (null with ``mask=False``). The field is trained on the driver from the small table of ``labelled_rows``
     unless one is given. A null or empty text has no spans; a null text stays null. Repeated rows are each judged alike; other
@@ -493,7 +505,7 @@ def detect(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_i
     def judge(texts: list[str | None]) -> list[list]:
         whole = [t or "" for t in texts]
         base = [base_spans(t) for t in whole]
-        spans = [all_spans(b, m) for b, m in zip(base, field_spans(shared.value, whole), strict=True)]
+        spans = [all_spans(b, checked(t, m)) for t, b, m in zip(whole, base, field_spans(shared.value, whole), strict=True)]
         rows = lambda found: [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in found]
         return [rows(base), rows(spans), [masked(t, s) if mask and t is not None else None for t, s in zip(texts, spans, strict=True)]]
 

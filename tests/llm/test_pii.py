@@ -128,3 +128,21 @@ def test_long_runs_of_digits():
         began = time.perf_counter()
         pii.base_spans(text)
         assert time.perf_counter() - began < 5
+
+
+def test_unseen_formats_and_harmless_numbers(field):
+    """Recall on secrets in formats told by their name or start, precision on harmless words and numbers."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    pick = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    lines = [
+        "password: correcthorse", "please use token=abcdefghij today", "the key ghp_" + pick(letters, 36) + " leaked", "header Authorization Bearer eyJ" + pick(letters, 30) + "." + pick(letters, 20),
+        'api_key = "' + pick("0123456789abcdef", 40) + '"', "secret: " + pick(letters, 12), "sk_live_" + pick(letters, 24),
+    ]
+    caught = sum(bool(pii.checked(t, spans)) for t, spans in zip(lines, pii.field_spans(field, lines)))
+    assert caught >= 5, [t for t, s in zip(lines, pii.field_spans(field, lines)) if not s]
+    words = "the river ran past an old mill and a field of wheat where children played until late evening".split()
+    calm = [" ".join(rng.choice(words) for _ in range(12)) + rng.choice([" order ", " no ", " ref ", " "]) + str(rng.randint(10**15, 10**16 - 1)) + " " + rng.choice(words) for _ in range(200)]
+    calm = [t for t in calm if not pii.base_spans(t)] + ["the password is old", "version 1.2.3 of 2024-01-05", "token ring", "key: note", "see page=12 and id=44"]
+    wrong = [t for t, spans in zip(calm, pii.field_spans(field, calm)) if pii.checked(t, spans)]
+    assert len(wrong) <= 0.03 * len(calm), wrong[:5]
