@@ -105,12 +105,12 @@ def format_chats(
     )
 
 
-def read_back(formatted: Column) -> Column:
-    """Turns of a formatted chat as structs of role, text with the placeholders, and typed parts; texts in a row are one part."""
+def read_back(formatted: Column, typed: bool = True) -> Column:
+    """Turns of a formatted chat as structs of role, text with the placeholders and, if ``typed``, the parts; texts in a row are one part."""
     turns = F.filter(F.split(formatted, r"<\|turn\|>"), lambda t: t != "")
     text = lambda t: F.substring_index(F.substring_index(t, TEXT, -1), END, 1)
-    said = lambda t: F.struct(unescape(F.substring_index(t, TEXT, 1)).alias("role"), unescape(text(t)).alias("text"), read_parts(text(t)).alias("parts"))
-    return F.transform(turns, said)
+    parts = lambda t: [read_parts(text(t)).alias("parts")] if typed else []
+    return F.transform(turns, lambda t: F.struct(unescape(F.substring_index(t, TEXT, 1)).alias("role"), unescape(text(t)).alias("text"), *parts(t)))
 
 
 def read_parts(body: Column) -> Column:
@@ -142,7 +142,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         null("int").alias("height"), null("double").alias("seconds"), null("int").alias("pages"),
     )
     chats = format_chats(rows.unionByName(probe).withColumn("parts", F.array(part)))
-    turns = read_back(F.col("formatted"))
+    turns = read_back(F.col("formatted"), typed=False)
     said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = learned_text(F.col("formatted"), F.col("loss"))
     return chats.select(
