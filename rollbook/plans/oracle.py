@@ -297,6 +297,14 @@ SCOPED = f"""
 , request AS (SELECT event_id AS request_id, CASE WHEN event_id % 2 = 0 THEN 'student' ELSE 'teacher' END AS identity, user_id AS user_uid,
     CASE event_type WHEN 'click' THEN 'course' WHEN 'view' THEN 'own_score' WHEN 'error' THEN 'class' ELSE 'grades' END AS resource, {PAGED} FROM events),
 judged AS (SELECT *, resource = 'own_score' AND identity = 'student' OR resource IN ('course', 'class') AND identity = 'teacher' AS allowed FROM request)"""
+MATCHED = """
+, asked AS (SELECT event_id, user_id, event_type FROM events WHERE NOT (event_type = 'error' AND user_id % 10 = 0)),
+matched AS (
+  SELECT event_type, user_id, event_id, student_uid FROM asked JOIN student ON
+    CASE event_type WHEN 'signup' THEN username LIKE '%' || CAST(user_id % 20 AS VARCHAR) || '%' ELSE class_uid = user_id % 26 END
+    AND (event_type <> 'click' OR age IN (16 + event_id % 10, 16 + user_id % 7))
+    AND (event_type NOT IN ('click', 'view') OR status = 1)
+    AND (event_type <> 'view' OR student_name LIKE '%' || CAST(user_id % 20 AS VARCHAR) || '%' OR username LIKE '%' || CAST(user_id % 20 AS VARCHAR) || '%'))"""
 
 ORACLE: dict[str, str] = {
     # --- scans, filters ---
@@ -373,6 +381,15 @@ SELECT request_id, CASE WHEN way NOT IN ('asc', 'desc') THEN 'direction' ELSE 'p
 keyword AS (SELECT DISTINCT replace(CASE WHEN z % 5 = 0 THEN translate(part, 'ae', '__') WHEN z % 11 = 0 THEN substr(n, 1, 2) || '%' || right(n, 2) ELSE part END, ' ', '') AS keyword FROM word)
 SELECT keyword, count(*) AS matches, min(course_uid) AS first_uid
 FROM keyword JOIN course ON course_name LIKE '%' || keyword || '%' WHERE status = 1 AND keyword <> '' GROUP BY keyword"""),
+    "filters_counted": sql("student", f"""
+{MATCHED}
+SELECT event_id AS filter_id, count(student_uid) AS matches
+FROM asked LEFT JOIN matched USING (event_type, user_id, event_id) GROUP BY event_id"""),
+    "filters_matched": sql("student", f"""
+{MATCHED}
+SELECT student_uid, count(*) AS filters, min(event_id) AS first_filter, max(event_id) AS last_filter FROM matched GROUP BY student_uid"""),
+    "filters_refused": """
+SELECT event_id AS filter_id, 'unknown_column' AS reason FROM events WHERE event_type = 'error' AND user_id % 10 = 0""",
     "pages_course_scores": sql("score student", """
 SELECT t.course_uid, t.student_uid, t.score, (pos - 1) // 20 + 1 AS page, pos,
        coalesce(student_name, '') AS student_name

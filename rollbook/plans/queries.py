@@ -18,6 +18,7 @@ from rollbook.operators.aggregation import group_agg as grouped
 from rollbook.operators.keyword_search import search_keywords
 from rollbook.operators.page_requests import page_requests
 from rollbook.operators.joins import left_join
+from rollbook.operators.request_filters import match_filters
 from rollbook.plans import feeds, records
 from rollbook.session import shared_folder
 from rollbook.sources.catalog import Catalog
@@ -240,6 +241,43 @@ def keyword_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("keyword").agg(F.count(F.lit(1)).alias("matches"), F.min("course_uid").alias("first_uid"))
 
 
+def _filter_requests(spark: SparkSession, sf_dir: str):
+    """One filter an event over the students: by class, ages, status, part of a name; some ask for a column there is not."""
+    kind, user, event = F.col("event_type"), F.col("user_id"), F.col("event_id")
+    one = lambda value: F.array(value.cast("string"))
+    ages = F.array((16 + event % 10).cast("string"), (16 + user % 7).cast("string"))
+    entries = F.array(
+        F.struct(F.lit("class_uid"), F.when(kind != "signup", one(user % 26))),
+        F.struct(F.lit("age_list"), F.when(kind == "click", ages)),
+        F.struct(F.lit("status"), F.when(kind.isin("click", "view"), one(F.lit(1)))),
+        F.struct(F.lit("grade"), F.when((kind == "error") & (user % 10 == 0), one(user))),
+    )
+    unknown = F.map_filter(F.map_from_entries(entries), lambda k, v: v.isNotNull())
+    filters = records.given_table(spark, sf_dir, "events").select(
+        event.alias("filter_id"), unknown.alias("terms"), F.when(kind.isin("view", "signup"), (user % 20).cast("string")).alias("keyword"),
+        F.when(kind == "view", F.array(F.lit("student_name"), F.lit("username"))).when(kind == "signup", F.array(F.lit("username"))).alias("match_range"),
+    )
+    return match_filters(filters, records.students(spark, sf_dir), "student_uid", ["class_uid", "age", "status", "student_name", "username"])
+
+
+@query
+def filters_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many students each request's own filter chooses."""
+    return _filter_requests(spark, sf_dir).counts
+
+
+@query
+def filters_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many filters choose each student, and the first and last of them."""
+    found = _filter_requests(spark, sf_dir).rows
+    return found.groupBy("student_uid").agg(F.count(F.lit(1)).alias("filters"), F.min("filter_id").alias("first_filter"), F.max("filter_id").alias("last_filter"))
+
+
+@query
+def filters_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filter_requests(spark, sf_dir).rejected
+
+
 @query
 def live_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live scores per course after the score feed, from the counts before it and the rows it reached."""
