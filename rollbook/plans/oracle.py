@@ -674,4 +674,20 @@ SELECT way, bucket, count(*) AS rows FROM (
 ORACLE["change_stream"] = ORACLE["upsert_scores"]
 
 # Counts kept up to date are those of a recount.
+ORACLE["log_stream"] = f"""
+WITH log AS (SELECT * FROM ({ORACLE['request_log']}) t),
+told AS (
+  SELECT log.line, coalesce(http_code = -100, FALSE) AS error, CASE WHEN event_id % 997 <> 0 THEN ts END AS ts,
+    least(3, CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 1 WHEN ts < TIMESTAMP '2024-01-21' THEN 2 ELSE 3 END
+             + CASE WHEN event_id % 25 = 0 THEN 1 ELSE 0 END) AS part
+  FROM log JOIN events USING (event_id)),
+mark AS (SELECT max(ts) FILTER (WHERE part = 1) - INTERVAL 36 HOUR AS one, max(ts) FILTER (WHERE part < 3) - INTERVAL 36 HOUR AS two,
+                max(ts) - INTERVAL 36 HOUR AS three FROM told),
+judged AS (
+  SELECT line, error, ts, CASE WHEN ts IS NULL THEN 'no_ts'
+      WHEN date_trunc('day', ts) + INTERVAL 1 DAY <= CASE part WHEN 2 THEN one WHEN 3 THEN two END THEN 'late'
+      WHEN date_trunc('day', ts) + INTERVAL 1 DAY <= three THEN 'closed' END AS verdict
+  FROM told, mark)
+SELECT verdict, strftime(ts, '%Y%m%d') AS bucket, count(*) AS lines, count(*) FILTER (WHERE error) AS errors, CAST(sum(length(line)) AS BIGINT) AS signs
+FROM judged WHERE verdict IS NOT NULL GROUP BY 1, 2"""
 ORACLE["live_counts"] = f"SELECT course_uid, count(*) AS total FROM ({ORACLE['upsert_scores']}) t WHERE status = 1 GROUP BY course_uid"

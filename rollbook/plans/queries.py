@@ -27,6 +27,7 @@ from rollbook.sources.request_log import log_line, parse_log
 from rollbook.sources.requests import Param, validate_requests as validate
 from rollbook.sources.sinks import BUCKET_FORMATS, append_rows as append, bucket, write_append
 from rollbook.streaming.changes import apply_stream, read_table, start_table
+from rollbook.streaming.log_buckets import read_log_buckets, write_log_buckets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -752,8 +753,8 @@ def expiry_strings_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query
-def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _event_line() -> Column:
+    """An event as a line of the request log; some lines are cut short."""
     code = F.when(F.col("event_type") == "error", -100).otherwise(200)
     line = log_line(
         F.lit(7305),
@@ -766,12 +767,35 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("success"),
         F.concat(F.lit("uid="), F.col("user_id").cast("string")),
     )
-    line = F.when(F.col("event_id") % 11 == 0, F.substring(line, 1, 20)).otherwise(line)
+    return F.when(F.col("event_id") % 11 == 0, F.substring(line, 1, 20)).otherwise(line)
+
+
+@query
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = records.given_table(spark, sf_dir, "events")
-    parsed = parse_log(events.select("event_id", line.alias("line")))
+    parsed = parse_log(events.select("event_id", _event_line().alias("line")))
     return parsed.withColumn("ms", F.col("ms").cast("double"))
 
 
+@query
+def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log delivered in three parts, some lines a part too late and some without a moment, in daily buckets that closed."""
+    folder = f"{shared_folder(spark)}/rollbook-log-{uuid.uuid4().hex}"
+    part = F.when(F.col("ts") < F.lit("2024-01-11").cast("timestamp_ntz"), 1).when(F.col("ts") < F.lit("2024-01-21").cast("timestamp_ntz"), 2).otherwise(3)
+    part = F.least(part + F.when(F.col("event_id") % 25 == 0, 1).otherwise(0), F.lit(3))
+    moment = F.when(F.col("event_id") % 997 != 0, F.col("ts"))
+    log = records.given_table(spark, sf_dir, "events").select(part.alias("part"), moment.alias("ts"), _event_line().alias("line"))
+    for i in (1, 2, 3):
+        delivery = log.where(F.col("part") == i).drop("part")
+        delivery.write.mode("append").parquet(f"{folder}/log")
+        lines = spark.readStream.schema(delivery.schema).parquet(f"{folder}/log")
+        write_log_buckets(lines, "ts", "day", f"{folder}/buckets", f"{folder}/checkpoint", "36 hours").awaitTermination()
+    found = parse_log(read_log_buckets(spark, f"{folder}/buckets", delivery.schema))
+    return found.groupBy("verdict", "bucket").agg(
+        F.count(F.lit(1)).alias("lines"), F.count(F.when(F.col("http_code") == -100, 1)).alias("errors"), F.sum(F.length("line")).alias("signs")
+    )
+
+
 @query
 def time_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ways = F.explode(

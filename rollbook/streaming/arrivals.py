@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -61,15 +61,22 @@ class Arrivals(StatefulProcessor):
         pass
 
 
+def use_keyed_state(spark: SparkSession) -> None:
+    if spark.conf.get(STORE, None) != ROCKS:
+        spark.conf.set(STORE, ROCKS)  # the only store that has this kind of state
+
+
+def delay_in_ms(spark: SparkSession, delay: str) -> int:
+    return spark.sql(f"select cast(unix_millis(timestamp'1970-01-01 00:00:00Z' + interval {delay}) as bigint)").first()[0]
+
+
 def judge_arrivals(changes: DataFrame, delay: str) -> DataFrame:
     """The events of a stream with ``_verdict``: ``new``, ``repeat``, ``late``, ``no_ts`` or ``no_id``. No event is left out.
 
     ``delay`` is an interval such as ``10 days``. The first event of an id is new, whatever order a micro-batch brings them in.
     """
-    spark = changes.sparkSession
-    if spark.conf.get(STORE, None) != ROCKS:
-        spark.conf.set(STORE, ROCKS)  # the only store that has this kind of state
-    delay_ms = spark.sql(f"select cast(unix_millis(timestamp'1970-01-01 00:00:00Z' + interval {delay}) as bigint)").first()[0]
+    use_keyed_state(changes.sparkSession)
+    delay_ms = delay_in_ms(changes.sparkSession, delay)
     names = changes.columns
     moment = F.col("ts").cast("timestamp")
     # the watermark follows all moments, and late events still go on: the column that carries it ends here
