@@ -54,9 +54,23 @@ def codes_of(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return signs.astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
 
 
+def packed(codes: np.ndarray, width: int) -> list[bytes]:
+    """The codes of each vector one after another, in so many bytes each."""
+    parts = np.ascontiguousarray(codes, dtype="<i8").view(np.uint8).reshape(*codes.shape, 8)[:, :, :width]
+    return [row.tobytes() for row in parts]
+
+
+def unpacked(codes: list[bytes], width: int) -> np.ndarray:
+    """Packed codes as numbers, a row for each vector."""
+    parts = np.frombuffer(b"".join(codes), dtype=np.uint8).reshape(len(codes), -1, width)
+    whole = np.zeros((*parts.shape[:2], 8), dtype=np.uint8)
+    whole[:, :, :width] = parts
+    return whole.view("<i8")[:, :, 0]
+
+
 def coded(classes: DataFrame, vector: str, bits: int, tables: int, single: bool) -> DataFrame:
-    """``id``, ``n``, ``dim``, the vector's bytes and its codes."""
-    kind = np.float32 if single else np.float64
+    """``id``, ``n``, ``dim``, the vector's bytes and its packed codes."""
+    kind, width = np.float32 if single else np.float64, width_of(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,19 +84,25 @@ def coded(classes: DataFrame, vector: str, bits: int, tables: int, single: bool)
                 codes = codes_of(vectors.astype(np.float64), bits, tables)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(np.full(len(rows), dim, np.int32)),
-                    pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(list(codes), pa.list_(pa.int64())),
+                    pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(packed(codes, width), pa.binary()),
                 ], names=["id", "n", "dim", "vector", "codes"])
 
-    return classes.select("id", "n", vector).mapInArrow(run, "id bigint, n bigint, dim int, vector binary, codes array<bigint>")
+    return classes.select("id", "n", vector).mapInArrow(run, "id bigint, n bigint, dim int, vector binary, codes binary")
+
+
+def width_of(bits: int) -> int:
+    """Bytes of a code."""
+    return -(-bits // 8)
 
 
-def compare(single: bool, cosine: float):
+def compare(single: bool, cosine: float, width: int):
     """Links of a group of buckets: (id, null, weight of its partners) and (id, smaller id, null), the latter as trees."""
     kind = np.float32 if single else np.float64
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ids, weights, chunk = (rows[c].to_numpy() for c in ("id", "n", "chunk"))
-        codes = np.stack(rows["codes"].to_numpy())
+        earlier_codes = rows["earlier"].to_numpy()
+        rows["code"] = unpacked(rows["code"].tolist(), width)[:, 0]
         keys = rows[["dim", "t", "code", "i", "j"]].to_numpy()
         order = np.lexsort(keys.T)
         starts = np.flatnonzero(np.concatenate([[True], (keys[order][1:] != keys[order][:-1]).any(axis=1)]))
@@ -93,6 +113,7 @@ def compare(single: bool, cosine: float):
             if len(at) < 2:
                 continue
             _, t, _, i, j = keys[at[0]]
+            codes = None
             vectors = np.stack([np.frombuffer(v, dtype=kind) for v in rows["vector"].to_numpy()[at]]).astype(np.float64)
             norms = np.sqrt((vectors * vectors).sum(axis=1))
             left = np.arange(len(at)) if i == j else np.flatnonzero(chunk[at] == i)
@@ -105,9 +126,10 @@ def compare(single: bool, cosine: float):
                 if i == j:
                     x, y = x[x < y], y[x < y]
                 if t and len(x):
+                    codes = unpacked(earlier_codes[at].tolist(), width) if codes is None else codes
                     new = np.ones(len(x), dtype=bool)
                     for earlier in range(t):
-                        new &= codes[at[x], earlier] != codes[at[y], earlier]
+                        new &= codes[x, earlier] != codes[y, earlier]
                     x, y = x[new], y[new]
                 np.add.at(linked, at[x], weights[at[y]])
                 np.add.at(linked, at[y], weights[at[x]])
@@ -127,8 +149,12 @@ def link_classes(classes: DataFrame, vector: str, single: bool, cosine: float =
     """Rows of ``compare`` for all classes (``id``, ``n``, vector)."""
     n = classes.count()
     bits, tables = plan_tables(n, cosine, recall)
+    width = width_of(bits)
     base = keep(coded(classes, vector, bits, tables, single), "codes")
-    rows = base.select("id", "n", "dim", "vector", "codes", F.posexplode("codes").alias("t", "code"))
+    rows = base.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))))
+    # a copy of a vector carries the codes of earlier tables only: they tell whether a pair met there
+    rows = rows.withColumns({"code": F.substr("codes", F.col("t") * width + 1, F.lit(width)), "earlier": F.substr("codes", F.lit(1), F.col("t") * width)})
+    rows = rows.drop("codes")
     sizes = rows.groupBy("dim", "t", "code").agg(F.count("*").alias("size")).filter(F.col("size") > CHUNK)
     large = keep(sizes.select("dim", "t", "code", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "buckets")
     if large.count() <= BROADCAST_BUCKETS:
@@ -141,8 +167,8 @@ def link_classes(classes: DataFrame, vector: str, single: bool, cosine: float =
     rows = rows.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
     cells = max(1, math.ceil(n * tables / CELL_ROWS))
     rows = rows.withColumn("cell", F.pmod(F.xxhash64("dim", "t", "code", "i", "j"), F.lit(cells)).cast("int"))
-    columns = ["cell", "dim", "t", "code", "i", "j", "chunk", "id", "n", "vector", "codes"]
-    return rows.select(*columns).groupBy("cell").applyInPandas(compare(single, cosine), "a bigint, b bigint, w bigint")
+    columns = ["cell", "dim", "t", "code", "i", "j", "chunk", "id", "n", "vector", "earlier"]
+    return rows.select(*columns).groupBy("cell").applyInPandas(compare(single, cosine, width), "a bigint, b bigint, w bigint")
 
 
 def near_vectors(

@@ -63,3 +63,14 @@ def test_recall_at_the_limit():
     b = 0.95 * a + np.sqrt(1 - 0.95**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
     met = (E.codes_of(a, bits, tables) == E.codes_of(b, bits, tables)).any(axis=1)
     assert met.mean() > 0.995
+
+
+def test_packed_codes_keep_their_bits():
+    draw = np.random.default_rng(3)
+    for bits in (1, 8, 9, 23, 40):
+        codes = draw.integers(0, 1 << bits, (50, 7))
+        width = E.width_of(bits)
+        whole = E.packed(codes, width)
+        assert {len(w) for w in whole} == {7 * width} and (E.unpacked(whole, width) == codes).all()
+        # the codes of earlier tables are a beginning of the whole
+        assert (E.unpacked([w[: 3 * width] for w in whole], width) == codes[:, :3]).all()
