@@ -53,6 +53,10 @@ class Shared:
     def __getstate__(self) -> dict:
         return {"_packed": self._packed}
 
+    def destroy(self) -> None:
+        """Free it everywhere, the driver included. Call it once all that reads it is written."""
+        self._packed.destroy()
+
 
 def columns_of(df: DataFrame, names: Sequence[str], outputs: T.StructType) -> list[T.StructField]:
     """The fields of ``df`` to carry along; one that is named like an output gives way to it."""

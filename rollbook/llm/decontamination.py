@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -168,13 +169,15 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, block_chars: int) -> list[list[tuple]]:
-    """Items in blocks of about ``block_chars``, told apart by a hash of the id; each is fetched by itself."""
+def item_blocks(items: DataFrame, item_id: str, text: str, block_chars: int) -> tuple[int, Iterator[list[tuple]]]:
+    """How many blocks of about ``block_chars`` the items make, told apart by a hash of the id, and the blocks; each is fetched when it is asked for."""
     whole = items.select(F.col(item_id).alias("item"), F.col(text).alias("text")).filter("text is not null").distinct()
     chars = whole.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(chars / block_chars))
     place = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [[tuple(r) for r in whole.filter(place == k).orderBy("item", "text").collect()] for k in range(n)]
+    if n > 1:  # each block is read by itself
+        whole = keep(whole, "items")
+    return n, ([tuple(r) for r in whole.filter(place == k).orderBy("item", "text").collect()] for k in range(n))
 
 
 OUTPUTS = (
@@ -205,15 +208,16 @@ def decontaminate(
     without items nothing is hit. Other columns are ignored.
     """
     spark = docs.sparkSession
-    blocks = item_blocks(items, item_id, item_text, block_chars)
+    n_blocks, blocks = item_blocks(items, item_id, item_text, block_chars)
     result = docs.withColumn("_text", docs[text])
     for k, block in enumerate(blocks):
         shared = Shared(spark, build(block, window))
-        last = k == len(blocks) - 1
+        last = k == n_blocks - 1
         inputs = ["_text", *(("runs", "item_ids", "longest") if k else ())]
         result = text_map(result, _judge(shared, one_in, last and clean), OUTPUTS, inputs, [*carry, *([] if last else ["_text"])])
         if not last:
             result = keep(result, "decontamination")
+            shared.destroy()  # what its automaton found is written
     return result
 
 

@@ -68,6 +68,15 @@ def test_documents_and_blocks(spark):
     assert same(whole) == same(cut)
 
 
+def test_items_are_fetched_block_by_block(spark):
+    rng = random.Random(6)
+    items = [(i % 9, random_text(rng, 10)) for i in range(40)] + [(3, None), (None, "aa bb")]
+    n, blocks = D.item_blocks(spark.createDataFrame([(*i, "x") for i in items], ITEMS), "item_id", "text", 200)
+    assert n > 3 and iter(blocks) is blocks
+    found = [row for block in blocks for row in block]
+    assert sorted(found, key=str) == sorted({i for i in items if i[1] is not None}, key=str)
+
+
 def test_empty_tables(spark):
     docs, none = documents(spark, [(1, "a b")]), spark.createDataFrame([], ITEMS)
     assert by_id(D.decontaminate(docs, none))[1]["n_hit"] == 0
