@@ -270,8 +270,7 @@ def filters_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def filters_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many filters choose each student, and the first and last of them."""
-    found = _filter_requests(spark, sf_dir).rows
-    return found.groupBy("student_uid").agg(F.count(F.lit(1)).alias("filters"), F.min("filter_id").alias("first_filter"), F.max("filter_id").alias("last_filter"))
+    return _filter_requests(spark, sf_dir).chosen
 
 
 @query

@@ -113,3 +113,31 @@ def test_no_row_meets_every_filter(spark, pupils, monkeypatch):
     assert len(plans) == 5
     for plan in plans:
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan
+
+
+def test_counts_and_extremes_without_a_pair_of_filter_and_row(spark, monkeypatch):
+    """Many filters that ask for the same and many rows that are alike: what is written on the way has a row per ask and kind, not per pair."""
+    written = {}
+
+    def spied(df, name):
+        written[name] = tables.kept(df, name)
+        return written[name]
+
+    monkeypatch.setattr(request_filters, "kept", spied)
+    rows = spark.range(400).select(F.col("id").alias("uid"), (F.col("id") % 4).alias("class_uid"), F.concat(F.lit("n"), F.col("id") % 10).alias("name"))
+    asked = [(i, {"class_uid": [str(i % 5)]} if i % 2 else {}, "3" if i % 3 == 0 else None, ["name"]) for i in range(300)]
+    got = match_filters(filters_of(spark, *asked), rows.union(rows.where("uid < 9")), "uid", ["class_uid", "name"])
+    pairs = [(f, uid) for f, terms, word, _ in asked for uid in range(400) if (not terms or uid % 4 == f % 5) and (word is None or uid % 10 == 3)]
+    assert tuples(got.rows) == tuples(spark.createDataFrame(pairs, "a bigint, b bigint"))
+    of = {}
+    for f, uid in pairs:
+        of.setdefault(uid, []).append(f)
+    assert sorted(tuple(r) for r in got.chosen.collect()) == sorted((u, len(fs), min(fs), max(fs)) for u, fs in of.items())
+    assert written["filter-pairs"].count() < 100 < len(pairs) / 100
+
+
+def test_rows_of_one_key_count_once(spark):
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (2, 1, None), (2, 1, None), (None, 1, "a")], "uid bigint, class_uid int, name string")
+    got = match_filters(filters_of(spark, (1, {"class_uid": ["1", "2"]}, None, None), (2, {"class_uid": ["1"]}, "a", ["name"]), (3, {}, None, None)), rows, "uid", ["class_uid", "name"])
+    assert dict(got.counts.collect()) == {1: 2, 2: 1, 3: 2}
+    assert sorted(tuple(r) for r in got.chosen.collect()) == [(1, 3, 1, 3), (2, 2, 1, 3)]
