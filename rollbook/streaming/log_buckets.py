@@ -9,6 +9,7 @@ on one by one, never as a whole. Spark's file sink commits each micro-batch's fi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from rollbook.streaming.arrivals import delay_in_ms, use_keyed_state
 
 # Keys that the lines of one bucket are dealt over.
 PARTS = 32
+# Lines that go to the state in one call; a call for each line takes longer than all else.
+CHUNK = 1000
 
 
 class Waiting(StatefulProcessor):
@@ -27,6 +30,7 @@ class Waiting(StatefulProcessor):
 
     def __init__(self, schema: T.StructType):
         self.schema, self.names = schema, schema.names
+        self.told = Row(*schema.names, "verdict")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -37,15 +41,16 @@ class Waiting(StatefulProcessor):
         if end is None or end <= timerValues.getCurrentWatermarkInMs():
             verdict = "no_ts" if end is None else "late"
             for row in rows:
-                yield Row(**{n: row[n] for n in self.names}, verdict=verdict)
+                yield self.told(*[row[n] for n in self.names], verdict)
         else:
-            for row in rows:
-                self.lines.appendValue(tuple(row[n] for n in self.names))
+            lines = (tuple(row[n] for n in self.names) for row in rows)
+            while chunk := list(islice(lines, CHUNK)):
+                self.lines.appendList(chunk)
             self.handle.registerTimer(end)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         for line in self.lines.get():
-            yield Row(**dict(zip(self.names, line, strict=True)), verdict="closed")
+            yield self.told(*line, "closed")
         self.lines.clear()
 
     def close(self) -> None:
