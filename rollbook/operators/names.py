@@ -6,8 +6,8 @@ another name, which others may then ask for. What an event meets depends on all
 A feed of up to ``SLICE_RECORDS`` small records is played through in order by one task. A larger one is first narrowed to what moves can touch:
 creates whose names none can touch are settled by one aggregate per name. The rest is settled by rounds of windows: every event is judged by the
 time lines of its name and its row under the guesses of the round before, until no outcome changes. All events before the first one that changed
-are settled for good, so where outcomes hang on each other too closely the few rounds allowed leave a later part, which is played through in slices of
-bounded size, each from the state that the one before it left. No group is ever gathered whole.
+are settled for good, so where outcomes hang on each other too closely, as is seen when a round leaves more than half as many changes as the one before, a
+later part is left, which is played through in slices of bounded size, each from the state that the one before it left. No group is ever gathered whole.
 """
 
 from __future__ import annotations
@@ -128,12 +128,16 @@ def _settled(scope: DataFrame, refuses_first: bool, shared: bool) -> DataFrame:
     if shared or not twice.isEmpty():  # rounds take a name to have one holder
         return _in_slices(scope.where("kind = 'row'"), scope.where("kind <> 'row'"), refuses_first, shared)
     guess = scope.withColumn("_first", F.col("kind") != "row").withColumn("_ok", F.lit(True))
+    changes = scope.count()
     for _ in range(ROUNDS):
         judged = kept(_judged(guess, refuses_first), "round")
-        first = judged.where("_fits <> _ok").agg(F.min(F.struct(*ORDER))).first()[0]
+        first, changed = judged.where("_fits <> _ok").agg(F.min(F.struct(*ORDER)), F.count(F.lit(1))).first()
         guess = judged.select(*guess.columns[:-1], F.col("_fits").alias("_ok"))
         if first is None:
             return _outcomes(judged)
+        if changed * 2 > changes:  # a round shuffles all records twice, and more of them would not settle enough
+            break
+        changes = changed
     mark = F.struct(*[F.lit(first[c]).cast(judged.schema[c].dataType).alias(c) for c in ORDER])
     done = F.struct(*ORDER) < mark
     rows = judged.where(done & F.col("_ok")).groupBy("_uid").agg(F.max_by(F.struct(*names), F.struct(*ORDER)).alias("_name"))

@@ -428,6 +428,21 @@ def test_a_chain_of_renames_by_rounds(spark, monkeypatch):
     assert got == {f"{i:03d}": f"N{i + 1:03d}" for i in range(n)}
 
 
+def test_rounds_end_once_they_settle_too_little(spark, monkeypatch):
+    """Two rows ask for each other's name again and again: a round settles one event, so the rest is played through."""
+    from rollbook.operators import names, tables
+
+    written = []
+    monkeypatch.setattr(names, "kept", lambda df, name: written.append(name) or tables.kept(df, name))
+    monkeypatch.setattr(names, "SLICE_RECORDS", 10)
+    start = state(spark, "class", ("a", "X", 1), ("b", "Y", 1))
+    changes = feed(spark, "class", *[("rename", "b", "X") if i % 2 else ("rename", "a", "Y") for i in range(30)])
+    fold = FOLDS["class"](start, changes)
+    assert {r["class_uid"]: r["class_name"] for r in fold.table.collect()} == {"a": "X", "b": "Y"}
+    assert [why for _, why in reasons(fold)] == ["name_taken"] * 30
+    assert written.count("round") <= 3
+
+
 @pytest.mark.parametrize("record", FOLDS)
 def test_order_of_rows_does_not_matter(spark, record):
     fold = FOLDS[record]
