@@ -86,3 +86,26 @@ def test_days_months_and_a_run_without_new_lines(spark, tmp_path):
         assert again.count() == 3
         last = deliver(spark, folder, [(at(1), "c", 1, "x")], way, "0 seconds")
         assert [r.line for r in last.where("verdict = 'late'").collect()] == ["c"] and last.count() == 4
+
+
+def test_lines_wait_in_chunks(spark, tmp_path, monkeypatch):
+    """The state is called for chunks of lines, not for each of them."""
+    from rollbook.streaming import log_buckets
+
+    class Lines:
+        def __init__(self):
+            self.calls = []
+
+        def appendList(self, lines):  # noqa: N802
+            self.calls.append(lines)
+
+    class Quiet:
+        registerTimer = staticmethod(lambda end: None)  # noqa: N815
+        getCurrentWatermarkInMs = staticmethod(lambda: 0)  # noqa: N815
+
+    monkeypatch.setattr(log_buckets, "CHUNK", 4)
+    waiting = log_buckets.Waiting(spark.createDataFrame([], SCHEMA).schema)
+    waiting.handle, waiting.lines = Quiet, Lines()
+    rows = [{"ts": at(i), "line": str(i), "code": i, "verdict_of": None} for i in range(10)]
+    assert list(waiting.handleInputRows((0, 10**15), iter(rows), Quiet)) == []
+    assert [len(c) for c in waiting.lines.calls] == [4, 4, 2] and sum(waiting.lines.calls, []) == [tuple(r.values()) for r in rows]
