@@ -17,7 +17,10 @@ from rollbook.functions.predicates import is_live
 from rollbook.operators.joins import left_join
 from rollbook.operators.lookup import semi_keys
 from rollbook.operators.ranking import HOT_ROWS, key_rank
+from rollbook.operators.tables import kept
 
+# Keys asked for that are broadcast, up to this count.
+BROADCAST_KEYS = 1_000_000
 # Positions of a key that are joined as one.
 STRIP = 64
 WAYS = ("asc", "desc")
@@ -59,7 +62,11 @@ def page_requests(
     needed = list(dict.fromkeys([*keys, *columns, order, tie]))
     rows = table.where(is_live() if live is None else live).select(*needed)
     if keys:
-        rows = semi_keys(rows, fine, keys)
+        # a set of keys that is small goes to the rows where they are read, before whatever makes the table out of them
+        wanted = kept(fine.select(*keys).dropna().distinct(), "page-keys")
+        few = wanted.count() <= BROADCAST_KEYS
+        rows = rows.join(F.broadcast(wanted), keys, "left_semi") if few else semi_keys(rows, wanted, keys)
+    rows = kept(rows, "page-rows")  # counted, and ranked both ways
     ranked = [key_rank(rows, keys, (order, way), tie, "pos", hot_rows).withColumn("_way", F.lit(way)) for way in WAYS]
     strips = ranked[0].unionByName(ranked[1]).withColumn("_strip", F.floor(F.col("pos") / STRIP).cast("bigint"))
     shown = [c for c in columns if c not in keys]

@@ -141,3 +141,25 @@ def test_counts_follow_rows_to_another_key(spark):
     before, after = spark.createDataFrame([(1, "a", 1), (2, "a", 0), (3, None, 1)], schema), spark.createDataFrame([(1, "b", 1), (2, "a", 1), (3, None, 0)], schema)
     counts = spark.createDataFrame([("a", 1), (None, 1), ("z", 5)], "c string, total bigint")
     assert tuples(update_counts(counts, before, after, ["c"])) == [("a", 1), ("b", 1), ("z", 5)]
+
+
+def test_only_rows_of_keys_asked_for_are_made_and_once(spark, monkeypatch):
+    from rollbook.operators import page_requests as module, tables
+
+    written, plans = {}, {}
+
+    def spied(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        written[name] = tables.kept(df, name)
+        return written[name]
+
+    monkeypatch.setattr(module, "kept", spied)
+    source = spark.range(2000).select((F.col("id") % 100).alias("course"), F.col("id").alias("student"), (F.col("id") % 7).alias("value"))
+    made = source.groupBy("course", "student").agg(F.max("value").alias("score"), F.lit(1).alias("status"))
+    asked = spark.createDataFrame([(1, 5, 1, 3, "asc"), (2, 5, 2, 3, "desc"), (3, None, 1, 3, "asc")], "request_id int, course bigint, page int, size int, direction string")
+    got = module.page_requests(asked, made, ["course"], ["student", "score"], "score", "student")
+    assert tuples(got.totals) == [(1, 20, 7), (2, 20, 7), (3, 0, 0)]
+    assert got.rows.count() == 6
+    assert written["page-rows"].count() == 20
+    plan = plans["page-rows"]
+    assert 0 <= plan.index("Aggregate") < plan.index("LeftSemi")
