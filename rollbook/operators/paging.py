@@ -34,14 +34,15 @@ def pages(
     size: int = 20,
     page: int | None = None,
     hot_rows: int = HOT_ROWS,
+    made: bool = False,
 ) -> DataFrame:
     """All pages of all keys: the rows with ``page`` and ``pos`` (both from 1).
 
-    With ``page`` only that page of every key; the rows behind it are dropped while ranking.
+    With ``page`` only that page of every key; the rows behind it are dropped while ranking. ``made`` as in ``key_rank``.
     """
     check_page(1 if page is None else page, size)
     first = None if page is None else page * size
-    ranked = key_rank(df, keys, order, tie, "pos", hot_rows, first)
+    ranked = key_rank(df, keys, order, tie, "pos", hot_rows, first, made)
     number = F.floor((F.col("pos") - 1) / size).cast("bigint") + 1
     ranked = ranked.withColumn("pos", F.col("pos").cast("bigint")).withColumn("page", number)
     return ranked if page is None else ranked.where(F.col("page") == page)
@@ -58,11 +59,12 @@ def listing(
     keyword_columns: Sequence[str] = (),
     page: int | None = None,
     hot_rows: int = HOT_ROWS,
+    made: bool = False,
 ) -> DataFrame:
     """Live rows, with the keyword in one of its columns, paged per key."""
     rows = table.where(is_live() & keyword_filter(keyword, keyword_columns))
     needed = list(dict.fromkeys([*keys, *columns, order[0], tie]))
-    paged = pages(rows.select(*needed), keys, order, tie, size, page, hot_rows)
+    paged = pages(rows.select(*needed), keys, order, tie, size, page, hot_rows, made)
     return paged.select(*dict.fromkeys([*keys, *columns]), "page", "pos")
 
 

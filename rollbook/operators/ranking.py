@@ -44,13 +44,14 @@ def key_rank(
     name: str = "pos",
     hot_rows: int = HOT_ROWS,
     first: int | None = None,
+    made: bool = False,
 ) -> DataFrame:
     """Number the rows of every key from 1, by ``(column, way)`` or several of them, then by ``tie``.
 
     The tie-break should be unique within the key; without one, equal rows come in any order, and rows
     with equal sort values can't be parted. Rows without a key are left out: no listing asks for them. No keys at
     all means one numbering of the whole table. ``first`` keeps only the first rows of every key, without numbering
-    the rest.
+    the rest. ``made`` tells that the rows come from joins or aggregates: they are written as a table first, as they are read more than once.
     """
     keys = list(keys)
     sorts = [order] if isinstance(order[0], str) else list(order)
@@ -60,6 +61,8 @@ def key_rank(
         df = df.where(reduce(operator.and_, [F.col(k).isNotNull() for k in keys]))
     if first is not None and first <= FIRST_ROWS:
         return _plain(df, keys, sort, name).where(F.col(name) <= first)
+    if made:
+        df = kept(df, "ranked-rows")  # counted and ranked; what it takes to make the rows is done once
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     n_hot, total = hot.agg(F.count(F.lit(1)), F.sum("_n")).first()
     if not n_hot:

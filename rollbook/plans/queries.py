@@ -190,6 +190,7 @@ def pages_course_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["student_uid", "score"],
         ("score", direction("DESC")),
         "student_uid",
+        made=True,
     )
     return lookup.lookup(paged, records.students(spark, sf_dir), "student_uid", "student_name")
 
@@ -204,6 +205,7 @@ def pages_hot_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("score", "desc"),
         "student_uid",
         hot_rows=25,
+        made=True,
     )
 
 

@@ -74,3 +74,13 @@ def test_hot_score_key_combines_before_the_shuffle(spark):
     assert tuples(fold.table.where("student_uid = 'hot'"), "score", "status") == [(19999.0, 1)]
     plan = fold.table._jdf.queryExecution().toString()
     assert "partial_max" in plan and "Window" not in plan
+
+
+def test_made_rows_are_ranked_from_a_table(spark, monkeypatch):
+    from rollbook.operators import ranking, tables
+
+    written = []
+    monkeypatch.setattr(ranking, "kept", lambda df, name: written.append(name) or tables.kept(df, name))
+    rows = spark.range(60).select((F.col("id") % 3).alias("k"), F.col("id").alias("v")).groupBy("k", "v").count()
+    plain, made = (ranking.key_rank(rows, ["k"], ("v", "desc"), "v", made=m).select("k", "v", "pos") for m in (False, True))
+    assert written == ["ranked-rows"] and sorted(map(tuple, plain.collect())) == sorted(map(tuple, made.collect()))
