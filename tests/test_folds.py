@@ -414,6 +414,31 @@ def test_names_by_rounds_and_slices(spark, monkeypatch, record, rounds):
     assert tuples(cut.table) == table and tuples(cut.rejected) == rejected
 
 
+@pytest.mark.parametrize("seed", [4, 6])
+def test_shared_names_by_lines(spark, monkeypatch, seed):
+    """Large feeds of courses are settled side by side by row and by name; nothing is left to slices that wait for each other."""
+    from rollbook.operators import names
+
+    rows, events = random_case("course", seed)
+    start, changes = state(spark, "course", *rows), feed(spark, "course", *events)
+    whole = upsert_courses(start, changes)
+    table, rejected = tuples(whole.table), tuples(whole.rejected)
+    monkeypatch.setattr(names, "SLICE_RECORDS", 10)
+    monkeypatch.setattr(names, "_in_slices", None)
+    cut = upsert_courses(start, changes)
+    assert tuples(cut.table) == table and tuples(cut.rejected) == rejected
+
+
+def test_a_create_goes_to_the_course_that_is_live_then(spark, monkeypatch):
+    """Also in a large feed without any move."""
+    from rollbook.operators import names
+
+    monkeypatch.setattr(names, "SLICE_RECORDS", 1)
+    start = state(spark, "course", ("1", "Art", "t", "c", 1), ("2", "Art", "t", "c", 1))
+    changes = feed(spark, "course", ("delete", "1", "t", None, None), ("create", None, "t", "c", "Art"))
+    assert tuples(upsert_courses(start, changes).table, "course_uid", "status") == [("1", 0), ("2", 1)]
+
+
 def test_a_chain_of_renames_by_rounds(spark, monkeypatch):
     """Every row takes the name that the next one has just given up; nothing is gathered and few rounds settle it."""
     from rollbook.operators import names
