@@ -819,7 +819,7 @@ def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score feed delivered in three parts to a running table; the table after the last one."""
     folder = f"{shared_folder(spark)}/rollbook-stream-{uuid.uuid4().hex}"
     feed = feeds.score_feed(spark, sf_dir)
-    start_table(feeds.score_state(spark, sf_dir), f"{folder}/score", feed, "score")
+    start_table(feeds.score_state(spark, sf_dir), f"{folder}/score", feed, "score", by_key=True)
     since = feeds.SCORE_CUT
     for until in DELIVERIES:
         delivery = feed.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))

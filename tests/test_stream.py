@@ -7,9 +7,14 @@ from conftest import tuples
 from pyspark.sql import functions as F
 from test_folds import FOLDS, feed, random_case, state
 
+from rollbook.operators import folds
+from rollbook.streaming import changes as changes_module
 from rollbook.streaming.changes import (
+    FIRST_BATCH,
     RECORDS,
+    _newest,
     _touched,
+    _write,
     apply_batch,
     apply_stream,
     compact,
@@ -95,6 +100,37 @@ def test_only_buckets_of_touched_keys_and_names_are_read(spark, tmp_path):
     assert buckets == 16 and all(len(set(re.findall(r"\b\d+\b", f.split("IN")[-1]))) <= 5 for f in filters)
 
 
+def test_the_table_is_not_shuffled(spark, tmp_path, monkeypatch):
+    """However many keys a micro-batch has: only they are shuffled to the table, and the newest versions are found where they lie."""
+    start = state(spark, "score", *[(f"c{i}", "s", 1.0, 1) for i in range(200)])
+    changes = feed(spark, "score", *[("create", f"c{i}", "s", 2.0) for i in range(100, 300)])
+    folder = str(tmp_path / "it's a table")
+    start_table(start, folder, changes, "score")
+    apply_batch(changes, 0, folder, "score")
+    rows = read_table(spark, folder, "score")
+    monkeypatch.setattr(changes_module, "BROADCAST_KEYS", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        touched = _newest(_touched(spark, folder, changes, RECORDS["score"], 1), ["course_uid", "student_uid"])
+        for frame, shuffles in ((rows, 0), (touched, 1)):
+            assert frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == shuffles
+        assert touched.count() == 200
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert tuples(rows, "course_uid", "score") == sorted((f"c{i}", 1.0 if i < 100 else 2.0) for i in range(300))
+
+
+def test_a_table_begun_without_parts_goes_on(spark, tmp_path):
+    rows, events = random_case("score", seed=6)
+    start, changes = state(spark, "score", *rows), feed(spark, "score", *events)
+    folder = str(tmp_path / "table")
+    _write(folds.with_position(start, changes), f"{folder}/rows", RECORDS["score"].keys, FIRST_BATCH)
+    apply_batch(changes, 0, folder, "score")
+    assert tuples(read_table(spark, folder, "score")) == tuples(FOLDS["score"](start, changes).table)
+    compact(spark, folder, "score", str(tmp_path / "next"))
+    assert tuples(read_table(spark, str(tmp_path / "next"), "score")) == tuples(read_table(spark, folder, "score"))
+
+
 @pytest.mark.parametrize("delay", [None, "1 day"])
 def test_no_event_is_lost(spark, tmp_path, delay):
     """What is folded, refused and repeated is what was delivered, events without a moment or an id included."""
